@@ -81,13 +81,16 @@ def count_tokens(
     input and spread into their distinct pre-tokens.
     """
     check_cuts(model_path)
+    # A document's key is made of its content, so that both passes over the
+    # table agree on it however its rows are dealt out.
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
         F.octet_length(text).cast("long").alias("n_bytes"),
-        F.explode_outer(pre_tokens(text)).alias("word"),
+        F.xxhash64(text).alias("h"),
+        F.posexplode_outer(pre_tokens(text)).alias("at", "word"),
     )
+    key = ["doc_id", "n_bytes", "h"]
 
     pieces = F.pandas_udf(_counter(model_path), "long")
     vocabulary = words.where("word is not null").groupBy("word").agg(F.count("*").alias("total"))
@@ -105,17 +108,26 @@ def count_tokens(
 
     # Frequencies of known words collapse to one sum a document before the shuffle.
     looked_up = words.join(frequent, "word", "left")
-    known = looked_up.groupBy("row", "doc_id", "n_bytes").agg(F.sum(F.coalesce("pieces", F.lit(0))).alias("t"))
+    known = looked_up.groupBy(*key).agg(
+        F.sum(F.coalesce("pieces", F.lit(0))).alias("t"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies")
+    )
     unknown = (
         looked_up.where("word is not null and pieces is null")
-        .select("row", "word")
+        .select(*key, "word")
         .join(rare, "word")
-        .groupBy("row")
-        .agg(F.sum("rare_pieces").alias("t"))
+        .groupBy(*key)
+        .agg(F.sum("rare_pieces").alias("t"), F.lit(0).cast("long").alias("copies"))
     )
-    both = known.unionByName(unknown, allowMissingColumns=True)
+    # Rows that repeat id and text share a key; each of them gets its row back.
     return (
-        both.groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("t").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens")
+        known.unionByName(unknown)
+        .groupBy(*key)
+        .agg(F.sum("t").alias("t"), F.sum("copies").alias("copies"))
+        .select(
+            "doc_id",
+            "n_bytes",
+            F.expr("t div copies").alias("n_tokens"),
+            F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("copy"),
+        )
+        .drop("copy")
     )
