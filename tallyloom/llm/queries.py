@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.exact_dedup import exact_dedup
+from tallyloom.llm.near_dedup import near_duplicates
+from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.token_count import count_tokens
 from tallyloom.llm.url_filter import RULE_SCHEMA, filter_urls
 
@@ -35,13 +37,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, RULE_SCHEMA)
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_token_counts, op9_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_token_counts, op7_best_fit_packing, op8_near_dedup, op9_url_filter)}
 
 
 _OP1 = """
