@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.exact_dedup import exact_dedup
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.secret_scan import scan_secrets, written
 from tallyloom.llm.token_count import count_tokens
 from tallyloom.llm.url_filter import RULE_SCHEMA, filter_urls
 
@@ -37,6 +38,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "learned")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,7 +66,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_token_counts, op7_best_fit_packing, op8_near_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_token_counts, op5_secret_scan, op7_best_fit_packing, op8_near_dedup, op9_url_filter)}
 
 
 _OP1 = """
