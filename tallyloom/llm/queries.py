@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.decontaminate import find_contaminated
 from tallyloom.llm.exact_dedup import exact_dedup
+from tallyloom.llm.license_scan import TEMPLATES, scan_licenses
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.secret_scan import scan_secrets, written
@@ -33,6 +35,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -52,6 +58,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -66,7 +77,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_token_counts, op5_secret_scan, op7_best_fit_packing, op8_near_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op4_token_counts, op5_secret_scan, op6_decontamination, op7_best_fit_packing, op8_near_dedup, op9_url_filter)}
 
 
 _OP1 = """
@@ -103,5 +114,54 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 """
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = f"""
+WITH templates(template, license, raw) AS (
+  VALUES {", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))}
+), tw AS (
+  SELECT template, license, string_split(trim(regexp_replace({_LOWER.format("raw")}, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM templates
+), tb AS (
+  SELECT DISTINCT template, license, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tw)
+), ts AS (
+  SELECT template, license, count(*) AS t FROM tb GROUP BY ALL
+), l AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS raw
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+), lw AS (
+  SELECT doc_id, line, string_split(trim(regexp_replace({_LOWER.format("raw")}, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM l
+), lb AS (
+  SELECT DISTINCT doc_id, line, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM lw)
+), ls AS (
+  SELECT doc_id, line, count(*) AS m FROM lb GROUP BY ALL
+), c AS (
+  SELECT doc_id, line, template, license, count(*) AS shared FROM lb JOIN tb USING (pair) GROUP BY ALL
+), d AS (
+  SELECT *, 2.0::DOUBLE * shared / (m + t) AS dice FROM c JOIN ls USING (doc_id, line) JOIN ts USING (template, license)
+  WHERE 200 * shared >= 80 * (m + t)
+)
+SELECT doc_id, line::INTEGER AS line, license, template::INTEGER AS template, shared, dice FROM d
+QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, template) = 1
+"""
+
+_OP6 = f"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT side, id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM t
+), s AS (
+  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT id, count(*) AS n_item FROM s WHERE side = 'b' GROUP BY id
+), c AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
+  FROM s d JOIN s b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' GROUP BY ALL
+)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM c JOIN n ON n.id = item_id WHERE 100 * n_shared >= 80 * n_item
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op9_url_filter": _OP9}
+    return {"op1_exact_dedup": _OP1, "op2_license_scan": _OP2, "op6_decontamination": _OP6, "op9_url_filter": _OP9}
