@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import crc_bucket
 from tallyloom.llm.decontaminate import find_contaminated
 from tallyloom.llm.exact_dedup import exact_dedup
+from tallyloom.llm.language_id import fit_languages, identify_languages
 from tallyloom.llm.license_scan import TEMPLATES, scan_licenses
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.secret_scan import scan_secrets, written
 from tallyloom.llm.token_count import count_tokens
+from tallyloom.llm.toxicity import fit_toxicity, score_toxicity
 from tallyloom.llm.url_filter import RULE_SCHEMA, filter_urls
 
 URL_RULES = [
@@ -39,6 +42,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, crc_bucket(F.col("doc_id"), 4) != 2)
+    held_out = (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out")
+    return identify_languages(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -76,8 +86,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, lambda doc_id: crc_bucket(doc_id, 5) != 0)
+    held_out = (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out")
+    return score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op4_token_counts, op5_secret_scan, op6_decontamination, op7_best_fit_packing, op8_near_dedup, op9_url_filter)}
+    every = (
+        op1_exact_dedup, op2_license_scan, op3_language_id, op4_token_counts, op5_secret_scan,
+        op6_decontamination, op7_best_fit_packing, op8_near_dedup, op9_url_filter, op10_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP1 = """

@@ -48,11 +48,15 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarra
         at = end
 
 
-def word_hashes(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word, in order."""
-    blank = np.zeros(256, bool)
-    blank[[32, 9, 10, 11, 12, 13]] = True
-    solid = ~blank[text]
+BLANKS = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def word_hashes(
+    text: np.ndarray, offsets: np.ndarray, separators: np.ndarray = BLANKS, beginning: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word, in order.  ``separators`` says for each
+    byte whether it parts words; ``beginning`` hashes only so many first bytes."""
+    solid = ~separators[text]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -66,6 +70,9 @@ def word_hashes(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     places = np.flatnonzero(solid)
     powers = np.multiply.accumulate(np.full(int(lengths.max()), _BASE, np.uint64))
     where = places - np.repeat(starts, lengths)
+    if beginning:
+        places, where = places[where < beginning], where[where < beginning]
+        lengths = np.minimum(lengths, beginning)
     sums = np.add.reduceat((text[places].astype(np.uint64) + np.uint64(1)) * powers[where], np.cumsum(lengths) - lengths)
     return mix(sums + lengths.astype(np.uint64)), starts, ends
 
