@@ -8,9 +8,11 @@ from every centroid than training texts are is rejected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +116,7 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit_languages(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 400, clusters: int = 4, slack: float = 0.5,
+    per_language: int = 400, clusters: int = 4, slack: float = 0.25,
 ) -> Model:
     """Fit on rows where ``learn`` holds and the language is not null.
 
@@ -187,3 +189,13 @@ def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", te
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def recognised(text: Column, model: Model) -> Column:
+    """Whether a text is not rejected, as a column: a filter that needs no join."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not model.predict(t)[2] for t in texts], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(F.coalesce(text, F.lit("")))

@@ -132,7 +132,10 @@ def fit_toxicity(
         else:
             in_u[r["place"]] = r["n"]
     p, q = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
-    gain = np.where(p > 2 * q, p * np.log(p / q), 0)
+    # By Bayes the share of positives among documents with a feature is prior * p / q;
+    # it has to be over a half by more than the standard error of the count.
+    sure = p * (1 - 1 / np.sqrt(in_p + 1))
+    gain = np.where(prior * sure >= 0.5 * q, p * np.log(p / q), 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:n_features])
     chosen = chosen[gain[chosen] > 0]
     probe = Model(hashes[chosen], np.zeros(len(chosen)), 0.0)
