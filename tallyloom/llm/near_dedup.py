@@ -37,7 +37,6 @@ from tallyloom.llm.shingles import constants, mix, shingle_sets
 from tallyloom.operators.components import connected_components
 from tallyloom.scratch import cut
 
-BANDS, BAND_SIZE = 32, 6
 #: SetSketch parameters: base, rate and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is left when its likelihood at the threshold is e**-SLACK of the best.
@@ -56,15 +55,14 @@ def registers(hashes: np.ndarray, multipliers: np.ndarray, offsets: np.ndarray)
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
-def _parameters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = BANDS * BAND_SIZE
-    return constants(m, 1), constants(m, 2), constants(BAND_SIZE, 3)
+def _parameters(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return constants(bands * rows, 1), constants(bands * rows, 2), constants(rows, 3)
 
 
-def _sketches(size: int):
+def _sketches(size: int, bands: int, rows: int):
     def run(batches):
-        multipliers, offsets, weights = _parameters()
-        band = np.arange(BANDS, dtype=np.uint64) << np.uint64(17)
+        multipliers, offsets, weights = _parameters(bands, rows)
+        band = np.arange(bands, dtype=np.uint64) << np.uint64(17)
         for batch in batches:
             ids, texts = batch.columns
             n, a, b, keys = [], [], [], []
@@ -73,7 +71,7 @@ def _sketches(size: int):
                 a.append(int(found.sum().view(np.int64)) if len(found) else 0)
                 b.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(found) else 0)
                 if len(found):
-                    r = registers(found, multipliers, offsets).astype(np.uint64).reshape(BANDS, BAND_SIZE)
+                    r = registers(found, multipliers, offsets).astype(np.uint64).reshape(bands, rows)
                     keys.append(mix((r * weights).sum(axis=1) ^ band).view(np.int64))
                 else:
                     keys.append(np.zeros(0, np.int64))
@@ -87,9 +85,9 @@ def _sketches(size: int):
     return run
 
 
-def _sets(size: int, with_registers: bool):
+def _sets(size: int, bands: int, rows: int, with_registers: bool):
     def run(batches):
-        multipliers, offsets, _ = _parameters()
+        multipliers, offsets, _ = _parameters(bands, rows)
         for batch in batches:
             ids, texts = batch.columns
             held, regs, count = [], [], 0
@@ -174,6 +172,8 @@ def near_duplicates(
     text_col: str = "text",
     percent: int = 85,
     size: int = 5,
+    bands: int = 32,
+    band_size: int = 6,
     broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """Return doc_id, n_shingles, component_id, kept, one row per input row.
@@ -187,12 +187,15 @@ def near_duplicates(
     sequence as its one shingle.  Rows with a null id are alone too: their
     component is null and they are kept.  Rows that repeat an id are one
     document.  An empty table gives an empty result; other columns are ignored.
+
+    A pair of similarity j stays unseen with probability
+    ``(1 - j**band_size) ** bands``: choose both to the threshold.
     ``broadcast_rows`` bounds the candidate ids that are broadcast to the second
     reading of the texts; a longer list is joined by shuffling.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = cut(
-        texts.mapInArrow(_sketches(size), "doc_id long, n long, fa long, fb long, keys array<long>"), "near-sketches"
+        texts.mapInArrow(_sketches(size, bands, band_size), "doc_id long, n long, fa long, fb long, keys array<long>"), "near-sketches"
     )
     usable = sketched.where("n > 0 and doc_id is not null")
 
@@ -211,7 +214,7 @@ def near_duplicates(
     candidates = cut(rows.select("id").distinct(), "near-candidates")
     named = texts.withColumnRenamed("doc_id", "id")
     read = named.join(broadcast_if_small(candidates, broadcast_rows), "id", "left_semi")
-    hashed = read.mapInArrow(_sets(size, False), "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
+    hashed = read.mapInArrow(_sets(size, bands, band_size, False), "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
     single = hashed.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     own = single.groupBy("id").agg(F.count("*").alias("own"))
     sized = candidates.join(rows.select("id", "n").distinct(), "id").join(own, "id", "left")
@@ -219,7 +222,7 @@ def near_duplicates(
     alive = cut(sized.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "near-alive")
 
     read = named.join(broadcast_if_small(alive.select("id"), broadcast_rows), "id", "left_semi")
-    sets = read.mapInArrow(_sets(size, True), "id long, hashes array<long>, regs binary").dropDuplicates(["id"])
+    sets = read.mapInArrow(_sets(size, bands, band_size, True), "id long, hashes array<long>, regs binary").dropDuplicates(["id"])
     sets = cut(sets.join(alive, "id"), "near-sets")
 
     rows = rows.select("id", "key").join(alive, "id")
