@@ -44,8 +44,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    return _without(docs, near_duplicates(docs).where("not kept"), "dropped-near")
+    """Of each group of near duplicates, linked at a similarity of 0.8 or more,
+    the document with the smallest id."""
+    found = near_duplicates(docs, percent=80, bands=40, band_size=5)
+    return _without(docs, found.where("not kept"), "dropped-near")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
