@@ -161,9 +161,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sizes_fit(n1: Column, own1: Column, n2: Column, own2: Column, percent: int) -> Column:
-    """Whether set sizes and shingles of their own leave a link possible."""
+    """Whether set sizes and shingles of their own leave a link possible: what
+    two sets share is at most the rest of either, and fixes their union."""
     shared = F.least(n1 - own1, n2 - own2)
-    return (100 * shared >= percent * (shared + own1 + own2)) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
+    return 100 * shared >= percent * (n1 + n2 - shared)
 
 
 def near_duplicates(
