@@ -28,26 +28,30 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LETTERS, DIGITS, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 #: The pre-tokenizer's pattern over those characters.
 WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{BLANKS}{LETTERS}{DIGITS}]+"
-#: Texts with other characters, U+0130, or what may be a special token go to the
-#: tokenizer whole.
-UNUSUAL = "[^\x00-įı-ſ]|<\\|"
+#: Texts with other characters, U+0130, separators that Python alone takes for
+#: blanks, or what may be a special token go to the tokenizer whole.
+UNUSUAL = "[^\x00-\x1b\x20-įı-ſ]|<\\|"
 
 
 class Encoder:
-    """Token ids as little-endian bytes, with a bounded cache by pre-token."""
+    """Token ids as little-endian bytes, with bounded caches.
 
-    def __init__(self, path: str, held: int = 600_000) -> None:
+    No token spans a blank, so a text is cut at blanks first.  What stands
+    between blanks is looked up whole, and only where it is new is it cut into
+    pre-tokens, which the tokenizer encodes, many in one call."""
+
+    def __init__(self, path: str, held: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.unusual, self.held = re.compile(WORDS), re.compile(UNUSUAL), held
-        self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Put pre-tokens into the cache, many to a call of the tokenizer."""
+    def _learn_words(self, words: list[str]) -> None:
         lots = [words[i : i + 64] for i in range(0, len(words), 64)]
         for lot, got in zip(lots, self.tokenizer.encode_batch([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
             ids, places = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
@@ -55,20 +59,23 @@ class Encoder:
                 ends = np.searchsorted(places, np.arange(len(lot)), "right")
                 parts = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             else:
-                parts = [np.array(self._ids(w), "<u4").tobytes() for w in lot]
-            self.cache.update(zip(lot, parts, strict=True))
+                parts = [self._ids(w) for w in lot]
+            self.known.update(zip(lot, parts, strict=True))
+
+    def _learn(self, chunks: set[str]) -> None:
+        cut_up = {c: self.words.findall(c.lower()) for c in chunks}
+        self._learn_words(list({w for ws in cut_up.values() for w in ws} - self.known.keys()))
+        get = self.known.__getitem__
+        self.chunks.update((c, b"".join(map(get, ws))) for c, ws in cut_up.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = [None if self.unusual.search(t) else self.words.findall(t.lower()) for t in texts]
-        if len(self.cache) > self.held:
-            self.cache.clear()
-        missing = list({w for ws in found if ws for w in ws if w not in self.cache})
-        self.learn(missing)
-        get = self.cache.__getitem__
-        return [
-            b"".join(map(get, ws)) if ws is not None else np.array(self._ids(t), "<u4").tobytes()
-            for t, ws in zip(texts, found, strict=True)
-        ]
+        for cache in (self.chunks, self.known):
+            if len(cache) > self.held:
+                cache.clear()
+        found = [None if self.unusual.search(t) else t.split() for t in texts]
+        self._learn({c for cs in found if cs for c in cs} - self.chunks.keys())
+        get = self.chunks.__getitem__
+        return [self._ids(t) if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, found, strict=True)]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
