@@ -1,15 +1,425 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""Queries over the driver's tables and the SQL that gives the same rows.
+
+Scores leave as ``decimal(9,6)``; inside they are whole millionths.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom import domain
+from tallyloom.config import MICRO, Settings
+from tallyloom.functions import amounts, dates, merchants, references
+from tallyloom.operators import scoring
+from tallyloom.operators.assignment import greedy_assign, numbered, ranked
+from tallyloom.operators.combining import combination_pool, combination_proposals, combination_sets
+from tallyloom.plans import contract, extraction, reconcile, reports, statement
+from tallyloom.scratch import cut
+
+SETTINGS = Settings()
+_DONE: dict[tuple[str, str], reconcile.Reconciliation] = {}
+
+
+def _result(spark: SparkSession, sf_dir: str) -> reconcile.Reconciliation:
+    """The reconciliation of the driver's tables, made once a session; its
+    matches are a written table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DONE:
+        _DONE[key] = reconcile.match_transactions(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+    return _DONE[key]
+
+
+def unit(score: str) -> Column:
+    return (F.col(score) / F.lit(MICRO)).cast("decimal(9,6)").alias(score)
+
+
+SCORES = ("score", *scoring.SIGNALS)
+
+
+def outgoing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.outgoing(domain.transactions(spark, sf_dir)).select("scope_id", "id", "posted_date", "amount", "currency")
+
+
+def parse_amount_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    value = F.col("o_totalprice").cast("decimal(18,2)")
+    english = F.format_number(value, 2)
+    dots = F.translate(english, ",.", ".,")
+    spaced = F.translate(english, ",.", " ,")
+    bare = F.replace(english, F.lit(","), F.lit(""))
+    styles = [english, dots, spaced, bare, F.translate(bare, ".", ",")]
+    sign = [F.concat(F.lit("€"), F.col("t")), F.concat("t", F.lit(" EUR")), F.concat(F.lit("USD "), F.col("t")), F.concat(F.lit("£"), F.col("t")), F.col("t")]
+    rows = orders.select("o_orderkey", F.element_at(F.array(*styles), (F.pmod("o_orderkey", F.lit(5)) + 1).cast("int")).alias("t"))
+    rows = rows.select("o_orderkey", F.element_at(F.array(*sign), (F.pmod(F.expr("o_orderkey div 5"), F.lit(5)) + 1).cast("int")).alias("t"))
+    return rows.select("o_orderkey", amounts.parse_amount(F.col("t")).alias("p")).select("o_orderkey", "p.amount", "p.currency", "p.error")
+
+
+def parse_amount_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    whole = (1 + F.col("o_orderkey") % 900).cast("string")
+    bad = [F.concat(F.lit("$"), whole), F.concat(F.lit("€"), whole, F.lit(" USD")), F.concat(whole, F.lit(",123")), F.concat(F.lit("-"), whole)]
+    rows = orders.select("o_orderkey", F.element_at(F.array(*bad), (F.pmod("o_orderkey", F.lit(4)) + 1).cast("int")).alias("t"))
+    return rows.select("o_orderkey", amounts.parse_amount(F.col("t")).alias("p")).select("o_orderkey", "p.amount", "p.error")
+
+
+def parse_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    forms = [F.date_format("o_orderdate", f) for f in ("dd.MM.yyyy", "yyyy-MM-dd", "d/M/yyyy")]
+    forms.append(F.concat(F.lit("31.04."), F.date_format("o_orderdate", "yyyy")))
+    text = F.element_at(F.array(*forms), (F.pmod("o_orderkey", F.lit(4)) + 1).cast("int"))
+    return orders.select("o_orderkey", dates.parse_date(text).alias("parsed"))
+
+
+def normalize_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tails = [" SIA", ", L.L.C.", " Ltd Inc", "'s & Co", "_x"]
+    tail = F.element_at(F.array(*map(F.lit, tails)), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
+    return parts.select("p_partkey", merchants.normalize_merchant(F.concat("p_name", tail)).alias("name"))
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = parts.select(merchants.normalize_merchant(F.col("p_name")).alias("name"), "p_brand", "p_size")
+    a = names.select(F.col("name").alias("a"), "p_brand", "p_size").distinct()
+    b = names.select(F.col("name").alias("b"), "p_brand", "p_size").distinct()
+    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b").distinct()
+
+
+def merchant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _name_pairs(spark, sf_dir)
+    return pairs.withColumn("similarity", merchants.similarity(F.col("a"), F.col("b"))).select("a", "b", unit("similarity"))
+
+
+def merchant_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _name_pairs(spark, sf_dir)
+    return pairs.withColumn("signal", merchants.merchant_signal(F.col("a"), F.col("b"), SETTINGS)).select("a", "b", unit("signal"))
+
+
+def document_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select("p_partkey", references.document_id(F.encode("p_name", "utf-8")).alias("document_id"))
+
+
+def transaction_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = domain.transactions(spark, sf_dir).where("id is not null")
+    page, row = F.lit(1), F.lit(None).cast("int")
+    made = references.transaction_id(
+        F.col("source_file"), F.col("posted_date"), F.col("direction"), F.col("amount"), F.col("currency"), F.col("description"), page, row
+    )
+    return rows.select("id", made.alias("transaction_id"))
+
+
+def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = references.reference_tokens(F.col("description"), SETTINGS.reference_minimum_length)
+    return domain.transactions(spark, sf_dir).select("id", F.array_join(tokens, " ").alias("tokens"))
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's transaction with the documents of its own lines."""
+    t = domain.transactions(spark, sf_dir).withColumn("k", F.regexp_extract("id", r"(\d+)$", 1))
+    d = domain.documents(spark, sf_dir).withColumn("k", F.regexp_extract("id", r"^doc-(\d+)-", 1))
+    return t.alias("t").join(d.alias("d"), "k")
+
+
+def reference_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = references.reference_signal(F.col("t.description"), F.col("d.invoice_number"), F.col("d.extracted_text"), SETTINGS.reference_minimum_length)
+    return _paired(spark, sf_dir).select(F.col("d.id").alias("id"), found.alias("reference")).select("id", unit("reference"))
+
+
+def date_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.abs(F.datediff("t.posted_date", "d.issued_date"))
+    found = scoring.date_signal(gap, SETTINGS)
+    return _paired(spark, sf_dir).select(F.col("d.id").alias("id"), gap.alias("gap"), found.alias("date_score")).select("id", "gap", unit("date_score"))
+
+
+def currency_safe_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    equal = amounts.currency_safe_equal(F.col("t.amount"), F.col("t.currency"), F.col("d.amount"), F.col("d.currency"), "0.01")
+    return _paired(spark, sf_dir).select(F.col("d.id").alias("id"), equal.alias("equal"))
+
+
+def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of receipts put together from line items."""
+    day = F.date_format("issued_date", "dd.MM.yyyy")
+    price = F.col("amount").cast("decimal(18,2)").cast("string")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("Supplier: "), "merchant_raw"), F.concat(F.lit("Invoice no. "), "invoice_number"), F.concat(F.lit("Issued "), day),
+        F.lit("Subtotal 1.00 EUR"), F.concat(F.lit("Total "), price, F.lit(" "), F.coalesce("currency", F.lit(""))),
+    )
+    return domain.documents(spark, sf_dir).select("id", "issued_date", lines.alias("text"))
+
+
+FIELDS = ("issued_date", "amount", "currency", "merchant_raw", "invoice_number")
+
+
+def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_fields(_receipts(spark, sf_dir).select("id", "text")).select("id", *FIELDS)
+
+
+def extract_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = F.date_format(F.date_add("issued_date", 1), "yyyy-MM-dd")
+    doubled = F.concat("text", F.lit("\nPaid "), later, F.lit("\nSupplier: another\nAmount due 0.50 EUR"))
+    return extraction.extract_fields(_receipts(spark, sf_dir).select("id", doubled.alias("text"))).select("id", *FIELDS)
+
+
+def invoice_period_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = domain.documents(spark, sf_dir)
+    odd = F.substring("id", -1, 1) == "3"
+    shown = F.when(odd, F.add_months("issued_date", 1)).otherwise(F.col("issued_date"))
+    name = F.concat(F.lit("invoice_"), F.date_format(shown, "MM_yyyy"), F.lit(".pdf"))
+    text = F.concat(F.lit("For "), F.date_format("issued_date", "MMMM yyyy"))
+    return docs.select("id", dates.vote(F.col("issued_date"), text, name).alias("period"))
+
+
+def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contract for each customer; key and fee vary the form."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("scope_id"))
+    k = F.col("scope_id")
+    fee, months = (100 + k % 50).cast("string"), (k % 14).cast("int")
+    first = F.make_date((2020 + k % 3).cast("int"), (1 + k % 12).cast("int"), F.lit(1))
+    last = F.add_months(first, months)
+    point = lambda d: F.when(k % 2 == 0, F.date_format(d, "MMMM yyyy")).otherwise(F.date_format(d, "yyyy-MM"))
+    monthly = F.concat(
+        F.lit("Service agreement\nMonthly service fee: EUR "), fee, F.when(k % 7 != 3, "\nInvoices issued monthly").otherwise(""),
+        F.when(k % 11 != 4, F.concat(F.lit("\nContract period: "), point(first), F.lit(" - "), point(last))).otherwise(""),
+    )
+    explicit = F.concat(F.lit("Agreement\n"), point(first), F.lit(" — EUR "), fee, F.lit("\n"), point(F.add_months(first, 2)), F.lit(" "), fee, F.lit(" EUR\n"))
+    return c.select("scope_id", F.when(k % 5 == 2, explicit).otherwise(monthly).alias("text"), fee.alias("fee"), first.alias("first"))
+
+
+def contract_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.required_invoices(_contracts(spark, sf_dir)).select("scope_id", "determined", "reason", F.size("invoices").cast("long").alias("n"))
+
+
+def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = contract.required_invoices(_contracts(spark, sf_dir)).where("determined")
+    return read.select("scope_id", F.posexplode("invoices").alias("ord", "i")).select("scope_id", "ord", "i.*")
+
+
+def contract_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _required(spark, sf_dir).where("description is not null").select("scope_id", "ord", "period", "amount", "currency")
+
+
+def contract_explicit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _required(spark, sf_dir).where("description is null").select("scope_id", "ord", "period", "amount", "currency")
+
+
+def expected_vs_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices stand in the folder for even months, two of them for month 6."""
+    made = _contracts(spark, sf_dir).select("scope_id", "fee", F.explode(F.array(F.lit(2), F.lit(4), F.lit(6), F.lit(6))).alias("m"), F.year("first").alias("y"))
+    order = F.row_number().over(scoring_window()).cast("int")
+    found = made.withColumn("ord", order).select(
+        "scope_id", "ord", F.concat(F.lit("f"), "ord").alias("filename"), F.lit(None).cast("string").alias("invoice_number"),
+        F.concat_ws("-", F.col("y").cast("string"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("period"),
+        F.col("fee").cast("decimal(28,8)").alias("amount"), F.lit("EUR").alias("currency"),
+    )
+    return contract.match_invoices(_required(spark, sf_dir), found).select("scope_id", "ord", "period", "found")
+
+
+def scoring_window():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("scope_id").orderBy("m")
+
+
+def score_single_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = scoring.scored_pairs(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+    return pairs.select("transaction_id", "document_id", "status", *map(unit, SCORES))
+
+
+def combination_pool_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = combination_pool(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+    return pool.select("transaction_id", "document_id", "place", unit("pool_merchant"))
+
+
+def combination_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = cut(combination_pool(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS), "pool")
+    return combination_sets(pool, SETTINGS).select("transaction_id", F.array_join("places", "-").alias("places"))
+
+
+def score_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = combination_proposals(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+    return found.select("transaction_id", F.array_join("document_ids", ";").alias("document_ids"), "status", *map(unit, SCORES))
+
+
+def proposal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, d = domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir)
+    return numbered(reconcile.proposals(t, d, SETTINGS)).select("scope_id", "transaction_id", F.array_join("document_ids", ";").alias("document_ids"), "place")
+
+
+def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense instance: orders want the parts they hold and the next ones."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(
+        F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.count("*").alias("n")
+    )
+    want = F.explode(F.array("p", F.col("p") + 1, F.col("p") + 2))
+    made = items.where("n >= 4").select((F.col("l_orderkey") % 50).alias("scope_id"), "l_orderkey", "s", want.alias("w"))
+    offers = made.select(
+        "scope_id", F.lit("CONFIRMED").alias("status"), (F.pmod(F.col("s") * 7 + F.col("w") * 13, F.lit(1000))).alias("score"),
+        F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("transaction_id"),
+        F.array(F.concat(F.lit("d"), (F.pmod("w", F.lit(40))).cast("string"))).alias("document_ids"),
+    ).distinct()
+    offers = cut(ranked(offers), "dense")
+    taken = greedy_assign(offers, small=0)
+    return offers.join(taken, ["scope_id", "rank"], "left_semi").select("scope_id", "transaction_id", F.array_join("document_ids", ";").alias("document_id"))
+
+
+def match_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.transform("documents", lambda c: c["document_id"]), ";").alias("document_ids")
+    return _result(spark, sf_dir).matches.select("scope_id", "transaction_id", "status", *map(unit, SCORES), "group_amount_exact", ids)
+
+
+def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result(spark, sf_dir).matches.select("transaction_id", "reason")
+
+
+def document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result(spark, sf_dir).references().select("document_id", F.array_join("transaction_ids", ";").alias("transaction_ids"))
+
+
+def unmatched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result(spark, sf_dir).unmatched_documents().select("scope_id", "id", "amount", "currency")
+
+
+def population_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _result(spark, sf_dir)
+    gaps = reports.population_gaps(result).select("id", "gap").unionByName(reconcile.broken_rules(result).select("id", F.col("rule").alias("gap")))
+    return gaps.agg(F.count("*").alias("problems"))
+
+
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.status_summary(_result(spark, sf_dir))
+
+
+def currency_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.currency_totals(_result(spark, sf_dir))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.coverage(_result(spark, sf_dir)).select("scope_id", *[F.col(c).cast("decimal(9,4)").alias(c) for c in ("by_count", "by_amount")])
+
+
+def _sheet(rows: DataFrame) -> DataFrame:
+    names = ("scope_id", "transaction_id", "direction", "posted_date", "amount", "currency", "merchant_raw", "status", "document_ids", "filenames", "combination")
+    return rows.select(*names)
+
+
+def report_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheet(reports.transactions_sheet(_result(spark, sf_dir)))
+
+
+def report_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheet(reports.missing_sheet(_result(spark, sf_dir)))
+
+
+def report_probable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheet(reports.probable_sheet(_result(spark, sf_dir)))
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.documents_sheet(_result(spark, sf_dir)).select("scope_id", "document_id", "filename", "issued_date", "amount", "usage", "transaction_ids")
+
+
+def report_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.duplicates_sheet(_result(spark, sf_dir)).select("scope_id", "document_id", "usage")
+
+
+def html_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.html_rows(_result(spark, sf_dir)).select("transaction_id", "date", "text", "amount_text", "status", "files")
+
+
+def _glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Statements laid out from the transactions: one file for each scope, 20
+    rows a page, with a summary before and after; glyph ids are characters'."""
+    from pyspark.sql import Window
+
+    t = domain.transactions(spark, sf_dir).where("direction <> 'unknown'")
+    by = Window.partitionBy("scope_id").orderBy("id")
+    n = F.row_number().over(by) - 1
+    money = F.format_string("%s%s", F.when(F.col("direction") == "outgoing", "-").otherwise("+"), F.col("amount").cast("decimal(18,2)").cast("string"))
+    y = 100 + 30 * (n % 20)
+    rows = t.select("scope_id", (1 + F.floor(n / 20)).cast("int").alias("page"), y.cast("double").alias("y"), "id", "posted_date", "merchant_raw", "currency", money.alias("money"))
+    day = F.date_format("posted_date", "dd.MM.yyyy")
+    cells = F.array(
+        F.struct(F.lit(62.0).alias("x"), F.lit(0.0).alias("dy"), F.col("id").alias("t")), F.struct(F.lit(161.0).alias("x"), F.lit(0.3).alias("dy"), day.alias("t")),
+        F.struct(F.lit(218.0).alias("x"), F.lit(0.6).alias("dy"), F.col("merchant_raw").alias("t")),
+        F.struct(F.lit(401.0).alias("x"), F.lit(0.0).alias("dy"), F.col("money").alias("t")),
+        F.struct(F.lit(218.0).alias("x"), F.lit(10.0).alias("dy"), F.lit("Card payment").alias("t")),
+        F.struct(F.lit(60.0).alias("x"), F.lit(790.0).alias("dy"), F.lit("footer").alias("t")),
+    )
+    placed = rows.select("scope_id", "page", "y", F.inline(cells)).select("scope_id", "page", (F.col("y") + F.col("dy")).alias("y0"), "x", "t")
+    amount = F.col("amount").cast("decimal(18,2)")
+    paid, got = (F.sum(F.when(F.col("direction") == d, amount).otherwise(0)) for d in ("outgoing", "incoming"))
+    sums = t.groupBy("scope_id").agg(
+        paid.alias("paid"), got.alias("got"), F.count_if(F.col("direction") == "outgoing").alias("np"), F.count_if(F.col("direction") == "incoming").alias("ng"),
+        F.max("currency").alias("cur"), (1 + F.floor((F.count("*") - 1) / 20)).cast("int").alias("last"),
+    )
+    text = lambda c: F.concat("cur", F.when(F.col(c) < 0, "-").otherwise("+"), F.abs(c).cast("decimal(18,2)").cast("string"))
+    sums = sums.withColumn("open", F.lit(10).cast("decimal(18,2)")).withColumn("close", F.col("open") + F.col("got") - F.col("paid")).withColumn("minus", -F.col("paid"))
+    layout = statement.Layout()
+    totals = F.array(
+        F.struct(F.lit(1).alias("page"), F.lit(80.0).alias("y0"), F.lit(layout.opening).alias("l"), text("open").alias("t")),
+        F.struct(F.col("last").alias("page"), F.lit(740.0).alias("y0"), F.format_string(layout.debited + " (%d)", "np").alias("l"), text("minus").alias("t")),
+        F.struct(F.col("last").alias("page"), F.lit(750.0).alias("y0"), F.format_string(layout.credited + " (%d)", "ng").alias("l"), text("got").alias("t")),
+        F.struct(F.col("last").alias("page"), F.lit(760.0).alias("y0"), F.lit(layout.closing).alias("l"), text("close").alias("t")),
+    )
+    labels = sums.select("scope_id", F.inline(totals))
+    placed = placed.unionByName(labels.select("scope_id", "page", "y0", F.lit(218.0).alias("x"), F.col("l").alias("t")))
+    placed = placed.unionByName(labels.select("scope_id", "page", "y0", F.lit(401.0).alias("x"), "t"))
+    # A blank is a gap of two points; letters are four points wide.
+    letters = placed.select("scope_id", "page", "y0", "x", F.posexplode(F.split("t", "")).alias("i", "c")).where("c not in ('', ' ')")
+    glyphs = letters.select(
+        "scope_id", F.lit("statement.pdf").alias("file"), "page", F.lit("f").alias("font"), F.ascii(F.col("c")).cast("int").alias("glyph_id"),
+        (F.col("x") + 4.0 * F.col("i")).alias("x0"), (F.col("x") + 4.0 * F.col("i") + 4.0).alias("x1"), "y0",
+    )
+    glyphs = cut(glyphs, "glyphs")
+    return glyphs, glyphs.select("font", "glyph_id").distinct().withColumn("ch", _char(F.col("glyph_id")))
+
+
+def _char(code: Column) -> Column:
+    """The character of a code point of at most 16 bits."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    glyphs, names = _glyphs(spark, sf_dir)
+    words = statement.words_of_lines(statement.lines_of_glyphs(glyphs, names))
+    lines = statement.line_kinds(statement.columns_of_words(words)).where("kind = 'start'")
+    return lines.select("scope_id", "reference", "date_text", "details", "amount_text")
+
+
+def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = statement.read_statements(*_glyphs(spark, sf_dir))
+    return rows.select("scope_id", "source_page", "source_row", "posted_date", "direction", "amount", "currency", "description", "merchant_raw")
+
+
+def statement_balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, check = statement.read_statements(*_glyphs(spark, sf_dir))
+    return check.select("scope_id", *[F.col(c).cast("decimal(28,8)").alias(c) for c in ("opening", "closing", "paid", "received")], "problem")
+
+
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    return statement.page_ranges(items, ["l_orderkey"], "l_linenumber")
+
+
+QUERIES = (
+    outgoing_filter, parse_amount_formats, parse_amount_rejects, parse_date_formats, normalize_merchant, merchant_similarity, merchant_signal,
+    document_id, transaction_id, reference_tokens, reference_signal, date_bands, currency_safe_equal, extract_fields, extract_ambiguous,
+    invoice_period_vote, contract_status, contract_months, contract_explicit_lines, expected_vs_found, score_single_pairs, combination_pool_topk,
+    combination_subsets, score_combinations, proposal_rank, greedy_assignment, match_transactions, match_reasons, document_references,
+    unmatched_documents, population_check, status_summary, currency_totals, coverage, report_transactions, report_missing, report_probable,
+    report_documents, report_duplicates, html_status, statement_lines, statement_rows, statement_balance_check, page_ranges,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallyloom import oracles
+
+    return oracles.oracle_sql()
