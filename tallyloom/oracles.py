@@ -80,8 +80,8 @@ def date_score(gap: str) -> str:
     return f"CASE WHEN {gap} IS NULL THEN NULL WHEN {gap} <= 0 THEN 1000000 WHEN {gap} <= 1 THEN 900000 WHEN {gap} <= 3 THEN 450000 WHEN {gap} <= 5 THEN 200000 ELSE 0 END"
 
 
-TOTAL = """(2 * (400000 * coalesce(amount_score, 0) + 150000 * coalesce(currency_score, 0) + 250000 * coalesce(merchant_score, 0)
-  + 100000 * coalesce(date_score, 0) + 100000 * coalesce(reference_score, 0)) + 1000000) // 2000000"""
+TOTAL = """(2 * (400000::BIGINT * coalesce(amount_score, 0) + 150000::BIGINT * coalesce(currency_score, 0) + 250000::BIGINT * coalesce(merchant_score, 0)
+  + 100000::BIGINT * coalesce(date_score, 0) + 100000::BIGINT * coalesce(reference_score, 0)) + 1000000) // 2000000"""
 STATUS = """CASE WHEN score >= 850000 AND amount_score = 1000000 AND currency_score = 1000000
     AND (coalesce(merchant_score, 0) >= 900000 OR coalesce(reference_score, 0) = 1000000) THEN 'CONFIRMED'
   WHEN score >= 600000 AND (coalesce(merchant_score, 0) >= 700000 OR coalesce(reference_score, 0) = 1000000) THEN 'PROBABLE' ELSE 'MISSING' END"""
