@@ -21,6 +21,23 @@ from tallyloom.scratch import cut
 
 SETTINGS = Settings()
 _DONE: dict[tuple[str, str], reconcile.Reconciliation] = {}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _table(make: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain's rows, made of the driver's tables and written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if key not in _TABLES:
+        _TABLES[key] = cut(make(spark, sf_dir), make.__name__)
+    return _TABLES[key]
+
+
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(domain.transactions, spark, sf_dir)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(domain.documents, spark, sf_dir)
 
 
 def _result(spark: SparkSession, sf_dir: str) -> reconcile.Reconciliation:
@@ -28,7 +45,7 @@ def _result(spark: SparkSession, sf_dir: str) -> reconcile.Reconciliation:
     matches are a written table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _DONE:
-        _DONE[key] = reconcile.match_transactions(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+        _DONE[key] = reconcile.match_transactions(_transactions(spark, sf_dir), _documents(spark, sf_dir), SETTINGS)
     return _DONE[key]
 
 
@@ -40,7 +57,7 @@ SCORES = ("score", *scoring.SIGNALS)
 
 
 def outgoing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.outgoing(domain.transactions(spark, sf_dir)).select("scope_id", "id", "posted_date", "amount", "currency")
+    return scoring.outgoing(_transactions(spark, sf_dir)).select("scope_id", "id", "posted_date", "amount", "currency")
 
 
 def parse_amount_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +121,7 @@ def document_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transaction_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = domain.transactions(spark, sf_dir).where("id is not null")
+    rows = _transactions(spark, sf_dir).where("id is not null")
     page, row = F.lit(1), F.lit(None).cast("int")
     made = references.transaction_id(
         F.col("source_file"), F.col("posted_date"), F.col("direction"), F.col("amount"), F.col("currency"), F.col("description"), page, row
@@ -114,13 +131,13 @@ def transaction_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = references.reference_tokens(F.col("description"), SETTINGS.reference_minimum_length)
-    return domain.transactions(spark, sf_dir).select("id", F.array_join(tokens, " ").alias("tokens"))
+    return _transactions(spark, sf_dir).select("id", F.array_join(tokens, " ").alias("tokens"))
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's transaction with the documents of its own lines."""
-    t = domain.transactions(spark, sf_dir).withColumn("k", F.regexp_extract("id", r"(\d+)$", 1))
-    d = domain.documents(spark, sf_dir).withColumn("k", F.regexp_extract("id", r"^doc-(\d+)-", 1))
+    t = _transactions(spark, sf_dir).withColumn("k", F.regexp_extract("id", r"(\d+)$", 1))
+    d = _documents(spark, sf_dir).withColumn("k", F.regexp_extract("id", r"^doc-(\d+)-", 1))
     return t.alias("t").join(d.alias("d"), "k")
 
 
@@ -148,7 +165,7 @@ def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n", F.concat(F.lit("Supplier: "), "merchant_raw"), F.concat(F.lit("Invoice no. "), "invoice_number"), F.concat(F.lit("Issued "), day),
         F.lit("Subtotal 1.00 EUR"), F.concat(F.lit("Total "), price, F.lit(" "), F.coalesce("currency", F.lit(""))),
     )
-    return domain.documents(spark, sf_dir).select("id", "issued_date", lines.alias("text"))
+    return _documents(spark, sf_dir).select("id", "issued_date", lines.alias("text"))
 
 
 FIELDS = ("issued_date", "amount", "currency", "merchant_raw", "invoice_number")
@@ -165,7 +182,7 @@ def extract_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_period_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = domain.documents(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
     odd = F.substring("id", -1, 1) == "3"
     shown = F.when(odd, F.add_months("issued_date", 1)).otherwise(F.col("issued_date"))
     name = F.concat(F.lit("invoice_"), F.date_format(shown, "MM_yyyy"), F.lit(".pdf"))
@@ -225,27 +242,27 @@ def scoring_window():
 
 
 def score_single_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = scoring.scored_pairs(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+    pairs = scoring.scored_pairs(_transactions(spark, sf_dir), _documents(spark, sf_dir), SETTINGS)
     return pairs.select("transaction_id", "document_id", "status", *map(unit, SCORES))
 
 
 def combination_pool_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = combination_pool(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+    pool = combination_pool(_transactions(spark, sf_dir), _documents(spark, sf_dir), SETTINGS)
     return pool.select("transaction_id", "document_id", "place", unit("pool_merchant"))
 
 
 def combination_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = cut(combination_pool(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS), "pool")
+    pool = cut(combination_pool(_transactions(spark, sf_dir), _documents(spark, sf_dir), SETTINGS), "pool")
     return combination_sets(pool, SETTINGS).select("transaction_id", F.array_join("places", "-").alias("places"))
 
 
 def score_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = combination_proposals(domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir), SETTINGS)
+    found = combination_proposals(_transactions(spark, sf_dir), _documents(spark, sf_dir), SETTINGS)
     return found.select("transaction_id", F.array_join("document_ids", ";").alias("document_ids"), "status", *map(unit, SCORES))
 
 
 def proposal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, d = domain.transactions(spark, sf_dir), domain.documents(spark, sf_dir)
+    t, d = _transactions(spark, sf_dir), _documents(spark, sf_dir)
     return numbered(reconcile.proposals(t, d, SETTINGS)).select("scope_id", "transaction_id", F.array_join("document_ids", ";").alias("document_ids"), "place")
 
 
@@ -335,7 +352,7 @@ def _glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows a page, with a summary before and after; glyph ids are characters'."""
     from pyspark.sql import Window
 
-    t = domain.transactions(spark, sf_dir).where("direction <> 'unknown'")
+    t = _transactions(spark, sf_dir).where("direction <> 'unknown'")
     by = Window.partitionBy("scope_id").orderBy("id")
     n = F.row_number().over(by) - 1
     money = F.format_string("%s%s", F.when(F.col("direction") == "outgoing", "-").otherwise("+"), F.col("amount").cast("decimal(18,2)").cast("string"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyloom.config import MICRO, Settings
 from tallyloom.functions.amounts import MONEY
 from tallyloom.operators.scoring import (
-    SIGNALS, cited, date_signal, outgoing, pair_signals, prepared_documents, prepared_transactions, with_merchant_signal, with_total,
+    SIGNALS, cited, date_signal, outgoing, pair_signals, prepared_documents, prepared_transactions, with_merchant_signals, with_total,
 )
+from tallyloom.scratch import cut
 
 
 def combination_pool(transactions: DataFrame, documents: DataFrame, settings: Settings) -> DataFrame:
@@ -22,7 +23,7 @@ def combination_pool(transactions: DataFrame, documents: DataFrame, settings: Se
         (t["scope_id"] == d["d_scope"]) & (t["currency"] == d["d_currency"])
         & (d["d_amount"] <= t["amount"]) & (F.abs(d["d_amount"] - t["amount"]) > tolerance)
     )
-    pairs = with_merchant_signal(t.join(d, fits), "m1", "d_m1", "pool_merchant", settings)
+    pairs = with_merchant_signals(t.join(d, fits), {"pool_merchant": ("m1", "d_m1")}, settings)
     gap = F.coalesce(F.abs(F.datediff("posted_date", "issued_date")), F.lit(10**9))
     order = Window.partitionBy("scope_id", "transaction_id").orderBy(
         F.desc(F.coalesce("pool_merchant", F.lit(-MICRO))), gap, F.desc("d_amount"), "document_id"
@@ -62,7 +63,7 @@ def combination_proposals(transactions: DataFrame, documents: DataFrame, setting
     Merchant is the least and date the largest of the members', null if any is;
     the reference is the best that is present."""
     key = ["scope_id", "transaction_id"]
-    pool = combination_pool(transactions, documents, settings)
+    pool = cut(combination_pool(transactions, documents, settings), "pool")
     sets = combination_sets(pool, settings)
     members = sets.select(*key, "places", F.explode("places").alias("place")).join(pool, [*key, "place"])
     scored = pair_signals(members, settings)

@@ -14,6 +14,7 @@ from tallyloom.functions.amounts import currency_safe_equal
 from tallyloom.functions.columns import half_up
 from tallyloom.functions.merchants import merchant_signal, normalize_merchant
 from tallyloom.functions.references import reference_signal
+from tallyloom.scratch import cut
 
 TXN = ["scope_id", "transaction_id", "posted_date", "amount", "currency", "description", "m1", "m2", "m3"]
 
@@ -38,13 +39,24 @@ def prepared_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def with_merchant_signal(pairs: DataFrame, left: str, right: str, name: str, settings: Settings) -> DataFrame:
-    """Add the signal of two normalised names, computed once for each different
-    pair of names and joined back."""
-    l, r = f"{name}_l", f"{name}_r"
-    different = pairs.select(F.col(left).alias(l), F.col(right).alias(r)).where(f"{l} <> '' and {r} <> ''").distinct()
-    signals = different.select(l, r, merchant_signal(F.col(l), F.col(r), settings).alias(name))
-    return pairs.join(signals, (pairs[left] == signals[l]) & (pairs[right] == signals[r]), "left").drop(l, r)
+def with_merchant_signals(pairs: DataFrame, names: dict[str, tuple[str, str]], settings: Settings) -> DataFrame:
+    """Add signals of pairs of normalised names, ``names`` giving for each new
+    column the two it compares.
+
+    Rows are written once, as they are read for the different pairs of names
+    and again for the join; each pair of names is compared once.
+    """
+    pairs = cut(pairs, "pairs")
+    met = None
+    for left, right in names.values():
+        part = pairs.select(F.col(left).alias("name_l"), F.col(right).alias("name_r"))
+        met = part if met is None else met.unionByName(part)
+    different = met.where("name_l <> '' and name_r <> ''").distinct()
+    signals = cut(different.select("name_l", "name_r", merchant_signal(F.col("name_l"), F.col("name_r"), settings).alias("signal")), "name-signals")
+    for name, (left, right) in names.items():
+        part = signals.select(F.col("name_l").alias(left), F.col("name_r").alias(right), F.col("signal").alias(name))
+        pairs = pairs.join(part, [left, right], "left")
+    return pairs
 
 
 def date_signal(gap: Column, settings: Settings) -> Column:
@@ -83,8 +95,7 @@ def _flag(value: Column) -> Column:
 
 def pair_signals(pairs: DataFrame, settings: Settings) -> DataFrame:
     """The five signals of each pair of prepared rows."""
-    for left, right, name in (("m1", "d_m1", "s1"), ("m2", "d_m2", "s2"), ("m3", "d_m1", "s3")):
-        pairs = with_merchant_signal(pairs, left, right, name, settings)
+    pairs = with_merchant_signals(pairs, {"s1": ("m1", "d_m1"), "s2": ("m2", "d_m2"), "s3": ("m3", "d_m1")}, settings)
     exact = currency_safe_equal(F.col("amount"), F.col("currency"), F.col("d_amount"), F.col("d_currency"), settings.amount_tolerance)
     gap = F.abs(F.datediff("posted_date", "issued_date"))
     reference = reference_signal(F.col("description"), F.col("invoice_number"), F.col("extracted_text"), settings.reference_minimum_length)
