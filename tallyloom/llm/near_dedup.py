@@ -97,7 +97,7 @@ def _sets(size: int, bands: int, rows: int, with_registers: bool):
                 if with_registers:
                     regs.append(registers(found, multipliers, offsets).tobytes() if len(found) else b"")
                 count += len(found)
-                if count > 2_000_000 or k == len(ids) - 1:
+                if count > 500_000 or k == len(ids) - 1:
                     flat, cuts = pa.array(np.concatenate(held)), pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
                     cols = [ids.slice(start, k + 1 - start), pa.ListArray.from_arrays(cuts, flat)]
                     names = ["id", "hashes"]

@@ -33,6 +33,29 @@ WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{BLANKS}{LETTERS}{DI
 UNUSUAL = "[^\x00-\x1b\x20-įı-ſ]|<\\|"
 
 
+class Cache:
+    """A bounded map: two generations of ``held`` entries, of which the older
+    one goes when the newer is full; what is asked for again moves over."""
+
+    def __init__(self, held: int) -> None:
+        self.held = held
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are in neither generation; all others are in
+        the newer one from now on."""
+        if len(self.new) > self.held:
+            self.old, self.new = self.new, {}
+        lost = []
+        for k in keys - self.new.keys():
+            if (v := self.old.get(k)) is None:
+                lost.append(k)
+            else:
+                self.new[k] = v
+        return lost
+
+
 class Encoder:
     """Token ids as little-endian bytes, with bounded caches.
 
@@ -40,13 +63,12 @@ class Encoder:
     between blanks is looked up whole, and only where it is new is it cut into
     pre-tokens, which the tokenizer encodes, many in one call."""
 
-    def __init__(self, path: str, held: int = 500_000) -> None:
+    def __init__(self, path: str, held: int = 120_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.unusual, self.held = re.compile(WORDS), re.compile(UNUSUAL), held
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words, self.unusual = re.compile(WORDS), re.compile(UNUSUAL)
+        self.chunks, self.known = Cache(held), Cache(held)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,21 +82,18 @@ class Encoder:
                 parts = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             else:
                 parts = [self._ids(w) for w in lot]
-            self.known.update(zip(lot, parts, strict=True))
+            self.known.new.update(zip(lot, parts, strict=True))
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         cut_up = {c: self.words.findall(c.lower()) for c in chunks}
-        self._learn_words(list({w for ws in cut_up.values() for w in ws} - self.known.keys()))
-        get = self.known.__getitem__
-        self.chunks.update((c, b"".join(map(get, ws))) for c, ws in cut_up.items())
+        self._learn_words(self.known.missing({w for ws in cut_up.values() for w in ws}))
+        get = self.known.new.__getitem__
+        self.chunks.new.update((c, b"".join(map(get, ws))) for c, ws in cut_up.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.chunks, self.known):
-            if len(cache) > self.held:
-                cache.clear()
         found = [None if self.unusual.search(t) else t.split() for t in texts]
-        self._learn({c for cs in found if cs for c in cs} - self.chunks.keys())
-        get = self.chunks.__getitem__
+        self._learn(self.chunks.missing({c for cs in found if cs for c in cs}))
+        get = self.chunks.new.__getitem__
         return [self._ids(t) if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, found, strict=True)]
 
 
@@ -85,8 +104,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         for batch in batches:
             docs, texts = (c.to_pylist() for c in batch.columns)
             out: list[tuple] = []
-            for at in range(0, len(texts), 256):
-                for doc, ids in zip(docs[at : at + 256], encoder.encode([t or "" for t in texts[at : at + 256]]), strict=True):
+            for at in range(0, len(texts), 64):
+                for doc, ids in zip(docs[at : at + 64], encoder.encode([t or "" for t in texts[at : at + 64]]), strict=True):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + capacity)]
