@@ -12,7 +12,8 @@ A document is its set of distinct five-word shingles, hashed to 64 bits.
 4. Each remaining set meets the best-connected set among its buckets' leaders.
    Links that hold join sets into components.
 5. Only sets that share a bucket and are not yet in one component meet
-   pairwise, where sizes and own shingles leave a link possible.  So a group of
+   pairwise, where sizes, own shingles and counts by classes of shingles leave
+   a link possible; these bounds lose nothing.  So a group of
    thousands of copies makes thousands of pairs, not their square.
 6. A pair's similarity is first estimated by maximum likelihood from the
    registers and the known set sizes.  Pairs that the likelihood all but rules
@@ -39,6 +40,8 @@ from tallyloom.scratch import cut
 
 #: SetSketch parameters: base, rate and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65534
+#: Shingles are counted in so many classes by hash, to bound what two sets share.
+CLASSES = 64
 #: A pair is left when its likelihood at the threshold is e**-SLACK of the best.
 SLACK = 18.0
 
@@ -90,21 +93,23 @@ def _sets(size: int, bands: int, rows: int, with_registers: bool):
         multipliers, offsets, _ = _parameters(bands, rows)
         for batch in batches:
             ids, texts = batch.columns
-            held, regs, count = [], [], 0
+            held, regs, classes, count = [], [], [], 0
             start = 0
             for k, found in enumerate(shingle_sets(texts, size)):
                 held.append(found.view(np.int64))
                 if with_registers:
                     regs.append(registers(found, multipliers, offsets).tobytes() if len(found) else b"")
+                    classes.append(np.bincount((found & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES))
                 count += len(found)
                 if count > 500_000 or k == len(ids) - 1:
                     flat, cuts = pa.array(np.concatenate(held)), pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
                     cols = [ids.slice(start, k + 1 - start), pa.ListArray.from_arrays(cuts, flat)]
                     names = ["id", "hashes"]
                     if with_registers:
-                        cols, names = [*cols, pa.array(regs, pa.binary())], [*names, "regs"]
+                        cols += [pa.array(regs, pa.binary()), pa.array(classes, pa.list_(pa.int32()))]
+                        names += ["regs", "classes"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
-                    held, regs, count, start = [], [], 0, k + 1
+                    held, regs, classes, count, start = [], [], [], 0, k + 1
 
     return run
 
@@ -217,16 +222,19 @@ def near_duplicates(
     read = named.join(broadcast_if_small(candidates, broadcast_rows), "id", "left_semi")
     hashed = read.mapInArrow(_sets(size, bands, band_size, False), "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
     single = hashed.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    by_class = single.groupBy("id", F.col("h").bitwiseAND(CLASSES - 1).cast("int").alias("c")).agg(F.count("*").cast("int").alias("k"))
+    own = by_class.groupBy("id").agg(F.sum("k").alias("own"), F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("own_classes"))
     sized = candidates.join(rows.select("id", "n").distinct(), "id").join(own, "id", "left")
-    sized = sized.select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    sized = sized.select("id", "n", F.coalesce("own", F.lit(0)).alias("own"), "own_classes")
     alive = cut(sized.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "near-alive")
 
     read = named.join(broadcast_if_small(alive.select("id"), broadcast_rows), "id", "left_semi")
-    sets = read.mapInArrow(_sets(size, bands, band_size, True), "id long, hashes array<long>, regs binary").dropDuplicates(["id"])
-    sets = cut(sets.join(alive, "id"), "near-sets")
+    sets = read.mapInArrow(_sets(size, bands, band_size, True), "id long, hashes array<long>, regs binary, classes array<int>")
+    others = F.transform("classes", lambda v, c: v - F.coalesce(F.try_element_at("own_classes", c), F.lit(0)))
+    sets = sets.dropDuplicates(["id"]).join(alive, "id").withColumn("others", others).drop("own_classes", "classes")
+    sets = cut(sets, "near-sets")
 
-    rows = rows.select("id", "key").join(alive, "id")
+    rows = rows.select("id", "key").join(sets.select("id", "n", "own", "others"), "id")
     rows = cut(rows.join(spread.select("id", "keys"), "id"), "near-alive-rows")
     slim = rows.select("id", "key")
 
@@ -243,7 +251,7 @@ def near_duplicates(
 
     # What shares a bucket and is still apart.
     joined = rows.join(first, "id", "left").select(
-        "key", "id", "n", "own", "keys", F.coalesce("component", "id").alias("comp")
+        "key", "id", "n", "own", "others", "keys", F.coalesce("component", "id").alias("comp")
     )
     joined = cut(joined, "near-apart")
     open_keys = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
@@ -254,7 +262,10 @@ def near_duplicates(
     earliest = F.element_at("x.keys", F.array_position(same, F.lit(True)).cast("int")) == F.col("x.key")
     apart = F.col("x.comp") < F.col("y.comp")
     fits = _sizes_fit(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), percent)
-    meet = (F.col("x.key") == F.col("y.key")) & apart & fits & earliest
+    # In each class of shingles two sets share no more than either has there.
+    common = F.aggregate(F.zip_with("x.others", "y.others", lambda p, q: F.least(p, q)), F.lit(0), lambda a, v: a + v).cast("long")
+    enough = 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)
+    meet = (F.col("x.key") == F.col("y.key")) & apart & fits & earliest & enough
     pairs = x.join(y.hint("merge"), meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     more = _confirm(cut(pairs, "near-pairs"), sets, percent)
     components = cut(connected_components(links.unionByName(more)), "near-components")
