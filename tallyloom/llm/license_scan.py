@@ -1,19 +1,30 @@
-"""Licence notices in documents by Dice coefficient, in DataFrame operations only.
-
-Lines are the unit.  A line is normalised to lower-case letters and digits and
-becomes the set of its word bigrams.  With Dice 2 i / (m + t) >= d, a template
-of t bigrams can only match lines of m bigrams where d t / (2 - d) <= m and
-m <= t (2 - d) / d; lines whose size fits no template are dropped before any
-bigram is made, and each template is held against lines of its sizes only.
-Shared bigrams are counted in an equi-join with the templates' bigrams.
+"""Licence notices and texts in documents by Dice coefficient, in DataFrame operations only.
+
+Text is normalised to lower-case letters and digits and becomes word bigrams.
+With Dice 2 i / (m + t) >= d, and as i <= m, a template of t bigrams can only
+match where i >= d t / (2 - d) of them occur; documents that hold fewer of every
+template's bigrams, counted in an equi-join, are dropped.  In the others
+
+* whole lines are held against the notices, and
+* windows of consecutive words, over line ends and within longer lines, against
+  the notices and the passages of full licence texts.  Words of a window that
+  stand before its first or after its last bigram of the template only lower
+  its Dice, so windows start and end at such bigrams.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ascii_lower
+from tallyloom.llm.common import ascii_lower, broadcast_if_small
+from tallyloom.scratch import cut
+
+#: More candidate documents than this are joined by shuffling, not broadcast.
+BROADCAST_DOCS = 1_000_000
 
 # Common short licence notices.
 TEMPLATES = [
@@ -37,6 +48,30 @@ TEMPLATES = [
 ]
 
 
+# Of full texts whose passages are alike the earlier one names them.
+FULL_TEXTS = ("MIT", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0")
+
+
+def passages(text: str, least: int = 12, most: int = 120) -> list[str]:
+    """Paragraphs of a licence text: headings of fewer than ``least`` words are
+    left out, longer ones than ``most`` words are cut into equal parts."""
+    found = []
+    for words in map(_words, re.split(r"\n\s*\n", text)):
+        parts = -(-len(words) // most)
+        if len(words) >= least:
+            found += [" ".join(words[len(words) * i // parts : len(words) * (i + 1) // parts]) for i in range(parts)]
+    return found
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Licence and passage of every full licence text, each passage once."""
+    folder, found = Path(__file__).parent / "licenses", {}
+    for name in FULL_TEXTS:
+        for passage in passages((folder / f"{name}.txt").read_text()):
+            found.setdefault(passage, name)
+    return [(name, passage) for passage, name in found.items()]
+
+
 def normalised(text: Column) -> Column:
     """Lower-case ASCII letters and digits, other runs as one space."""
     return F.trim(F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", " "))
@@ -55,59 +90,117 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     percent: int = 80,
+    texts: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Return doc_id, line, license, template, shared, dice: the best template
-    of every line whose Dice coefficient reaches ``percent`` hundredths.
-
-    ``line`` counts from 1, ``template`` is the place in the list from 0.  Of
-    equal coefficients the earlier template wins.  Null texts, empty texts and
-    lines of fewer than two words match nothing.  A null id stays null; rows
-    that repeat an id and a text give one set of rows.  An empty table gives an
-    empty result; other columns are ignored.  The list of templates is a
-    constant of the program, which bounds what is broadcast.
+    of every line whose Dice coefficient reaches ``percent`` hundredths, and of
+    every window of words elsewhere that does.
+
+    ``line`` counts from 1 and is a window's first; ``template`` is the place in
+    ``templates`` from 0 and goes on in ``texts``, passages of full licence
+    texts (``full_texts()`` when None), which only windows are held against.  Of
+    equal coefficients the earlier template wins.  Of the windows of a document
+    those are taken, by Dice, template and place, that share no word with a
+    window taken before and no line with a matched line of the same licence or
+    of no smaller Dice; matched lines always stay.  A window has at most
+    (200 - percent) / percent times its template's bigrams, repeats included.
+    Null texts, empty texts and texts of fewer than two words match nothing.  A
+    null id stays null; rows that repeat an id and a text give one set of rows.
+    An empty table gives an empty result; other columns are ignored.  The lists
+    of templates are constants of the program, which bounds what is broadcast.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    known = known.select("template", "license", bigrams(F.split(normalised(F.col("text")), " ")).alias("pairs"))
-    sizes = [len({*zip(w, w[1:], strict=False)}) for w in (_words(text) for _, text in templates)]
-    fits = lambda m: [(percent * t <= (200 - percent) * m) & (percent * m <= (200 - percent) * t) for t in sorted(set(sizes))]
-    shortest = min(-(-percent * t // (200 - percent)) for t in sizes)
-
-    key = ["doc_id", "h", "line"]
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("h"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "raw"),
+    every = [*templates, *(full_texts() if texts is None else texts)]
+    known = [(i, name, _words(text)) for i, (name, text) in enumerate(every)]
+    known = [(i, name, list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))), len(w) - 1) for i, name, w in known if len(w) > 1]
+    needed = lambda t: -(-percent * t // (200 - percent))
+    known = spark.createDataFrame(
+        [(i, name, pairs, len(pairs), needed(len(pairs)), n * (200 - percent) // percent) for i, name, pairs, n in known],
+        "template int, license string, known array<string>, t int, needed int, longest int",
     )
-    # A bigram needs three characters and a space, so short lines go before they are normalised.
-    lines = lines.where(F.length("raw") >= 4 * shortest - 1)
-    lines = lines.select("doc_id", "h", (F.col("at") + 1).alias("line"), F.split(normalised(F.col("raw")), " ").alias("words"))
-    lines = lines.where(F.size("words") > shortest)
-    lines = lines.select(*key, bigrams(F.col("words")).alias("pairs")).withColumn("m", F.size("pairs"))
-    fitting = fits(F.col("m"))
-    any_fits = fitting[0]
-    for f in fitting[1:]:
-        any_fits = any_fits | f
-    shredded = lines.where(any_fits).select(*key, "m", F.explode("pairs").alias("pair"))
-    listed = known.select("template", "license", F.size("pairs").alias("t"), F.explode("pairs").alias("pair"))
-    size_fits = (percent * F.col("t") <= (200 - percent) * F.col("m")) & (percent * F.col("m") <= (200 - percent) * F.col("t"))
+    notices = F.col("template") < len(templates)
+
+    # Documents with as many of a template's bigrams as a match takes.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    words = rows.select("doc_id", "h", F.split(normalised(F.col("text")), " ").alias("words")).where(F.size("words") > 1)
+    following = F.slice("words", 2, F.size("words") - 1)
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), following, lambda a, b: F.concat(a, F.lit(" "), b))
+    listed = known.select("template", "needed", F.explode("known").alias("pair")).withColumn("pair_id", F.xxhash64("pair"))
+    # A common bigram stands in many passages, so only its number is shuffled; templates come after.
+    held = (
+        words.select("doc_id", "h", F.explode(pairs).alias("pair"))
+        .join(F.broadcast(listed.select("pair", "pair_id").distinct()), "pair")
+        .groupBy("doc_id", "h")
+        .agg(F.collect_set("pair_id").alias("ids"))
+        .select("doc_id", "h", F.explode("ids").alias("pair_id"))
+        .join(F.broadcast(listed.select("template", "needed", "pair_id")), "pair_id")
+        .groupBy("doc_id", "h", "template", "needed")
+        .agg(F.count("*").alias("i"))
+        .where(F.col("i") >= F.col("needed"))
+    )
+    held = cut(held.groupBy("doc_id", "h").agg(F.collect_list("template").alias("held")), "license-held")
+    few = broadcast_if_small(held.select(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h"), "held"), BROADCAST_DOCS)
+    found = rows.join(few, (F.col("h") == F.col("held_h")) & F.col("doc_id").eqNullSafe(F.col("held_id")))
+    found = found.groupBy("doc_id", "h").agg(F.first("held").alias("held"), F.first("text").alias("text"))
+    found = found.withColumn("raws", F.split("text", "\n")).select("doc_id", "h", "held", F.transform("raws", lambda x: F.split(normalised(x), " ")).alias("lines"))
+    found = cut(found, "license-candidates")
+
+    # Whole lines.
+    key = ["doc_id", "h", "line"]
+    lines = found.select("doc_id", "h", F.posexplode("lines").alias("at", "words")).where(F.size("words") > 1)
+    lines = lines.select("doc_id", "h", (F.col("at") + 1).alias("line"), bigrams(F.col("words")).alias("pairs")).withColumn("m", F.size("pairs"))
+    listed = known.where(notices).select("template", "license", "t", F.explode("known").alias("pair"))
     counted = (
-        shredded.join(F.broadcast(listed), "pair")
-        .where(size_fits)
+        lines.select(*key, "m", F.explode("pairs").alias("pair"))
+        .join(F.broadcast(listed), "pair")
         .groupBy(*key, "m", "template", "license", "t")
         .agg(F.countDistinct("pair").alias("shared"))
         .where(200 * F.col("shared") >= percent * (F.col("m") + F.col("t")))
     )
-    dice = 2 * F.col("shared") / (F.col("m") + F.col("t"))
-    best = F.max(F.struct(dice.alias("dice"), (-F.col("template")).alias("minus"), "license", "shared"))
-    return (
-        counted.groupBy(*key)
-        .agg(best.alias("b"))
-        .select("doc_id", F.col("line").cast("int").alias("line"), "b.license", (-F.col("b.minus")).alias("template"), "b.shared", "b.dice")
+    dice = (2 * F.col("shared") / (F.col("m") + F.col("t"))).alias("dice")
+    best = F.max(F.struct(dice, (-F.col("template")).alias("minus"), "license", "shared"))
+    whole = counted.groupBy(*key).agg(best.alias("b"))
+    whole = whole.select(
+        "doc_id", "h", F.lit(0).alias("window"), (-F.col("b.dice")).alias("minus"), (-F.col("b.minus")).alias("template"),
+        F.lit(0).alias("start"), F.lit(0).alias("stop"), F.col("line").cast("int").alias("line"), F.col("line").cast("int").alias("last"),
+        "b.license", "b.shared",
     )
 
+    # Windows: bigrams start to stop, which are words start to stop + 1.
+    placed = F.flatten(F.transform("lines", lambda ws, i: F.transform(F.filter(ws, lambda w: w != ""), lambda w: F.struct((i + 1).cast("int").alias("line"), w.alias("word")))))
+    texts_of = found.select("doc_id", "h", "held", placed.alias("placed"))
+    texts_of = texts_of.select("doc_id", "h", "held", F.col("placed.line").alias("at"), F.col("placed.word").alias("words")).where(F.size("words") > 1)
+    texts_of = texts_of.select("doc_id", "h", "at", pairs.alias("pairs"), F.explode("held").alias("template"))
+    hits = F.filter(F.transform("pairs", lambda x, i: F.when(F.array_contains(F.col("known"), x), i.cast("int")).otherwise(-1)), lambda i: i >= 0)
+    starts = lambda a, i: F.struct(
+        a.alias("start"),
+        F.slice("pairs", a + 1, F.col("longest")).alias("local"),
+        F.filter(F.slice("hits", i + F.col("needed"), F.col("longest") - F.col("needed") + 1), lambda b: b - a < F.col("longest")).alias("stops"),
+    )
+    begun = texts_of.join(F.broadcast(known), "template").withColumn("hits", hits)
+    begun = begun.select("doc_id", "h", "at", "template", "license", "known", "t", F.inline(F.transform("hits", starts)))
+    lined = F.struct(F.element_at("at", F.col("start") + 1).alias("line"), F.slice("at", F.col("start") + 2, F.size("local")).alias("ats"))
+    begun = begun.where(F.size("stops") > 0).select("doc_id", "h", "template", "license", "known", "t", "start", "local", "stops", lined.alias("l"))
+    ended = begun.select("*", F.explode("stops").alias("stop"))
+    inside = F.slice("local", 1, F.col("stop") - F.col("start") + 1)
+    ended = ended.select(
+        "doc_id", "h", "template", "license", "t", "start", "stop", "l.line", F.element_at("l.ats", F.col("stop") - F.col("start") + 1).alias("last"),
+        F.size(F.array_distinct(inside)).alias("m"), F.size(F.array_intersect(inside, F.col("known"))).cast("long").alias("shared"),
+    ).where(200 * F.col("shared") >= percent * (F.col("m") + F.col("t")))
+    ended = ended.select("doc_id", "h", F.lit(1).alias("window"), (-dice).alias("minus"), "template", "start", "stop", "line", "last", "license", "shared")
+
+    # The better ones first, each against those taken before.
+    order = ["window", "minus", "template", "start", "stop", "line", "last", "license", "shared"]
+    ranked = whole.unionByName(ended).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("ranked"))
+    stronger = lambda x, k: (k["minus"] <= x["minus"]) | (k["license"] == x["license"])
+    meets = lambda x, k: F.when(k["window"] == 0, k["line"].between(x["line"], x["last"]) & stronger(x, k)).otherwise(
+        (x["start"] <= k["stop"] + 1) & (k["start"] <= x["stop"] + 1)
+    )
+    none = F.slice("ranked", 1, 0)
+    take = lambda kept, x: F.when((x["window"] == 1) & F.exists(kept, lambda k: meets(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
+    taken = ranked.select("doc_id", F.inline(F.aggregate("ranked", none, take)))
+    return taken.select("doc_id", "line", "license", "template", "shared", (-F.col("minus")).alias("dice"))
 
-def _words(text: str) -> list[str]:
-    import re
 
+def _words(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()

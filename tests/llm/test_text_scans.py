@@ -1,6 +1,8 @@
 """Token counts, secrets, languages, toxicity, licences and URLs."""
 
 import hashlib
+import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -8,9 +10,9 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tallyloom.llm import secret_scan
+from tallyloom.llm import license_scan, secret_scan
 from tallyloom.llm.language_id import fit_languages, identify_languages, recognised
-from tallyloom.llm.license_scan import scan_licenses
+from tallyloom.llm.license_scan import TEMPLATES, scan_licenses
 from tallyloom.llm.token_count import count_tokens
 from tallyloom.llm.toxicity import fit_risk, fit_toxicity, score_toxicity
 from tallyloom.llm.url_filter import RULE_SCHEMA, filter_urls
@@ -107,6 +109,50 @@ def test_licenses(docs_of):
     assert scan_licenses(docs_of(["a"]).limit(0)).count() == 0
 
 
+def windows_by_force(text, templates, percent=80):
+    """Windows of words by trying all, in the order and with the overlaps of scan_licenses."""
+    placed = [(w, k) for k, line in enumerate(text.split("\n"), 1) for w in re.sub("[^a-z0-9]+", " ", line.lower()).split()]
+    pairs = [f"{a[0]} {b[0]}" for a, b in zip(placed, placed[1:])]
+    found, kept = [], []
+    for i, (name, template) in enumerate(templates):
+        words = re.sub("[^a-z0-9]+", " ", template.lower()).split()
+        known = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        for a in range(len(pairs)):
+            for b in range(a, min(len(pairs), a + (len(words) - 1) * (200 - percent) // percent)):
+                m, shared = len(set(pairs[a : b + 1])), len(set(pairs[a : b + 1]) & known)
+                if 200 * shared >= percent * (m + len(known)):
+                    found.append((-2 * shared / (m + len(known)), i, a, b, name, shared))
+    for x in sorted(found):
+        if all(x[2] > k[3] + 1 or k[2] > x[3] + 1 for k in kept):
+            kept.append(x)
+    return sorted((placed[a][1], name, i, shared, round(-minus, 9)) for minus, i, a, b, name, shared in kept)
+
+
+def test_licenses_in_windows(docs_of):
+    texts = [
+        "x y\nUse of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.",
+        "Copyright 2020 A. Author. Released under the MIT License. See the project page for more.",
+        "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General\n# Public License version 2.\nmore",
+        "we said released under the mit license and then\nalso licensed\nunder cc by\n4.0 and licensed under cc by\nsa 4 0 at the end of it all",
+        "one two three four five\nsix seven",
+    ]
+    want = {(i, *w) for i, t in enumerate(texts) for w in windows_by_force(t, TEMPLATES)}
+    found = {(r.doc_id, r.line, r.license, r.template, r.shared, round(r.dice, 9)) for r in scan_licenses(docs_of(texts), texts=[]).collect()}
+    assert found == want and {i for i, *_ in want} == {0, 1, 2, 3}
+    assert (0, 2, "BSD-3-Clause") in {f[:3] for f in found} and len([f for f in found if f[0] == 3]) == 3
+    both = scan_licenses(docs_of(["4.0 licensed under cc by\nsa 4 0 at the end"]), texts=[]).collect()
+    assert sorted((r.line, r.license, r.dice) for r in both) == [(1, "CC-BY-4.0", 0.8), (1, "CC-BY-SA-4.0", 1.0)]
+
+
+def test_full_license_texts(docs_of):
+    names = ["MIT", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"]
+    texts = [(Path(license_scan.__file__).parent / "licenses" / f"{n}.txt").read_text() for n in names]
+    texts.append(" ".join(texts[0].split()))
+    found = scan_licenses(docs_of(texts)).groupBy("doc_id").agg(F.mode("license").alias("l"), F.count("*").alias("n")).collect()
+    assert {r.doc_id: r.l for r in found} == dict(enumerate([*names, "MIT"]))
+    assert {r.doc_id: r.n for r in found}[4] == len(license_scan.passages(texts[0]))
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "x.org", None)], RULE_SCHEMA)
     urls = [None, "no scheme", "http://", "https://A.Example.COM/en/725?x", "http://example.com/en/8#t", "http://notexample.com/en/7", "http://x.org?q=/en/", "http://yx.org/", "https://a.x.org/en/://com/en/"]
