@@ -3,7 +3,7 @@
 A text becomes hashed letter n-grams of one to three code points, weighted by
 TF-IDF and normalised.  Each language has several centroids, found by spherical
 k-means; the nearest by cosine names the language, and a text that is further
-from every centroid than training texts are is rejected.
+from every centroid than training texts of about its length are is rejected.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tallyloom.scratch import cut
 
 DIMENSIONS = 1 << 14
 UNKNOWN = "und"
+#: Sizes of texts, as powers of two of their n-grams, that have limits of their own.
+SIZES = 20
 _LETTERS: list[np.ndarray] = []
 
 
@@ -62,15 +64,31 @@ class Model:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return _weighted(*gram_counts(text), self.idf)
 
+    def measure(self, batches):
+        """Language, size and cosine to the nearest own centroid of training texts."""
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["places"]:
+                    counts = np.array(r["counts"])
+                    places, weights = _weighted(np.array(r["places"]), counts, self.idf)
+                    own = self.centroids[places][:, self.owner == self.languages.index(r["lang"])]
+                    rows.append((r["lang"], _size(counts), float((weights @ own).max())))
+            lang, size, cosine = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(cosine, pa.float64())], names=["lang", "size", "cosine"]
+            )
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine to its nearest centroid, and whether it is rejected."""
-        places, weights = self.vector(text)
+        places, counts = gram_counts(text)
+        places, weights = _weighted(places, counts, self.idf)
         if not len(places) or not self.languages:
             return UNKNOWN, 0.0, True
         cosines = weights @ self.centroids[places]
         k = int(cosines.argmax())
         score = float(min(1.0, max(0.0, cosines[k])))
-        return self.languages[self.owner[k]], score, score < self.least[k]
+        return self.languages[self.owner[k]], score, score < self.least[self.owner[k], _size(counts)]
 
 
 def _weighted(places: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +96,10 @@ def _weighted(places: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[
     return places, weights / max(float(np.sqrt((weights**2).sum())), 1e-12)
 
 
+def _size(counts: np.ndarray) -> int:
+    return min(SIZES, int(counts.sum()).bit_length()) - 1
+
+
 def _document_frequencies(batches):
     total, seen = np.zeros(DIMENSIONS, np.int64), 0
     for batch in batches:
@@ -92,12 +114,21 @@ def _document_frequencies(batches):
 
 
 def _grams(batches):
+    """N-grams of texts and of their beginnings, which stand for shorter texts."""
     for batch in batches:
-        lang, text = batch.columns
-        found = [gram_counts(t) for t in text.to_pylist()]
+        lang, whole, found = [], [], []
+        for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends = [n for n in (1 << i for i in range(3, SIZES)) if n < len(text)]
+            for n in [*ends, len(text)]:
+                lang.append(name)
+                whole.append(n == len(text))
+                found.append(gram_counts(text[:n]))
         yield pa.RecordBatch.from_arrays(
-            [lang, pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64()))],
-            names=["lang", "places", "counts"],
+            [
+                pa.array(lang, pa.string()), pa.array(whole, pa.bool_()),
+                pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int64())),
+            ],
+            names=["lang", "whole", "places", "counts"],
         )
 
 
@@ -116,14 +147,16 @@ def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit_languages(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 400, clusters: int = 4, slack: float = 0.25,
+    per_language: int = 400, clusters: int = 4, slack: float = 0.5, quantile: float = 0.02,
 ) -> Model:
     """Fit on rows where ``learn`` holds and the language is not null.
 
     Document frequencies come from all of these rows.  Centroids come from at
     most ``per_language`` documents of each language, chosen by a hash of the
-    id; this bounds what reaches the driver.  ``slack`` times the least cosine
-    of a centroid's own training texts is its limit of rejection.
+    id; this bounds what reaches the driver.  ``slack`` times a low quantile of
+    the cosines of a language's training texts, and of beginnings of them, of
+    one size is the limit of rejection for texts of that size; so neither an odd
+    training text nor a short clean text decides for the others.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -142,29 +175,37 @@ def fit_languages(
     levels = F.lit(-1)
     for lang, n in counts.items():
         levels = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * 1_000_000))).otherwise(levels)
-    chosen = rows.where(hashed < levels).select("lang", "text").mapInArrow(_grams, "lang string, places array<long>, counts array<long>")
+    chosen = rows.where(hashed < levels).select("lang", "text").mapInArrow(_grams, "lang string, whole boolean, places array<long>, counts array<long>")
+    chosen = cut(chosen, "language-sample")
     sample: dict[str, list[np.ndarray]] = {}
-    for r in cut(chosen, "language-sample").orderBy("lang", F.hash("places", "counts")).collect():
+    for r in chosen.where("whole").drop("whole").orderBy("lang", F.hash("places", "counts")).collect():
         if r["places"]:
             dense = np.zeros(DIMENSIONS, np.float32)
             places, weights = _weighted(np.array(r["places"]), np.array(r["counts"]), idf)
             dense[places] = weights
             sample.setdefault(r["lang"], []).append(dense)
-    languages, parts, owner, least = sorted(sample), [], [], []
+    languages, parts, owner = sorted(sample), [], []
     for i, lang in enumerate(languages):
         vectors = np.stack(sample[lang])
         centroids = _cluster(vectors, clusters)
-        cosines = vectors @ centroids.T
-        nearest = cosines.argmax(axis=1)
-        for j in range(len(centroids)):
-            own = cosines[nearest == j, j]
-            least.append(slack * float(own.min() if len(own) else cosines.max(axis=1).min()))
-        # The limit of a language is that of its widest cluster: rejection is for what is far from all.
-        least[-len(centroids) :] = [min(least[-len(centroids) :])] * len(centroids)
+        # Spread-out starts find odd texts first: what holds hardly any text does not stand for the language.
+        held = np.bincount((vectors @ centroids.T).argmax(axis=1), minlength=len(centroids))
+        centroids = centroids[held >= min(held.max(), max(2, quantile * len(vectors)))]
         parts.append(centroids)
         owner += [i] * len(centroids)
     centroids = np.concatenate(parts).T.astype(np.float32) if parts else np.zeros((DIMENSIONS, 0), np.float32)
-    return Model(languages, idf, centroids, np.array(owner, np.int64), np.array(least))
+    model = Model(languages, idf, centroids, np.array(owner, np.int64), np.zeros((len(languages), SIZES)))
+    measured: dict[tuple[str, int], list[float]] = {}
+    for r in chosen.mapInArrow(model.measure, "lang string, size int, cosine double").collect() if languages else ():
+        measured.setdefault((r["lang"], r["size"]), []).append(r["cosine"])
+    for i, lang in enumerate(languages):
+        low = 0.0
+        for size in range(SIZES):
+            # A quantile of few texts is their least; a size without enough keeps the limit of smaller texts.
+            if len(own := measured.get((lang, size), [])) >= 10:
+                low = slack * float(np.quantile(own, quantile, method="lower"))
+            model.least[i, size] = low
+    return model
 
 
 def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

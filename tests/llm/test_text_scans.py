@@ -72,6 +72,23 @@ def test_languages(spark):
     assert {r.lang_pred for r in identify_languages(docs, nothing).collect()} == {"und"}
 
 
+def test_languages_reject_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_languages(docs, F.lit(True))
+    rng = np.random.default_rng(3)
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 4,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem. " * 4,
+        "for (int i = 0; i < n; i++) { if (buf[i] == NULL) return -1; memcpy(dst, src, len); } " * 6,
+        "".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz    "], 1500)),
+        "".join(rng.choice([*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"], 1500)),
+    ]
+    assert [model.predict(t)[2] for t in strange] == [True] * 5
+    clean = [r.text for r in docs.where("length(text) > 400").limit(200).collect()]
+    assert sum(model.predict(t)[2] for t in clean) <= 2
+    assert sum(model.predict(t[:n])[2] for t in clean for n in (30, 80)) <= 8
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     clean = [f"w{k}" for k in range(200)]
