@@ -51,7 +51,7 @@ def candidate_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tu
     ]
 
 
-@dataclass
+@dataclass(slots=True)
 class State:
     ends: int = 0
     to: dict[str, int] = field(default_factory=dict)
@@ -63,14 +63,16 @@ class State:
 
 
 class Automaton:
-    """A probabilistic automaton inferred from examples by merging states."""
+    """A probabilistic automaton inferred from whole examples by merging states.
 
-    def __init__(self, examples: list[str], alpha: float = 0.05, horizon: int = 24) -> None:
+    The tree before merging has at most a state for each character of them."""
+
+    def __init__(self, examples: list[str], alpha: float = 0.05) -> None:
         self.alpha = alpha
         self.states = [State()]
         for text in examples:
             at = 0
-            for c in text[:horizon]:
+            for c in text:
                 c = CLASSES.get(c, c)
                 here = self.states[at]
                 if c not in here.to:
@@ -78,7 +80,7 @@ class Automaton:
                     self.states.append(State())
                 here.seen[c] = here.seen.get(c, 0) + 1
                 at = here.to[c]
-            self.states[at].ends += len(text) <= horizon
+            self.states[at].ends += 1
         self._merge()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -131,19 +133,17 @@ class Automaton:
         self.states = {r: self.states[r] for r in settled}
 
     def likelihood(self, text: str) -> float:
-        """Mean log-likelihood ratio of a character against a uniform one."""
-        at, total = 0, 0.0
+        """Mean log-likelihood ratio of a character, or the end, against a
+        uniform one.  After a character that the format does not have there,
+        nothing that follows is of the format."""
+        here, total = self.states[0], 0.0
         for c in text:
             kind = CLASSES.get(c, c)
-            here = self.states[at]
-            seen = here.seen.get(kind, 0)
-            chance = (seen + 0.01) / (here.total + 0.5)
+            chance = (here.seen.get(kind, 0) + 0.01) / (here.total + 0.5)
             total += log(chance / SIZES.get(kind, 1) * ALPHABET)
-            if kind not in here.to:
-                at = 0
-            else:
-                at = here.to[kind]
-        return total / max(1, len(text))
+            here = self.states[here.to[kind]] if kind in here.to else State()
+        total += log((here.ends + 0.01) / (here.total + 0.5) * ALPHABET)
+        return total / (len(text) + 1)
 
 
 def _scan(batches):

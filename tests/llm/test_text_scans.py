@@ -50,6 +50,17 @@ def test_learned_formats_add_spans(docs_of):
     assert [(s.kind, s.start, s.stop) for s in found[60]] == [("learned", 3, 31)]
 
 
+def test_formats_are_learned_to_their_ends():
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:24]
+    learned = secret_scan.Automaton([digest(i) + "-ZZZZ-ZZZZ" for i in range(400)])
+    assert sum(s.ends for s in learned.states.values()) == 400
+    assert any("-" in s.seen for s in learned.states.values()) and any("L" in s.seen for s in learned.states.values())
+    whole, odd = digest(999) + "-ZZZZ-ZZZZ", digest(999) + "-gggg-gggg"
+    assert learned.likelihood(whole) > learned.likelihood(odd) + 0.5
+    fixed = secret_scan.Automaton(["k7Q"] * 50)
+    assert fixed.likelihood("k7Q") > fixed.likelihood("k7") + 0.5 and fixed.likelihood("k7Q") > fixed.likelihood("k7Q" * 20) + 0.5
+
+
 WORDS = {"en": "the of and to in that is was he for", "de": "der die und den von zu das mit sich des", "fr": "le de un et être à il avoir ne je"}
 
 
