@@ -23,8 +23,8 @@ from tallyloom.llm.url_filter import RULE_SCHEMA, filter_urls
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
 TOKEN_LIMIT = 4096
@@ -116,8 +116,8 @@ FROM n
 
 _OP9 = """
 WITH rules(action, host, path) AS (
-  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
-         ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+         ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
 ), parts AS (

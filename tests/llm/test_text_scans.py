@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, secret_scan
+from tallyloom.llm import license_scan, queries, secret_scan
 from tallyloom.llm.language_id import fit_languages, identify_languages, recognised
 from tallyloom.llm.license_scan import TEMPLATES, scan_licenses
 from tallyloom.llm.token_count import count_tokens
@@ -181,6 +181,32 @@ def test_full_license_texts(docs_of):
     assert {r.doc_id: r.n for r in found}[4] == len(license_scan.passages(texts[0]))
 
 
+def test_rules_of_the_url_query(spark, tmp_path):
+    want = {
+        "https://a.com/en/1": ("com/en/", "block"),
+        "https://example.com/en/70": ("example.com/en/7", "allow"),
+        "https://www.example.com/en/8": ("com/en/", "block"),
+        "https://b.net/de/8": ("net/de/", "allow"),
+        "https://example.net/de/9": ("net/de/", "allow"),
+        "HTTPS://Shop.EXAMPLE.net/de/81?q#t": ("example.net/de/8", "block"),
+        "http://c.org/es/": ("org/es/", "block"),
+        "http://c.org/es": (None, "allow"),
+        "http://c.org/" + "x" * 100_000: (None, "allow"),
+    }
+    rows = [(i, u) for i, u in enumerate([*want, *want])]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: (r.rule, r.verdict) for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert found == {i: want[u] for i, u in rows}
+
+
+def test_rules_of_one_length_are_settled(spark):
+    rules = spark.createDataFrame([("allow", "x.org", "/ab"), ("block", "x.org", "/ab"), ("allow", "a.x.org", ""), ("block", "x.org", "/a")], RULE_SCHEMA)
+    urls = ["http://a.x.org/ab", "http://a.x.org/a", "http://x.org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, rules).collect()}
+    assert found == {0: ("x.org/ab", "block"), 1: ("x.org/a", "block"), 2: ("x.org/a", "block")}
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "x.org", None)], RULE_SCHEMA)
     urls = [None, "no scheme", "http://", "https://A.Example.COM/en/725?x", "http://example.com/en/8#t", "http://notexample.com/en/7", "http://x.org?q=/en/", "http://yx.org/", "https://a.x.org/en/://com/en/"]
