@@ -11,26 +11,38 @@ result is taken if it needs fewer bins.  So a round never makes it worse.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.scratch import cut
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Lower-case letters, digits and blanks below U+0180, where str.lower agrees
-#: with the tokenizer's and every text is in NFC.
-LETTERS, DIGITS, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-#: The pre-tokenizer's pattern over those characters.
-WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{BLANKS}{LETTERS}{DIGITS}]+"
-#: Texts with other characters, U+0130, separators that Python alone takes for
+# The settings of a tokenizer file whose texts may be cut at blanks.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLIT = {
+    "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed", "invert": True,
+}
+#: Lower-case letters, digits and blanks below U+0180, where Arrow's lower case
+#: and blanks agree with the tokenizer's and every text is in NFC.
+LETTERS, DIGITS, BLANKS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\x{17f}", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+#: The pre-tokens of that pattern which are not runs of letters.
+APART = f"('s|'t|'re|'ve|'m|'ll|'d|[{DIGITS}]|[^{BLANKS}{LETTERS}{DIGITS}]+)"
+#: Texts with other characters, U+0130, separators that not all take for
 #: blanks, or what may be a special token go to the tokenizer whole.
-UNUSUAL = "[^\x00-\x1b\x20-įı-ſ]|<\\|"
+UNUSUAL = r"[^\x00-\x1b\x20-\x{12f}\x{131}-\x{17f}]|<\|"
+_ENCODERS: dict[str, Encoder] = {}
 
 
 class Cache:
@@ -42,38 +54,51 @@ class Cache:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of the keys that are in neither generation; all others are in
-        the newer one from now on."""
+    def turn(self) -> None:
+        """Begin a new generation if the newer one is full."""
         if len(self.new) > self.held:
             self.old, self.new = self.new, {}
-        lost = []
-        for k in keys - self.new.keys():
-            if (v := self.old.get(k)) is None:
-                lost.append(k)
-            else:
-                self.new[k] = v
+
+    def missing(self, keys) -> list[str]:
+        """Those of the keys that are in neither generation; all others are in
+        the newer one from now on."""
+        new, old, lost = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    lost.append(k)
+                else:
+                    new[k] = v
         return lost
 
 
 class Encoder:
-    """Token ids as little-endian bytes, with bounded caches.
+    """Token ids of texts, with a bounded cache.
 
-    No token spans a blank, so a text is cut at blanks first.  What stands
-    between blanks is looked up whole, and only where it is new is it cut into
-    pre-tokens, which the tokenizer encodes, many in one call."""
+    No token spans pre-tokens, so texts are lower-cased, pre-tokens are parted
+    by blanks, and each different one is looked up once for a whole lot of
+    texts; the tokenizer encodes those that are new, many in one call.  The
+    settings that this takes for granted are read from the file; under any
+    other the tokenizer is given every text whole."""
 
-    def __init__(self, path: str, held: int = 120_000) -> None:
+    def __init__(self, path: str, held: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.unusual = re.compile(WORDS), re.compile(UNUSUAL)
-        self.chunks, self.known = Cache(held), Cache(held)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_words(self, words: list[str]) -> None:
+        said = json.loads(self.tokenizer.to_str())
+        before = said["pre_tokenizer"] or {}
+        self.by_words = (
+            said["normalizer"] == NORMALIZER
+            and (before.get("pretokenizers") or [None])[0] == SPLIT
+            and all(t["content"].startswith("<|") for t in said["added_tokens"])
+            and said["truncation"] is said["padding"] is None
+        )
+        self.known = Cache(held)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
         lots = [words[i : i + 64] for i in range(0, len(words), 64)]
         for lot, got in zip(lots, self.tokenizer.encode_batch([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
             ids, places = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
@@ -81,35 +106,66 @@ class Encoder:
                 ends = np.searchsorted(places, np.arange(len(lot)), "right")
                 parts = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             else:
-                parts = [self._ids(w) for w in lot]
+                parts = [self._whole(w).tobytes() for w in lot]
             self.known.new.update(zip(lot, parts, strict=True))
 
-    def _learn(self, chunks: list[str]) -> None:
-        cut_up = {c: self.words.findall(c.lower()) for c in chunks}
-        self._learn_words(self.known.missing({w for ws in cut_up.values() for w in ws}))
-        get = self.known.new.__getitem__
-        self.chunks.new.update((c, b"".join(map(get, ws))) for c, ws in cut_up.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = [None if self.unusual.search(t) else t.split() for t in texts]
-        self._learn(self.chunks.missing({c for cs in found if cs for c in cs}))
-        get = self.chunks.new.__getitem__
-        return [self._ids(t) if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, found, strict=True)]
+    def _parts(self, words: list[str]) -> list[bytes]:
+        self.known.turn()
+        self._learn(self.known.missing(words))
+        return list(map(self.known.new.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, unsigned 32-bit."""
+        if not self.by_words:
+            return list(map(self._whole, texts.to_pylist()))
+        odd = pc.match_substring_regex(texts, UNUSUAL)
+        spaced = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, "", texts)), APART, r" \1 ")
+        words = pc.utf8_split_whitespace(spaced)
+        coded = words.flatten().dictionary_encode()
+        parts = self._parts(coded.dictionary.to_pylist())
+        sizes = np.array([len(p) // 4 for p in parts], np.int64)
+        held, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        place = np.repeat((starts[at] - ends[:-1]).astype(np.int32), sizes[at])
+        place += np.arange(len(place), dtype=np.int32)
+        ids = held[place]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        found = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            found[i] = self._whole(texts[i].as_py())
+        return found
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder of a file: making one takes memory that is not given
+    back, and Spark's workers do one task after another, each on one core."""
+    if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _lots(texts: pa.Array, limit: int = 1 << 23):
+    """First row and texts of runs of about ``limit`` bytes; one long text may be more."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, texts.slice(at, end - at)
+        at = end
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        encoder = Encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path).encode, np.array([end_id], "<u4")
         for batch in batches:
-            docs, texts = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            for at in range(0, len(texts), 64):
-                for doc, ids in zip(docs[at : at + 64], encoder.encode([t or "" for t in texts[at : at + 64]]), strict=True):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        part = ids[4 * start : 4 * (start + capacity)]
-                        out.append((doc, piece, start, len(part) // 4, zlib.crc32(part)))
+            docs, out = batch.column(0).to_pylist(), []
+            for at, texts in _lots(pc.fill_null(batch.column(1), "")):
+                for doc, ids in zip(docs[at:], encode(texts), strict=False):
+                    ids = np.concatenate([ids, end])
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start : start + capacity]
+                        out.append((doc, piece, start, len(part), zlib.crc32(part)))
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(

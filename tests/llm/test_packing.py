@@ -1,12 +1,15 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyloom.llm.packing import best_fit_decreasing, lower_bound, pack_documents
+from tallyloom.llm.packing import Cache, Encoder, best_fit_decreasing, lower_bound, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,6 +46,25 @@ def test_pieces_and_sequences(docs_of):
     assert found.sequence_id.nunique() <= -(-total // 4096) + 1
 
 
+@pytest.mark.parametrize(("name", "by_words"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_are_the_tokenizers(name, by_words):
+    encoder, rng = Encoder(public_tokenizers.path(name), held=50), random.Random(1)
+    assert encoder.by_words == by_words
+    signs = "abcXYZ'  \t\n<|>/wstremdl''éß1²½ªİıλ漢\x1c\x85\xa0_-!"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(2000)] + ["", "a" * 3000, "the <|endoftext|>"]
+    for lot in (texts[:900], texts[900:], []):
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in lot]
+        assert [ids.tolist() for ids in encoder.encode(pa.array(lot, pa.string()))] == want
+
+
+def test_cache_is_bounded():
+    cache = Cache(3)
+    for k in "abcdefgha":
+        cache.turn()
+        cache.new.update(dict.fromkeys(cache.missing([k]), b""))
+        assert k in cache.new and len(cache.new) <= 4 and len(cache.old) <= 4
+
+
 def test_empty_table_and_repeats(docs_of):
     assert pack_documents(docs_of(["a"]).limit(0), PATH).count() == 0
     assert pack_documents(docs_of(["a"]).union(docs_of(["a"])), PATH).count() == 2
