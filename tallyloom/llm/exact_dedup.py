@@ -36,24 +36,29 @@ def exact_dedup(
     ``text_sha256`` is null for rows that levels 1 and 2 proved single, unless
     ``digest_all`` asks for it everywhere (the digest is then computed in the
     scan of level 3).  ``broadcast_rows`` bounds the lists of surviving lengths
-    and heads that are broadcast; longer lists are joined by shuffling.
+    and heads that are broadcast; longer lists are joined by shuffling lengths,
+    heads and texts, with the same result.
 
     Null text counts as empty text, and all empty texts are one group.  A null
     id loses against any id; a group of null ids has keep_id null and all are
-    kept.  Rows that repeat an id with equal text share one decision.  An empty
-    table gives an empty result; other columns are ignored.
+    kept.  Rows that repeat an id with equal text share one decision.  Texts of
+    any length are hashed whole.  An empty table gives an empty result; other
+    columns are ignored.
     """
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    # Lower-casing A-Z changes no length, and of a long text only the head is lower-cased here.
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"),
-    ).withColumn("len", F.octet_length("norm"))
+        raw.alias("text"),
+        F.octet_length(raw).alias("len"),
+        F.xxhash64(ascii_lower(F.substring(raw, 1, head_chars))).alias("head"),
+    )
 
     lengths = rows.groupBy("len").agg(F.count("*").alias("c")).where("c > 1").select("len")
     lengths = cut(lengths, "exact-lengths")
 
-    # Lower-casing does not change a length, so nothing but the head is read here.
     heads = (
-        rows.select("len", F.xxhash64(F.substring("norm", 1, head_chars)).alias("head"))
+        rows.select("len", "head")
         .join(broadcast_if_small(lengths, broadcast_rows), "len", "left_semi")
         .groupBy("len", "head")
         .agg(F.count("*").alias("c"))
@@ -62,21 +67,12 @@ def exact_dedup(
     )
     heads = cut(heads, "exact-heads")
 
-    keyed = rows.withColumn("head", F.xxhash64(F.substring("norm", 1, head_chars)))
-    if not (small := broadcast_if_small(heads, broadcast_rows)) is heads:
-        digest = F.unhex(F.sha2(F.col("norm"), 256))
-        level3 = keyed.join(small, ["len", "head"], "left").select(
-            "doc_id",
-            F.coalesce("shared", F.lit(False)).alias("shared"),
-            (digest if digest_all else F.when(F.col("shared"), digest)).alias("digest"),
-        )
-    else:
-        # Moving whole texts to the survivors' list costs more than hashing them here.
-        level3 = (
-            keyed.select("doc_id", "len", "head", F.unhex(F.sha2("norm", 256)).alias("digest"))
-            .join(heads, ["len", "head"], "left")
-            .select("doc_id", F.coalesce("shared", F.lit(False)).alias("shared"), "digest")
-        )
+    digest = F.unhex(F.sha2(ascii_lower(F.col("text")), 256))
+    level3 = rows.join(broadcast_if_small(heads, broadcast_rows), ["len", "head"], "left").select(
+        "doc_id",
+        F.coalesce("shared", F.lit(False)).alias("shared"),
+        (digest if digest_all else F.when(F.col("shared"), digest)).alias("digest"),
+    )
     level3 = cut(level3, "exact-digests")
 
     alone = level3.where("not shared").select(

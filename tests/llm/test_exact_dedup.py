@@ -27,12 +27,23 @@ def test_matches_brute_force(docs_of, limit):
     assert len(found) == len(texts)
 
 
-def test_digests_only_survivors(docs_of):
-    found = {r.doc_id: r.text_sha256 for r in exact_dedup(docs_of(["abc", "abd", "ABC", "longer"])).collect()}
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_digests_only_survivors(docs_of, limit):
+    docs = docs_of(["abc", "abd", "ABC", "longer", "x" * 200 + "a", "x" * 200 + "b"])
+    found = {r.doc_id: r.text_sha256 for r in exact_dedup(docs, broadcast_rows=limit).collect()}
     assert found[3] is None and found[0] == found[2] == hashlib.sha256(b"abc").hexdigest() and found[1] is None
+    assert found[4] and found[5] and found[4] != found[5]
 
 
 def test_empty_table_and_repeated_rows(docs_of):
     assert exact_dedup(docs_of(["a"]).limit(0)).count() == 0
     twice = docs_of(["a"]).union(docs_of(["a"]))
     assert [(r.group_size, r.kept) for r in exact_dedup(twice).collect()] == [(2, True), (2, True)]
+
+
+def test_null_ids(spark):
+    rows = [(None, "a"), (3, "A"), (None, "b"), (None, "b"), (None, None), (5, "")]
+    found = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in found) == [
+        (0, 0, 2, True), (0, 0, 2, True), (0, 3, 2, False), (0, 5, 2, False), (3, 3, 2, True), (5, 5, 2, True)
+    ]
