@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import smallest_hashes
 from tallyloom.scratch import cut
 
 DIMENSIONS = 1 << 14
@@ -151,12 +152,18 @@ def fit_languages(
 ) -> Model:
     """Fit on rows where ``learn`` holds and the language is not null.
 
-    Document frequencies come from all of these rows.  Centroids come from at
-    most ``per_language`` documents of each language, chosen by a hash of the
-    id; this bounds what reaches the driver.  ``slack`` times a low quantile of
-    the cosines of a language's training texts, and of beginnings of them, of
-    one size is the limit of rejection for texts of that size; so neither an odd
-    training text nor a short clean text decides for the others.
+    Document frequencies come from all of these rows.  Centroids come from
+    ``per_language`` documents of each language, or all where there are fewer:
+    those with the smallest hashes of id and text, which bounds what reaches the
+    driver.  ``slack`` times a low quantile of the cosines of a language's
+    training texts, and of beginnings of them, of one size is the limit of
+    rejection for texts of that size; so neither an odd training text nor a
+    short clean text decides for the others.
+
+    Rows with a null id count where ``learn`` holds for them.  Rows that repeat
+    count each.  Null texts and texts without a letter teach nothing, and a
+    language of which only such were chosen is not learned.  An empty table
+    gives a model that knows no language; other columns are ignored.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -169,13 +176,8 @@ def fit_languages(
             frequency[r["place"]] = r["n"]
     idf = np.log((1 + seen) / (1 + frequency)) + 1
 
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    # A hash of the id below a language's own level keeps about the number asked for.
-    hashed = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    levels = F.lit(-1)
-    for lang, n in counts.items():
-        levels = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * 1_000_000))).otherwise(levels)
-    chosen = rows.where(hashed < levels).select("lang", "text").mapInArrow(_grams, "lang string, whole boolean, places array<long>, counts array<long>")
+    chosen = smallest_hashes(rows, per_language, "lang", ["id", "text"], "language-texts")
+    chosen = chosen.select("lang", "text").mapInArrow(_grams, "lang string, whole boolean, places array<long>, counts array<long>")
     chosen = cut(chosen, "language-sample")
     sample: dict[str, list[np.ndarray]] = {}
     for r in chosen.where("whole").drop("whole").orderBy("lang", F.hash("places", "counts")).collect():

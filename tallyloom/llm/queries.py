@@ -43,9 +43,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row with a null id is neither held out nor learned from."""
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs, crc_bucket(F.col("doc_id"), 4) != 2)
-    held_out = (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     return identify_languages(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
@@ -87,9 +88,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row with a null id is neither held out nor learned from."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels, lambda doc_id: crc_bucket(doc_id, 5) != 0)
-    held_out = (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     return score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if_small
+from tallyloom.llm.common import broadcast_if_small, smallest_hashes, within
 from tallyloom.llm.shingles import chunks, mix, word_hashes
 from tallyloom.scratch import cut
 
@@ -78,87 +78,106 @@ def fit_risk(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 250, r
     return w, b
 
 
-def _exploded(batches):
-    for batch in batches:
-        found = [f.view(np.int64) for f in features(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["h"])
+def _counts(probe: Model | None, held: int = 1 << 20):
+    """Numbers of documents that hold each feature, of those in ``probe`` if it
+    is given, in parts of about ``held`` occurrences; the number of documents
+    stands under no feature."""
+
+    def part(found: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        columns = pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(n, len(found)), pa.int64())
+        return pa.RecordBatch.from_arrays(list(columns), names=["h", "n"])
+
+    def run(batches):
+        for batch in batches:
+            found, count = [], 0
+            for f in features(batch.column(0)):
+                found.append(f if probe is None else probe.hashes[probe.places(f)])
+                if (count := count + len(found[-1])) > held:
+                    yield part(found)
+                    found, count = [], 0
+            if found:
+                yield part(found)
+
+    return run
+
+
+def _counted(texts: DataFrame, probe: Model | None = None) -> DataFrame:
+    return texts.select("text").mapInArrow(_counts(probe), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def choose_features(positives: DataFrame, rows: DataFrame, prior: float, n_features: int, least: int, probe_features: int) -> np.ndarray:
+    """The features to fit on, ascending.  All that at least ``least`` positives
+    hold are held against all documents; up to ``probe_features`` of them are
+    looked up where documents are read, more meet by a join on the feature."""
+    in_p = cut(_counted(positives), "toxic-counts")
+    n_p = in_p.where("h is null").first()["n"]
+    frequent = cut(in_p.where(F.col("h").isNotNull() & (F.col("n") >= min(least, n_p))), "toxic-frequent")
+    probe = None
+    if within(frequent, probe_features):
+        known = np.array([r["h"] for r in frequent.select("h").collect()], np.int64)
+        probe = Model(np.sort(known.view(np.uint64)), np.zeros(0), 0.0)
+    in_u = cut(_counted(rows, probe), "toxic-unlabelled-counts")
+    n_u = in_u.where("h is null").first()["n"]
+    both = frequent.join(in_u.withColumnRenamed("n", "m"), "h", "left")
+    p, q = (F.col("n") + 0.5) / (n_p + 1), (F.coalesce("m", F.lit(0)) + 0.5) / (n_u + 1)
+    # By Bayes the share of positives among documents with a feature is prior * p / q;
+    # it has to be over a half by more than the standard error of the count.
+    sure = p * (1 - 1 / F.sqrt(F.col("n") + 1))
+    gains = both.where(prior * sure >= 0.5 * q).select("h", (p * F.log(p / q)).alias("gain")).where("gain > 0")
+    best = gains.orderBy(F.desc("gain"), "h").limit(n_features).collect()
+    return np.sort(np.array([r["h"] for r in best], np.int64).view(np.uint64))
 
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    n_features: int = 768, least: int = 5, n_positive: int = 3000, n_unlabelled: int = 9000, considered: int = 50_000,
-    broadcast_rows: int = 1_000_000,
+    n_features: int = 768, least: int = 5, n_positive: int = 3000, n_unlabelled: int = 9000, most_prior: float = 0.9,
+    broadcast_rows: int = 1_000_000, probe_features: int = 1_000_000,
 ) -> Model:
     """Fit on documents for whose id ``learn`` holds; no other label is read.
 
-    The class prior is the share of positives among their labels.  Counts that
-    choose the ``n_features`` features cover all training documents; of those in
-    at least ``least`` positives the ``considered`` most frequent are held
-    against the unlabelled.  The weights are fitted on at most ``n_positive``
-    and ``n_unlabelled`` documents, chosen by a hash of the id.
+    The class prior is the share of positives among their labels, but at most
+    ``most_prior``, as labels that are all positive say nothing of it.  The
+    ``n_features`` features are chosen from all that at least ``least`` positives
+    hold, by counts over all training documents.  The weights are fitted on
+    ``n_positive`` positives and ``n_unlabelled`` documents, or on all where
+    there are fewer: those with the smallest hashes of id and text.
+
+    Null labels are none.  Of labels that contradict each other the positive one
+    counts.  Rows with a null id are not learned from, rows that repeat count
+    each, and null texts count as empty.  Without a positive or a document, as
+    with empty tables, the model calls nothing toxic; other columns are ignored.
     """
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), -4.0)
     rows = docs.where(learn(F.col(id_col))).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = labels.where(learn(F.col(id_col)) & F.col(label_col).isNotNull())
     marked = cut(marked.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")), "toxic-labels")
     share = marked.agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("p")).first()
     if not share["p"]:
-        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), -4.0)
-    prior = min(0.9, share["p"] / share["n"])
+        return nothing
+    prior = min(most_prior, share["p"] / share["n"])
     toxic = broadcast_if_small(marked.where("y = 1").select("id"), broadcast_rows)
     positives = cut(rows.join(toxic, "id", "left_semi"), "toxic-positives")
-    n_p = positives.count()
-    if not n_p:
-        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), -4.0)
-    counted = positives.select("text").mapInArrow(_exploded, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    frequent = counted.where(F.col("n") >= min(least, n_p)).orderBy(F.desc("n"), "h").limit(considered).collect()
-    pairs = sorted((np.int64(r["h"]).astype(np.uint64), r["n"]) for r in frequent)
-    hashes, in_p = np.array([h for h, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.float64)
-
+    if positives.isEmpty():
+        return nothing
+    hashes = choose_features(positives, rows, prior, n_features, least, probe_features)
     probe = Model(hashes, np.zeros(len(hashes)), 0.0)
 
-    def count(batches):
-        total, seen = np.zeros(len(hashes), np.int64), 0
-        for batch in batches:
-            for found in features(batch.column(0)):
-                total[probe.places(found)] += 1
-                seen += 1
-        places = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(places, -1), pa.int64()), pa.array(np.append(total[places], seen), pa.int64())], names=["place", "n"])
-
-    in_u, n_u = np.zeros(len(hashes)), 0
-    for r in rows.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        if r["place"] < 0:
-            n_u = r["n"]
-        else:
-            in_u[r["place"]] = r["n"]
-    p, q = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
-    # By Bayes the share of positives among documents with a feature is prior * p / q;
-    # it has to be over a half by more than the standard error of the count.
-    sure = p * (1 - 1 / np.sqrt(in_p + 1))
-    gain = np.where(prior * sure >= 0.5 * q, p * np.log(p / q), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:n_features])
-    chosen = chosen[gain[chosen] > 0]
-    probe = Model(hashes[chosen], np.zeros(len(chosen)), 0.0)
-
     def present(batches):
         for batch in batches:
             found = [probe.places(f) for f in features(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["places"])
 
-    def sample(frame: DataFrame, n: int, total: int) -> np.ndarray:
-        level = int(min(1.0, n / max(1, total)) * 1_000_000)
-        kept = frame.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < level).select("text")
+    def sample(frame: DataFrame, n: int) -> np.ndarray:
+        kept = smallest_hashes(frame.withColumn("all", F.lit(0)), n, "all", ["id", "text"], "toxic-sample").select("text")
         found = sorted(r["places"] for r in kept.mapInArrow(present, "places array<long>").collect())
-        x = np.zeros((len(found), len(chosen)), np.float32)
+        x = np.zeros((len(found), len(hashes)), np.float32)
         for i, places in enumerate(found):
             x[i, places] = 1
         return x
 
-    x_p, x_u = sample(positives, n_positive, n_p), sample(rows, n_unlabelled, n_u)
-    if not len(x_p) or not len(x_u):
-        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), -4.0)
-    w, b = fit_risk(x_p, x_u, prior)
-    return Model(hashes[chosen], w.astype(np.float64), b)
+    w, b = fit_risk(sample(positives, n_positive), sample(rows, n_unlabelled), prior)
+    return Model(hashes, w.astype(np.float64), b)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Token counts, secrets, languages, toxicity, licences and URLs."""
 
 import hashlib
+import math
 import re
 from pathlib import Path
 
@@ -11,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tallyloom.llm import license_scan, queries, secret_scan
-from tallyloom.llm.language_id import fit_languages, identify_languages, recognised
+from tallyloom.llm.language_id import fit_languages, gram_counts, identify_languages, recognised
 from tallyloom.llm.license_scan import TEMPLATES, scan_licenses
 from tallyloom.llm.token_count import count_tokens
 from tallyloom.llm.toxicity import fit_risk, fit_toxicity, score_toxicity
@@ -83,6 +84,52 @@ def test_languages(spark):
     assert {r.lang_pred for r in identify_languages(docs, nothing).collect()} == {"und"}
 
 
+def test_languages_on_odd_tables(spark):
+    docs = language_docs(spark).withColumn("score", F.lit("clash")).withColumn("rejected", F.lit(1))
+    twice = docs.union(docs).union(docs.select(F.lit(None).cast("long"), F.lit(None).cast("string"), "lang", "score", "rejected").limit(1))
+    model = fit_languages(twice, F.lit(True), per_language=20)
+    found = identify_languages(twice, model).collect()
+    assert len(found) == 121 and sum(r.lang_pred == "und" for r in found) == 1
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in found}) == 61
+    assert identify_languages(docs.limit(0), model).count() == 0
+    alike = docs.where("doc_id = 0").union(docs.where("doc_id = 0").withColumn("lang", F.lit("de")))
+    tied = fit_languages(alike, F.lit(True))
+    assert {r.lang_pred for r in identify_languages(alike, tied).collect()} == {"de"}  # of equal cosines the first name
+    letterless = fit_languages(docs.withColumn("text", F.lit("1 2")), F.lit(True))
+    assert letterless.languages == []
+
+
+def cosine_by_force(model, text):
+    """Nearest centroid with plain Python numbers."""
+    places, counts = gram_counts(text)
+    weights = [(1 + math.log(n)) * model.idf[p] for p, n in zip(places, counts)]
+    norm = math.sqrt(sum(w * w for w in weights))
+    cosines = [sum(w / norm * model.centroids[p, k] for p, w in zip(places, weights)) for k in range(model.centroids.shape[1])]
+    best = max(range(len(cosines)), key=cosines.__getitem__)
+    return model.languages[model.owner[best]], cosines[best]
+
+
+def test_languages_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_languages(docs, F.col("doc_id") % 4 != 2)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in identify_languages(docs, model).collect():
+        if r.lang_pred != "und":
+            name, cosine = cosine_by_force(model, texts[r.doc_id])
+            assert name == r.lang_pred and abs(cosine - r.score) < 1e-5
+
+
+def test_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 200")
+    shares = {}
+    for lang in sorted(r.lang for r in docs.select("lang").distinct().collect()):
+        model = fit_languages(docs, F.col("lang") != lang)
+        found = identify_languages(docs.where(F.col("lang") == lang), model)
+        shares[lang] = found.agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    print(shares)
+    assert min(shares.values()) > 0.5
+
+
 def test_languages_reject_what_was_not_learned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = fit_languages(docs, F.lit(True))
@@ -121,6 +168,24 @@ def test_toxicity(spark):
     assert {r.predicted for r in score_toxicity(docs, none).collect()} == {0}
 
 
+def test_toxicity_on_odd_tables(spark):
+    rows = [(i, "you scum" if i % 3 == 0 else f"kind words {i % 7}", "clash") for i in range(90)]
+    rows += [(1, "kind words " * 50_000, "x"), (1, "kind words " * 50_000, "x"), (None, "you scum", "x"), (91, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y string")
+    labels = [(i, int(i % 3 == 0)) for i in range(90)] + [(3, 0), (6, None), (None, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    wide, narrow = (fit_toxicity(docs, labels, lambda i: i >= 0, probe_features=n) for n in (1_000_000, 0))
+    assert (wide.hashes == narrow.hashes).all() and (wide.weights == narrow.weights).all() and len(wide.hashes)
+    found = score_toxicity(docs, wide).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in found if r.doc_id is not None and r.doc_id < 90)
+    assert [r.predicted for r in found if r.doc_id is None] == [1] and [r.predicted for r in found if r.doc_id == 91] == [0]
+    assert len({r.score for r in found if r.doc_id == 1 and r.score}) <= 2
+    assert score_toxicity(docs.limit(0), wide).count() == 0
+    for model in (fit_toxicity(docs.limit(0), labels, lambda i: i >= 0), fit_toxicity(docs, labels.where("toxic is null"), lambda i: i >= 0)):
+        assert {r.predicted for r in score_toxicity(docs, model).collect()} == {0}
+
+
 def test_risk_recovers_classes_from_unlabelled_rows():
     rng = np.random.default_rng(2)
     x_p = np.c_[rng.random(200) < 0.9, rng.random(200) < 0.5].astype(np.float32)
