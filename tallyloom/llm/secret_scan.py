@@ -6,11 +6,17 @@ states are merged (Hoeffding's bound decides), which leaves a probabilistic
 automaton of the kind's format.  Every other candidate token of the corpus is
 scored by its likelihood under each automaton against a uniform choice of
 characters; those that fit a format become additional spans.
+
+Candidates are tokens of the rules' own characters, of ``SHORTEST`` characters
+at least, as no rule takes fewer, with a digit and a letter: words and numbers
+alone fit formats of few letters or digits by their nature, and text is full of
+them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log, sqrt
@@ -20,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import smallest_hashes
 from tallyloom.scratch import cut
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+DIGIT, TOKEN, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z0-9+/_.=-]+"), re.compile("[A-Za-z]")
+SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+SHORTEST = 8
 #: Classes of characters that the automata read; any other is its own class.
 CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l")}
 CLASSES |= {**dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "L")}
@@ -43,12 +52,27 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidate_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Tokens with a digit and a letter, of no base span."""
-    return [
-        (m.start(), m.end(), m[0])
-        for m in CANDIDATE.finditer(text)
-        if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(m.start() < e and s < m.end() for s, e, *_ in base)
-    ]
+    """Tokens with a digit and a letter that touch no base span; points at their
+    ends are not of them."""
+    starts, ends = [s for s, *_ in base], []
+    for _, e, *_ in base:
+        ends.append(max(e, ends[-1]) if ends else e)
+    found, done = [], 0
+    for m in DIGIT.finditer(text):
+        if m.start() < done:
+            continue
+        start, stop = m.start(), TOKEN.match(text, m.start()).end()
+        while start > done and text[start - 1] in SIGNS:
+            start -= 1
+        done = stop
+        while text[start] == ".":
+            start += 1
+        while text[stop - 1] == ".":
+            stop -= 1
+        before = bisect_right(starts, stop - 1)
+        if stop - start >= SHORTEST and LETTER.search(text, start, stop) and not (before and ends[before - 1] > start):
+            found.append((start, stop, text[start:stop]))
+    return found
 
 
 @dataclass(slots=True)
@@ -56,6 +80,7 @@ class State:
     ends: int = 0
     to: dict[str, int] = field(default_factory=dict)
     seen: dict[str, int] = field(default_factory=dict)
+    signs: dict[str, int] = field(default_factory=dict)
 
     @property
     def total(self) -> int:
@@ -72,9 +97,10 @@ class Automaton:
         self.states = [State()]
         for text in examples:
             at = 0
-            for c in text:
-                c = CLASSES.get(c, c)
+            for sign in text:
+                c = CLASSES.get(sign, sign)
                 here = self.states[at]
+                here.signs[sign] = here.signs.get(sign, 0) + 1
                 if c not in here.to:
                     here.to[c] = len(self.states)
                     self.states.append(State())
@@ -109,6 +135,8 @@ class Automaton:
             a, b = pairs.pop()
             p, q = self.states[a], self.states[b]
             p.ends += q.ends
+            for c, n in q.signs.items():
+                p.signs[c] = p.signs.get(c, 0) + n
             for c, n in q.seen.items():
                 p.seen[c] = p.seen.get(c, 0) + n
                 if c in p.to:
@@ -133,17 +161,19 @@ class Automaton:
         self.states = {r: self.states[r] for r in settled}
 
     def likelihood(self, text: str) -> float:
-        """Mean log-likelihood ratio of a character, or the end, against a
-        uniform one.  After a character that the format does not have there,
-        nothing that follows is of the format."""
+        """Log-likelihood ratio of a text and its end against uniform ones.
+
+        States move by classes of characters; within a class a state prefers
+        what it saw there, so that fixed beginnings count.  After a character
+        that the format does not have there, nothing that follows is of it."""
         here, total = self.states[0], 0.0
         for c in text:
             kind = CLASSES.get(c, c)
-            chance = (here.seen.get(kind, 0) + 0.01) / (here.total + 0.5)
-            total += log(chance / SIZES.get(kind, 1) * ALPHABET)
+            seen, size = here.seen.get(kind, 0), SIZES.get(kind, 1)
+            chance = (seen + 0.01) / (here.total + 0.5) * (here.signs.get(c, 0) + 2 / size) / (seen + 2)
+            total += log(chance * ALPHABET)
             here = self.states[here.to[kind]] if kind in here.to else State()
-        total += log((here.ends + 0.01) / (here.total + 0.5) * ALPHABET)
-        return total / (len(text) + 1)
+        return total + log((here.ends + 0.01) / (here.total + 0.5) * ALPHABET)
 
 
 def _scan(batches):
@@ -162,37 +192,30 @@ def _scan(batches):
 
 
 def learn_formats(examples: DataFrame, per_kind: int = 400) -> dict[str, Automaton]:
-    """An automaton for each kind in examples(kind, secret), from at most
-    ``per_kind`` different secrets, those with the smallest hashes."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("kind").orderBy("h", "secret")
-    hashed = F.pmod(F.xxhash64("secret"), F.lit(1_000_000_000))
-    different = cut(examples.select("kind", "secret", hashed.alias("h")).distinct(), "secret-examples")
-    # Hashes under a kind's own level are few however many secrets there are.
-    few = F.lit(False)
-    for r in different.groupBy("kind").count().collect():
-        level = min(1.0, 4 * per_kind / r["count"]) * 1_000_000_000
-        few = few | ((F.col("kind") == r["kind"]) & (F.col("h") < int(level)))
-    chosen = different.where(few).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_kind)
-    rows = sorted((r["kind"], r["secret"]) for r in chosen.select("kind", "secret").collect())
+    """An automaton for each kind in examples(kind, secret), from ``per_kind``
+    different secrets, those with the smallest hashes, or all if they are fewer."""
+    different = cut(examples.select("kind", "secret").distinct(), "secret-examples")
+    rows = sorted(map(tuple, smallest_hashes(different, per_kind, "kind", ["secret"], "secret-sample").select("kind", "secret").collect()))
     kinds = dict.fromkeys(k for k, _ in rows)
     return {kind: Automaton([s for k, s in rows if k == kind]) for kind in kinds}
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_kind: int = 400, least: float = 1.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_kind: int = 400, least: float = 16.0, least_mean: float = 0.3
 ) -> DataFrame:
     """Return doc_id and spans, one row per input row.
 
     ``spans`` is an array of structs (start, stop, kind, format, score) by start
     and kind: base spans of kind assign, access or hex, and spans of kind
-    ``learned`` whose mean log-likelihood ratio under the automaton ``format``
-    is at least ``least``.  Positions are code points, the end exclusive.
-    ``per_kind`` bounds the labelled credentials that an automaton learns from.
+    ``learned`` whose log-likelihood ratio ``score`` under the automaton
+    ``format`` is at least ``least``, and at least ``least_mean`` for each
+    character.  Positions are code points, the end exclusive.  ``per_kind``
+    bounds the labelled credentials that an automaton learns from; those and the
+    candidates are taken whole.
 
     Null text counts as empty and has no spans; a null id stays null; repeated
-    rows are scanned each.  Without base matches in the table nothing is learned
+    rows are scanned each; texts of any length are read whole.  Of automata with
+    equal scores the later name is the format.  Without base matches in the table nothing is learned
     and no span is added.  An empty table gives an empty result; other columns
     are ignored.
     """
@@ -212,7 +235,7 @@ def scan_secrets(
     judged = F.pandas_udf(judge, "score double, format string")
     # Only different tokens are scored; most documents have none.
     tokens = scanned.where(F.size("tokens") > 0).select(F.explode("tokens.token").alias("token")).distinct()
-    scored = tokens.select("token", judged("token").alias("j")).where(F.col("j.score") >= least)
+    scored = tokens.select("token", judged("token").alias("j")).where((F.col("j.score") >= least) & (F.col("j.score") >= least_mean * (F.length("token") + 1)))
     scored = cut(scored.select("token", "j.score", "j.format"), "secret-formats")
     plain = scanned.select("doc_id", "base", "tokens", F.monotonically_increasing_id().alias("row"))
     numbered = cut(plain, "secret-rows")
