@@ -24,11 +24,12 @@ _DONE: dict[tuple[str, str], reconcile.Reconciliation] = {}
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _table(make: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+def _table(make: Callable[[SparkSession, object], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain's rows, made of the driver's tables and written once a session."""
     key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
     if key not in _TABLES:
-        _TABLES[key] = cut(make(spark, sf_dir), make.__name__)
+        source = sf_dir if make is domain.lines else _table(domain.lines, spark, sf_dir)
+        _TABLES[key] = cut(make(spark, source), make.__name__)
     return _TABLES[key]
 
 

@@ -37,14 +37,14 @@ TRANSACTIONS_SQL = f"""
 SELECT a.scope_id, 'txn-' || CAST(a.orderkey AS string) AS id,
        a.shipdate + CAST(a.orderkey % 8 AS int) AS posted_date,
        CASE a.orderstatus WHEN 'F' THEN 'outgoing' WHEN 'O' THEN 'incoming' ELSE 'unknown' END AS direction,
-       CAST(CASE a.orderkey % 5 WHEN 0 THEN a.price WHEN 1 THEN a.price + coalesce(b.price, 0)
-            WHEN 2 THEN a.price + coalesce(b.price, 0) + coalesce(c.price, 0)
+       CAST(CASE a.orderkey % 5 WHEN 0 THEN a.price WHEN 1 THEN a.price + coalesce(a.price2, 0)
+            WHEN 2 THEN a.price + coalesce(a.price2, 0) + coalesce(a.price3, 0)
             WHEN 3 THEN CAST(a.totalprice AS decimal(18,2)) ELSE a.price + 0.01 END AS {MONEY}) AS amount,
        {CURRENCY_SQL.replace("nationkey", "a.nationkey")} AS currency,
        upper(a.name) || '* ' || a.brand || CASE WHEN a.orderkey % 7 = 0
          THEN chr(10) || 'INV-' || lpad(CAST(a.orderkey AS string), 8, '0') ELSE '' END AS description,
        upper(a.name) || '* ' || a.brand AS merchant_raw, 'statement.pdf' AS source_file
-FROM lines a LEFT JOIN lines b ON b.orderkey = a.orderkey AND b.seq = 2 LEFT JOIN lines c ON c.orderkey = a.orderkey AND c.seq = 3
+FROM (SELECT *, lead(price, 1) OVER w AS price2, lead(price, 2) OVER w AS price3 FROM lines WINDOW w AS (PARTITION BY orderkey ORDER BY seq)) a
 WHERE a.seq = 1
 """
 
@@ -59,11 +59,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LINES_SQL)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines(spark, sf_dir).createOrReplaceTempView("lines")
+def documents(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    lines.createOrReplaceTempView("lines")
     return spark.sql(DOCUMENTS_SQL)
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines(spark, sf_dir).createOrReplaceTempView("lines")
+def transactions(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    lines.createOrReplaceTempView("lines")
     return spark.sql(TRANSACTIONS_SQL)

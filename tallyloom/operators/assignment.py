@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,18 @@ def numbered(proposals: DataFrame) -> DataFrame:
     return proposals.withColumn("place", F.row_number().over(Window.partitionBy("scope_id").orderBy("rank")).cast("long"))
 
 
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    used: set[str] = set()
-    kept = []
-    for row in group.sort_values("place").itertuples():
-        if used.isdisjoint(row.resources):
-            used.update(row.resources)
-            kept.append(row.Index)
-    return group.loc[kept, ["scope_id", "place"]]
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a walk takes of rows that come by scope and rank."""
+    scope, used = None, set()
+    for batch in batches:
+        free = []
+        for here, resources in zip(batch.column("scope_id").to_pylist(), batch.column("resources").to_pylist(), strict=True):
+            if here != scope:
+                scope, used = here, set()
+            free.append(used.isdisjoint(resources))
+            if free[-1]:
+                used.update(resources)
+        yield batch.filter(pa.array(free, pa.bool_())).select(["scope_id", "rank"])
 
 
 def greedy_assign(proposals: DataFrame, small: int = 50_000, max_rounds: int = 1000) -> DataFrame:
@@ -53,10 +59,8 @@ def greedy_assign(proposals: DataFrame, small: int = 50_000, max_rounds: int = 1
     taken = None
     for _ in range(max_rounds):
         if live.count() <= small:
-            live = cut(numbered(live), "greedy-last")
-            slim = live.select("scope_id", "place", "resources")
-            last = slim.groupBy("scope_id").applyInPandas(_walk, slim.select("scope_id", "place").schema)
-            last = live.join(last, ["scope_id", "place"], "left_semi").select("scope_id", "rank")
+            dealt = live.repartition("scope_id").sortWithinPartitions("scope_id", "rank")
+            last = cut(dealt.mapInArrow(_walk, live.select("scope_id", "rank").schema), "greedy-last")
             return last if taken is None else taken.unionByName(last)
         spread = live.select("scope_id", "rank", F.explode("resources").alias("resource"))
         best = cut(spread.groupBy("scope_id", "resource").agg(F.min("rank").alias("best")), "greedy-best")

@@ -8,27 +8,55 @@ from pyspark.sql import functions as F
 from tallyloom.config import MICRO, Settings
 from tallyloom.functions.amounts import MONEY
 from tallyloom.operators.scoring import (
-    SIGNALS, cited, date_signal, outgoing, pair_signals, prepared_documents, prepared_transactions, with_merchant_signals, with_total,
+    SIGNALS, cited, date_signal, name_signals, outgoing, pair_signals, prepared_documents, prepared_transactions, with_total,
 )
 from tallyloom.scratch import cut
 
+#: Documents of one scope that a block holds, about.
+BLOCK = 20_000
+
 
 def combination_pool(transactions: DataFrame, documents: DataFrame, settings: Settings) -> DataFrame:
     """For each outgoing transaction the ``pool_limit`` best documents of its
     scope and currency with a smaller amount, numbered from 1: by merchant, then
-    date gap, then larger amount, then id."""
-    t, d = prepared_transactions(outgoing(transactions)), prepared_documents(documents)
+    date gap, then larger amount, then id.
+
+    Names are compared once, from the different names of a scope and currency.
+    Pairs hold what ranks them and nothing else, are never written, and only
+    the best of each task are shuffled; texts come by id to those that stay.
+    Scopes with very many documents are dealt into blocks, so that no task has
+    a whole scope's pairs.
+    """
+    t = cut(prepared_transactions(outgoing(transactions)), "pool-transactions")
+    d = cut(prepared_documents(documents), "pool-documents")
+    slim_t = t.select("scope_id", "transaction_id", "currency", "amount", "posted_date", "m1")
+    slim_d = d.select("d_scope", "document_id", "d_currency", "d_amount", "issued_date", "d_m1")
+    names_t = slim_t.select("scope_id", "currency", F.col("m1").alias("name_l")).where("name_l <> ''").distinct()
+    names_d = slim_d.select("d_scope", "d_currency", F.col("d_m1").alias("name_r")).where("name_r <> ''").distinct()
+    met = names_t.join(names_d, (F.col("scope_id") == F.col("d_scope")) & (F.col("currency") == F.col("d_currency")))
+    signals = name_signals(met.select("name_l", "name_r").distinct(), settings).withColumnRenamed("signal", "pool_merchant")
+
+    blocks = slim_d.groupBy(F.col("d_scope").alias("b_scope")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = cut(blocks.where("blocks > 1"), "pool-blocks")
+    many = F.coalesce("blocks", F.lit(1))
+    slim_t = slim_t.join(blocks, F.col("scope_id") == F.col("b_scope"), "left")
+    slim_t = slim_t.withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))).drop("b_scope", "blocks")
+    slim_d = slim_d.join(blocks, F.col("d_scope") == F.col("b_scope"), "left")
+    slim_d = slim_d.withColumn("d_block", F.pmod(F.hash("document_id"), many)).drop("b_scope", "blocks")
+
     tolerance = F.lit(settings.amount_tolerance).cast(MONEY)
     fits = (
-        (t["scope_id"] == d["d_scope"]) & (t["currency"] == d["d_currency"])
-        & (d["d_amount"] <= t["amount"]) & (F.abs(d["d_amount"] - t["amount"]) > tolerance)
+        (F.col("scope_id") == F.col("d_scope")) & (F.col("currency") == F.col("d_currency")) & (F.col("block") == F.col("d_block"))
+        & (F.col("d_amount") <= F.col("amount")) & (F.abs(F.col("d_amount") - F.col("amount")) > tolerance)
     )
-    pairs = with_merchant_signals(t.join(d, fits), {"pool_merchant": ("m1", "d_m1")}, settings)
+    pairs = slim_t.join(slim_d, fits).join(signals, (F.col("m1") == F.col("name_l")) & (F.col("d_m1") == F.col("name_r")), "left")
     gap = F.coalesce(F.abs(F.datediff("posted_date", "issued_date")), F.lit(10**9))
-    order = Window.partitionBy("scope_id", "transaction_id").orderBy(
-        F.desc(F.coalesce("pool_merchant", F.lit(-MICRO))), gap, F.desc("d_amount"), "document_id"
-    )
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.combinations.pool_limit)
+    key = ["scope_id", "transaction_id"]
+    order = Window.partitionBy(*key).orderBy(F.desc(F.coalesce("pool_merchant", F.lit(-MICRO))), "gap", F.desc("d_amount"), "document_id")
+    ranked = pairs.select(*key, "document_id", "d_amount", gap.alias("gap"), "pool_merchant").withColumn("place", F.row_number().over(order))
+    best = ranked.where(F.col("place") <= settings.combinations.pool_limit).select(*key, "document_id", "pool_merchant", "place")
+    found = t.join(best, key)
+    return found.join(d, (F.col("scope_id") == F.col("d_scope")) & (found["document_id"] == d["document_id"])).drop(found["document_id"])
 
 
 def combination_sets(pool: DataFrame, settings: Settings) -> DataFrame:

@@ -39,6 +39,11 @@ def prepared_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def name_signals(different: DataFrame, settings: Settings) -> DataFrame:
+    """The signal of each of the different pairs (name_l, name_r), written once."""
+    return cut(different.select("name_l", "name_r", merchant_signal(F.col("name_l"), F.col("name_r"), settings).alias("signal")), "name-signals")
+
+
 def with_merchant_signals(pairs: DataFrame, names: dict[str, tuple[str, str]], settings: Settings) -> DataFrame:
     """Add signals of pairs of normalised names, ``names`` giving for each new
     column the two it compares.
@@ -51,8 +56,7 @@ def with_merchant_signals(pairs: DataFrame, names: dict[str, tuple[str, str]], s
     for left, right in names.values():
         part = pairs.select(F.col(left).alias("name_l"), F.col(right).alias("name_r"))
         met = part if met is None else met.unionByName(part)
-    different = met.where("name_l <> '' and name_r <> ''").distinct()
-    signals = cut(different.select("name_l", "name_r", merchant_signal(F.col("name_l"), F.col("name_r"), settings).alias("signal")), "name-signals")
+    signals = name_signals(met.where("name_l <> '' and name_r <> ''").distinct(), settings)
     for name, (left, right) in names.items():
         part = signals.select(F.col("name_l").alias(left), F.col("name_r").alias(right), F.col("signal").alias(name))
         pairs = pairs.join(part, [left, right], "left")
