@@ -1,39 +1,71 @@
-"""``python -m tallyloom check-folder FOLDER``: check a folder's contract."""
+"""``python -m tallyloom check-folder FOLDER``: check a folder's contract, and
+match its bank statement, if it has one, in ``report.html``."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.plans.contract import check_folders, report_texts
+from tallyloom.plans.folders import audit_folders, pick_statements
+from tallyloom.plans.reports import html_rows, write_html
 from tallyloom.plans.statement import StatementError
 from tallyloom.sources.files import read_pages, scan_documents, with_text
+from tallyloom.sources.statements import PdfStatements, StatementSource
+
+
+def read_folder(spark: SparkSession, folder: str, extract=read_pages) -> DataFrame | None:
+    """The folder's files with content and text; None if it has none."""
+    files = scan_documents(spark, folder, folder)
+    if files.isEmpty():
+        return None
+    held = spark.read.format("binaryFile").load([r["path"] for r in files.select("path").collect()])
+    content = held.select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
+    empty = F.coalesce("content", F.lit("").cast("binary"))
+    return with_text(files.join(content, "path", "left").withColumn("content", empty), extract)
 
 
 def check_folder(spark: SparkSession, folder: str, extract=read_pages) -> str:
     """The text report of one folder."""
-    files = scan_documents(spark, folder, folder)
-    empty = files.limit(1).count() == 0
-    if empty:
+    files = read_folder(spark, folder, extract)
+    if files is None:
         files = spark.createDataFrame([(folder, "-", "")], "scope_id string, filename string, text string")
-    else:
-        held = spark.read.format("binaryFile").load([r["path"] for r in files.select("path").collect()])
-        content = held.select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
-        files = with_text(files.join(content, "path", "left").fillna({"document_type": ""}), extract)
     folders, expected = check_folders(files.select("scope_id", "filename", "text"))
     return report_texts(folders, expected).first()["report"]
 
 
+def statement_report(spark: SparkSession, folder: str, source: StatementSource, extract=read_pages) -> Path | None:
+    """Match the folder's bank statement with its other files and write
+    ``report.html`` there; None if the folder has no statement."""
+    files = read_folder(spark, folder, extract)
+    pick = None if files is None else pick_statements(files).first()
+    if pick is None or (pick["statement"] is None and pick["problem"] is None):
+        return None
+    if pick["problem"]:
+        raise StatementError(pick["problem"])
+    transactions = source.read(spark, str(Path(folder) / pick["statement"])).withColumn("scope_id", F.lit(folder))
+    result = audit_folders(files, transactions)
+    target = Path(folder) / "report.html"
+    write_html(html_rows(result), target)
+    return target
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tallyloom")
-    parser.add_subparsers(dest="command", required=True).add_parser("check-folder").add_argument("folder")
+    command = parser.add_subparsers(dest="command", required=True).add_parser("check-folder")
+    command.add_argument("folder")
+    command.add_argument("--glyphs", help="Parquet table (font, glyph_id, ch) of the characters of statements' fonts")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tallyloom").getOrCreate()
     try:
         print(check_folder(spark, args.folder))
+        report = statement_report(spark, args.folder, PdfStatements(spark.read.parquet(args.glyphs) if args.glyphs else None))
+        if report is not None:
+            print(f"\nStatement report: {report}")
     except (FileNotFoundError, NotADirectoryError, StatementError) as e:
         print(e, file=sys.stderr)
         return 1

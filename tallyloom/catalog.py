@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from tallyloom import domain
 from tallyloom.config import MICRO, Settings
-from tallyloom.functions import amounts, dates, merchants, references
+from tallyloom.functions import amounts, checks, dates, merchants, references
 from tallyloom.operators import scoring
 from tallyloom.operators.assignment import greedy_assign, numbered, ranked
 from tallyloom.operators.combining import combination_pool, combination_proposals, combination_sets
-from tallyloom.plans import contract, extraction, reconcile, reports, statement
+from tallyloom.plans import contract, extraction, folders, reconcile, reports, statement
 from tallyloom.scratch import cut
 
 SETTINGS = Settings()
@@ -268,16 +268,16 @@ def proposal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense instance: orders want the parts they hold and the next ones."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(
-        F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.count("*").alias("n")
-    )
+    """A dense instance: a customer's orders want the parts they hold and the
+    next ones, of which there are eight kinds."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("scope_id"))
     want = F.explode(F.array("p", F.col("p") + 1, F.col("p") + 2))
-    made = items.where("n >= 4").select((F.col("l_orderkey") % 50).alias("scope_id"), "l_orderkey", "s", want.alias("w"))
+    made = items.join(orders, "l_orderkey").select("scope_id", "l_orderkey", "s", want.alias("w"))
     offers = made.select(
         "scope_id", F.lit("CONFIRMED").alias("status"), (F.pmod(F.col("s") * 7 + F.col("w") * 13, F.lit(1000))).alias("score"),
         F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("transaction_id"),
-        F.array(F.concat(F.lit("d"), (F.pmod("w", F.lit(40))).cast("string"))).alias("document_ids"),
+        F.array(F.concat(F.lit("d"), (F.pmod("w", F.lit(8))).cast("string"))).alias("document_ids"),
     ).distinct()
     offers = cut(ranked(offers), "dense")
     taken = greedy_assign(offers, small=0)
@@ -348,9 +348,11 @@ def html_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.html_rows(_result(spark, sf_dir)).select("transaction_id", "date", "text", "amount_text", "status", "files")
 
 
-def _glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _glyphs(spark: SparkSession, sf_dir: str, broken: bool = False) -> tuple[DataFrame, DataFrame]:
     """Statements laid out from the transactions: one file for each scope, 20
-    rows a page, with a summary before and after; glyph ids are characters'."""
+    rows a page, with a summary before and after; glyph ids are characters'.
+    ``broken`` ones have a word outside the columns, a repeated sum, or a row
+    before the balances, each a quarter of the scopes."""
     from pyspark.sql import Window
 
     t = _transactions(spark, sf_dir).where("direction <> 'unknown'")
@@ -386,6 +388,15 @@ def _glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels = sums.select("scope_id", F.inline(totals))
     placed = placed.unionByName(labels.select("scope_id", "page", "y0", F.lit(218.0).alias("x"), F.col("l").alias("t")))
     placed = placed.unionByName(labels.select("scope_id", "page", "y0", F.lit(401.0).alias("x"), "t"))
+    if broken:
+        cell = lambda page, y, x, text: F.struct(page.cast("int").alias("page"), F.lit(y).alias("y0"), F.lit(x).alias("x"), text.alias("t"))
+        one, last, kind = F.lit(1), F.col("last"), F.pmod(F.col("scope_id"), F.lit(4))
+        faults = (
+            F.when(kind == 1, F.array(cell(one, 90.0, 590.0, F.lit("odd"))))
+            .when(kind == 2, F.array(cell(last, 770.0, 218.0, F.format_string(layout.debited + " (%d)", "np")), cell(last, 770.0, 401.0, text("minus"))))
+            .when(kind == 3, F.array(cell(one, 60.0, 161.0, F.lit("01.02.2020")), cell(one, 60.0, 218.0, F.lit("early")), cell(one, 60.0, 401.0, F.lit("-1.00"))))
+        )
+        placed = placed.unionByName(sums.select("scope_id", F.inline(faults)))
     # A blank is a gap of two points; letters are four points wide.
     letters = placed.select("scope_id", "page", "y0", "x", F.posexplode(F.split("t", "")).alias("i", "c")).where("c not in ('', ' ')")
     glyphs = letters.select(
@@ -418,6 +429,44 @@ def statement_balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.select("scope_id", *[F.col(c).cast("decimal(28,8)").alias(c) for c in ("opening", "closing", "paid", "received")], "problem")
 
 
+def statement_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, check = statement.read_statements(*_glyphs(spark, sf_dir, broken=True))
+    return check.select("scope_id", "problem")
+
+
+def statement_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's folder holds invoices and none, one or two statements."""
+    k = F.col("s_suppkey")
+    names = F.array(
+        F.lit("invoice.pdf"), F.when(k % 4 > 0, "2024/Statement_01.PDF"), F.when(k % 4 == 2, "a/parskats.pdf"), F.when(k % 4 == 3, "statement.png")
+    )
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("scope_id"), F.explode(F.array_compact(names)).alias("rel_path"))
+    files = files.withColumn("filename", F.element_at(F.split("rel_path", "/"), -1)).withColumn("document_type", F.lower(F.element_at(F.split("rel_path", r"\."), -1)))
+    picks = folders.pick_statements(files)
+    rest = folders.supporting(files, picks).groupBy("scope_id").agg(F.count("*").alias("others"))
+    return picks.join(rest, "scope_id", "left")
+
+
+def document_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _receipts(spark, sf_dir).select(
+        F.lit("s").alias("scope_id"), F.concat("id", F.lit(".pdf")).alias("filename"), F.lit("pdf").alias("document_type"),
+        F.encode(F.concat(F.lit("%PDF "), "id"), "utf-8").alias("content"), "text",
+    )
+    return folders.build_documents(files).select("id", "filename", "issued_date", "amount", "currency", "invoice_number", "extraction_method", "file_hash")
+
+
+def input_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(28,8)")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", F.when(k % 11 == 3, "  ").otherwise(k.cast("string")).alias("id"), F.when(k % 17 != 4, F.col("o_orderdate")).alias("posted_date"),
+        F.when(k % 19 == 6, "sideways").otherwise("incoming").alias("direction"), F.when(k % 7 == 2, -price).when(k % 7 == 4, 0).otherwise(price).alias("amount"),
+        F.when(k % 5 == 1, "EU").when(k % 5 == 2, "e1r").when(k % 5 == 3, " usd ").otherwise("EUR").alias("currency"),
+        F.when(k % 13 == 5, "\n").otherwise("x").alias("description"), F.when(k % 3 == 0, (k % 4).cast("int")).alias("source_row"),
+    )
+    return checks.checked_transactions(rows).select("o_orderkey", "id", "currency", F.array_join("problems", "; ").alias("problems"))
+
+
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
     return statement.page_ranges(items, ["l_orderkey"], "l_linenumber")
@@ -429,7 +478,8 @@ QUERIES = (
     invoice_period_vote, contract_status, contract_months, contract_explicit_lines, expected_vs_found, score_single_pairs, combination_pool_topk,
     combination_subsets, score_combinations, proposal_rank, greedy_assignment, match_transactions, match_reasons, document_references,
     unmatched_documents, population_check, status_summary, currency_totals, coverage, report_transactions, report_missing, report_probable,
-    report_documents, report_duplicates, html_status, statement_lines, statement_rows, statement_balance_check, page_ranges,
+    report_documents, report_duplicates, html_status, statement_lines, statement_rows, statement_balance_check, statement_problems,
+    statement_pick, document_build, input_problems, page_ranges,
 )
 
 

@@ -246,11 +246,11 @@ def oracle_sql() -> dict[str, str]:
     q["score_combinations"] = f"{POOLED}, {_SETS}, {_COMBOS} SELECT transaction_id, array_to_string(document_ids, ';') AS document_ids, status, {UNITS} FROM combo WHERE status <> 'MISSING'"
     q["proposal_rank"] = f"{POOLED}, {_SETS}, {_COMBOS}, {_OFFERS} SELECT scope_id, transaction_id, array_to_string(document_ids, ';') AS document_ids, place FROM offers"
     q["greedy_assignment"] = f"""WITH RECURSIVE i AS (
-        SELECT l_orderkey, min(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY 1 HAVING count(*) >= 4
-      ), w AS (SELECT l_orderkey % 50 AS scope_id, l_orderkey, s, p + unnest([0, 1, 2]) AS w FROM i),
+        SELECT l_orderkey, min(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY 1
+      ), w AS (SELECT o_custkey AS scope_id, l_orderkey, s, p + unnest([0, 1, 2]) AS w FROM i JOIN orders ON o_orderkey = l_orderkey),
       offers AS MATERIALIZED (
         SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY score DESC, transaction_id, document_ids) AS place FROM (
-          SELECT DISTINCT scope_id, (s * 7 + w * 13) % 1000 AS score, 't' || l_orderkey AS transaction_id, ['d' || (w % 40)] AS document_ids FROM w)
+          SELECT DISTINCT scope_id, (s * 7 + w * 13) % 1000 AS score, 't' || l_orderkey AS transaction_id, ['d' || (w % 8)] AS document_ids FROM w)
       ), {_WALK} SELECT scope_id, transaction_id, document_ids[1] AS document_id FROM chosen"""
     q["match_transactions"] = f"{_M} SELECT scope_id, transaction_id, status, {UNITS}, group_amount_exact, array_to_string(document_ids, ';') AS document_ids FROM m"
     q["match_reasons"] = f"""{_M}, own AS (SELECT scope_id, unnest(document_ids) AS document_id, transaction_id AS owner, place AS owner_place FROM chosen),
@@ -313,6 +313,20 @@ def oracle_sql() -> dict[str, str]:
         coalesce(sum(amount) FILTER (direction = 'incoming'), 0) AS received FROM st GROUP BY 1)
       SELECT scope_id, 10::DECIMAL(28,8) AS opening, (10 + received - paid)::DECIMAL(28,8) AS closing, paid::DECIMAL(28,8) AS paid,
         received::DECIMAL(28,8) AS received, NULL::VARCHAR AS problem FROM s"""
+    q["statement_problems"] = f"""{BASE}, {_ROWS} SELECT DISTINCT scope_id, CASE scope_id % 4 WHEN 1 THEN 'a word stands outside the columns'
+      WHEN 2 THEN 'a sum is repeated' WHEN 3 THEN 'a row stands before the balances' END AS problem FROM st"""
+    q["statement_pick"] = """SELECT s_suppkey AS scope_id, CASE WHEN s_suppkey % 4 IN (1, 3) THEN '2024/Statement_01.PDF' END AS statement,
+      CASE WHEN s_suppkey % 4 = 2 THEN 'several bank statements found: Statement_01.PDF, parskats.pdf' END AS problem,
+      CASE s_suppkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 END::BIGINT AS others FROM supplier"""
+    q["document_build"] = f"""{BASE} SELECT sha256('%PDF ' || id) AS id, id || '.pdf' AS filename, issued_date, amount, currency, invoice_number,
+      'pdf_text' AS extraction_method, sha256('%PDF ' || id) AS file_hash FROM d"""
+    q["input_problems"] = """
+      SELECT o_orderkey, CASE WHEN k % 11 <> 3 THEN k::VARCHAR END AS id, CASE k % 5 WHEN 1 THEN 'EU' WHEN 2 THEN 'E1R' WHEN 3 THEN 'USD' ELSE 'EUR' END AS currency,
+        concat_ws('; ', CASE WHEN k % 11 = 3 THEN 'id is empty' END, CASE WHEN k % 17 = 4 THEN 'posted_date is missing' END,
+          CASE WHEN k % 19 = 6 THEN 'direction is not known' END, CASE WHEN k % 7 IN (2, 4) THEN 'amount is not greater than zero' END,
+          CASE WHEN k % 5 IN (1, 2) THEN 'currency is not a code of three letters' END, CASE WHEN k % 13 = 5 THEN 'description is empty' END,
+          CASE WHEN k % 3 = 0 AND k % 4 = 0 THEN 'source_row is not greater than zero' END) AS problems
+      FROM (SELECT *, o_orderkey AS k FROM orders)"""
     q["page_ranges"] = """
       WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
       b AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM a),

@@ -55,7 +55,7 @@ def proposals(transactions: DataFrame, documents: DataFrame, settings: Settings,
 
 
 def _upper_first(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 10_000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
 
 def explanation(settings: Settings) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.references import transaction_id
-from tallyloom.plans.statement import Layout, read_statements, require_balanced
+from tallyloom.plans.statement import Layout, StatementError, glyphs_of_traces, read_statements, require_balanced
+from tallyloom.scratch import cut
 
 
 class StatementSource(Protocol):
@@ -35,6 +38,53 @@ class GlyphStatements:
         return with_ids(rows.drop("stray").withColumnRenamed("file", "source_file"))
 
 
+TRACES = "page int, spans array<struct<font:string,chars:array<struct<glyph_id:int,x0:double,y0:double,x1:double>>>>"
+#: A page of A4 in points, and how far one may be from it.
+A4, NEAR_A4 = (595.0, 842.0), 3.0
+
+
+def pdf_traces(content: bytes) -> list[tuple]:
+    """Pages and their traced spans, by the PDF library of the installation."""
+    import pymupdf
+
+    pages = []
+    with pymupdf.open(stream=content, filetype="pdf") as pdf:
+        if pdf.needs_pass or not len(pdf):
+            raise StatementError("the statement is encrypted or empty")
+        for number, page in enumerate(pdf, 1):
+            if any(abs(a - b) > NEAR_A4 for a, b in zip((page.rect.width, page.rect.height), A4, strict=True)):
+                raise StatementError(f"page {number} is not A4")
+            spans = [(s.get("font"), [(int(c[1]), *map(float, c[3][:3])) for c in s["chars"]]) for s in page.get_texttrace()]
+            pages.append((number, spans))
+    return pages
+
+
+class PdfStatements:
+    """Statements as PDF files, whose fonts' characters are given as a table.
+
+    ``trace`` makes traced pages of a file's bytes and runs on executors."""
+
+    def __init__(self, glyph_map: DataFrame | None = None, layout: Layout = Layout(), trace: Callable[[bytes], list[tuple]] = pdf_traces) -> None:
+        self.glyph_map, self.layout, self.trace = glyph_map, layout, trace
+
+    def read(self, spark: SparkSession, path: str) -> DataFrame:
+        if self.glyph_map is None:
+            raise StatementError("no characters of the statement's fonts are known")
+        trace = self.trace
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for file, content in zip(batch["path"], batch["content"], strict=True):
+                    pages = [(n, [{"font": f, "chars": [dict(zip(("glyph_id", "x0", "y0", "x1"), c, strict=True)) for c in cs]} for f, cs in spans]) for n, spans in trace(bytes(content))]
+                    yield pd.DataFrame([("", file, *p) for p in pages], columns=["scope_id", "file", "page", "spans"])
+
+        held = spark.read.format("binaryFile").load(path).select("path", "content")
+        traces = held.mapInPandas(run, "scope_id string, file string, " + TRACES)
+        rows, check = read_statements(cut(glyphs_of_traces(traces), "statement-glyphs"), self.glyph_map, self.layout)
+        require_balanced(check)
+        return with_ids(rows.drop("stray").withColumn("source_file", F.element_at(F.split("file", "/"), -1)).drop("file"))
+
+
 class CsvStatements:
     """Statements as CSV with a header: scope_id, posted_date, direction, amount,
     currency, description, merchant_raw."""

@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import catalog
-from tallyloom.__main__ import check_folder, main
+from tallyloom.__main__ import check_folder, main, statement_report
+from tallyloom.functions import checks
 from tallyloom.plans import contract, extraction, statement
+from tallyloom.plans.statement import StatementError
 from tallyloom.sources.files import joined_pages, scan_documents, with_text
-from tallyloom.sources.statements import CsvStatements
+from tallyloom.sources.statements import CsvStatements, PdfStatements
 from tallyloom.streaming.intake import stream_invoices
 
 SF = "/root/testdata/sf0.001"
@@ -134,6 +136,59 @@ def test_text_adapters_and_command(spark, tmp_path, capsys):
     assert main(["check-folder", str(tmp_path / "absent")]) == 1
 
 
+def drawn():
+    """A trace of a statement of one row, made inside a function as executors
+    have no copy of this module: its PDF holds nothing but its text."""
+
+    def trace(content):
+        if content == b"wide":
+            raise StatementError("page 1 is not A4")
+        words = [(80.0, 218.0, "Sākuma atlikums"), (80.0, 401.0, "EUR+10.00"), (100.0, 62.0, "ref1"), (100.0, 161.0, "10.09.2026"), (100.0, 218.0, "Amazon"), (100.0, 401.0, "-100.00")]
+        words += [(740.0, 218.0, "Kopā izskaitīts (1)"), (740.0, 401.0, "EUR-100.00"), (750.0, 218.0, "Kopā ieskaitīts (0)"), (750.0, 401.0, "EUR+0.00")]
+        words += [(760.0, 218.0, "Beigu atlikums"), (760.0, 401.0, "EUR-90.00")]
+        return [(1, [("f", [(ord(c), x + 4.0 * i, y, x + 4.0 * i + 4.0) for i, c in enumerate(w) if c != " "]) for y, x, w in words])]
+
+    return trace
+
+
+def test_statement_report_of_a_folder(spark, tmp_path, capsys):
+    signs = sorted({*"Sākumatlis EUR+-0123456789.refAmazonKopāizskītsgu()Bd"} - {" "})
+    signs = spark.createDataFrame([("f", ord(c), c) for c in signs], "font string, glyph_id int, ch string")
+    source = PdfStatements(signs, trace=drawn())
+    assert statement_report(spark, str(tmp_path), source, decoder()) is None
+    (tmp_path / "invoice.pdf").write_text("Supplier: Amazon\nIssued 10.09.2026\nTotal 100.00 EUR")
+    (tmp_path / "copy.pdf").write_text("Supplier: Amazon\nIssued 10.09.2026\nTotal 100.00 EUR")
+    assert statement_report(spark, str(tmp_path), source, decoder()) is None
+    (tmp_path / "Statement.pdf").write_text("drawn")
+    page = statement_report(spark, str(tmp_path), source, decoder()).read_text()
+    assert "IDENTIFIED" in page and "2026-09-10" in page and 'href="' in page and "NOT IDENTIFIED" not in page
+    with pytest.raises(StatementError):
+        PdfStatements().read(spark, str(tmp_path / "Statement.pdf"))
+    (tmp_path / "parskats.pdf").write_text("drawn")
+    with pytest.raises(StatementError, match="several bank statements found: Statement.pdf, parskats.pdf"):
+        statement_report(spark, str(tmp_path), source, decoder())
+
+
+def test_traces_that_lack_a_font_raise(spark):
+    schema = "scope_id string, file string, page int, spans array<struct<font:string,chars:array<struct<glyph_id:int,x0:double,y0:double,x1:double>>>>"
+    whole, lacking = ("s", "f", 1, [("a", [(7, 1.0, 2.0, 3.0), (8, 3.0, 2.0, 5.0)])]), ("s", "f", 2, [(None, [])])
+    found = statement.glyphs_of_traces(spark.createDataFrame([whole], schema)).collect()
+    assert [(r.font, r.glyph_id, r.x0, r.x1, r.y0) for r in found] == [("a", 7, 1.0, 3.0, 2.0), ("a", 8, 3.0, 5.0, 2.0)]
+    with pytest.raises(Exception, match="incomplete"):
+        statement.glyphs_of_traces(spark.createDataFrame([whole, lacking], schema)).collect()
+
+
+def test_checks_of_rows(spark):
+    good = ("t", date(2026, 9, 10), "outgoing", Decimal("1.00"), " eur ", "CARD", "Shop SIA", "SHOP", "s.pdf", 1, None)
+    bad = (" ", None, None, Decimal("0"), "E1R", None, "Shop", "OTHER", "", 0, -1)
+    schema = "id string, posted_date date, direction string, amount decimal(28,8), currency string, description string, merchant_raw string, merchant_normalized string, source_file string, source_page int, source_row int"
+    rows = checks.checked_transactions(spark.createDataFrame([good, bad], schema)).collect()
+    assert rows[0].problems == [] and rows[0].currency == "EUR" and len(rows[1].problems) == 10 and rows[1].id is None
+    docs = spark.createDataFrame([("d", "d.pdf", "pdf", None, "", "A" * 64), ("d", "", "doc", Decimal("-1"), "EURO", "xyz")], "id string, filename string, document_type string, amount decimal(28,8), currency string, file_hash string")
+    rows = checks.checked_documents(docs).collect()
+    assert rows[0].problems == [] and rows[0].currency is None and len(rows[1].problems) == 5
+
+
 def test_csv_statement_and_stream(spark, tmp_path):
     (tmp_path / "s.csv").write_text("scope_id,posted_date,direction,amount,currency,description,merchant_raw\nx,2026-09-10,outgoing,19.90,EUR,CARD,Shop\n")
     row = CsvStatements().read(spark, str(tmp_path / "s.csv")).first()
