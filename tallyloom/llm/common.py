@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +72,16 @@ def smallest_hashes(rows: DataFrame, n: int, group: str, key: list[str], label:
     if short := {value: TOP_HASH for value, total in totals.items() if got.get(value, 0) < min(n, total)}:
         found = found.where(~F.col(group).isin(*short)).unionByName(pick(short))
     return found
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a task gives freed memory back: Spark's workers wait
+    for further tasks with all that they ever took."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import tidy
 from tallyloom.llm.shingles import shingle_sets
 from tallyloom.scratch import cut
 
@@ -130,5 +131,5 @@ def find_contaminated(
         rows = items.where(dealt).orderBy("item_id").collect()
         held = [(r["item_id"], np.sort(np.array(r["hashes"], np.int64).view(np.uint64))) for r in rows]
         if held:
-            found = found.unionByName(texts.mapInArrow(_search(held, percent, size, sketch), FOUND))
+            found = found.unionByName(texts.mapInArrow(tidy(_search(held, percent, size, sketch)), FOUND))
     return found

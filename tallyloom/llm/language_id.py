@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import smallest_hashes
+from tallyloom.llm.common import smallest_hashes, tidy
 from tallyloom.scratch import cut
 
 DIMENSIONS = 1 << 14
@@ -167,7 +167,7 @@ def fit_languages(
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    totals = rows.select("text").mapInArrow(_document_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    totals = rows.select("text").mapInArrow(tidy(_document_frequencies), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     frequency, seen = np.zeros(DIMENSIONS), 0
     for r in totals.collect():  # one row for each of the dimensions
         if r["place"] < 0:
@@ -177,7 +177,7 @@ def fit_languages(
     idf = np.log((1 + seen) / (1 + frequency)) + 1
 
     chosen = smallest_hashes(rows, per_language, "lang", ["id", "text"], "language-texts")
-    chosen = chosen.select("lang", "text").mapInArrow(_grams, "lang string, whole boolean, places array<long>, counts array<long>")
+    chosen = chosen.select("lang", "text").mapInArrow(tidy(_grams), "lang string, whole boolean, places array<long>, counts array<long>")
     chosen = cut(chosen, "language-sample")
     sample: dict[str, list[np.ndarray]] = {}
     for r in chosen.where("whole").drop("whole").orderBy("lang", F.hash("places", "counts")).collect():
@@ -231,7 +231,7 @@ def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", te
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def recognised(text: Column, model: Model) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if_small
+from tallyloom.llm.common import broadcast_if_small, tidy
 from tallyloom.llm.shingles import constants, mix, shingle_sets
 from tallyloom.operators.components import connected_components
 from tallyloom.scratch import cut
@@ -201,7 +201,7 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = cut(
-        texts.mapInArrow(_sketches(size, bands, band_size), "doc_id long, n long, fa long, fb long, keys array<long>"), "near-sketches"
+        texts.mapInArrow(tidy(_sketches(size, bands, band_size)), "doc_id long, n long, fa long, fb long, keys array<long>"), "near-sketches"
     )
     usable = sketched.where("n > 0 and doc_id is not null")
 
@@ -220,7 +220,7 @@ def near_duplicates(
     candidates = cut(rows.select("id").distinct(), "near-candidates")
     named = texts.withColumnRenamed("doc_id", "id")
     read = named.join(broadcast_if_small(candidates, broadcast_rows), "id", "left_semi")
-    hashed = read.mapInArrow(_sets(size, bands, band_size, False), "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
+    hashed = read.mapInArrow(tidy(_sets(size, bands, band_size, False)), "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
     single = hashed.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     by_class = single.groupBy("id", F.col("h").bitwiseAND(CLASSES - 1).cast("int").alias("c")).agg(F.count("*").cast("int").alias("k"))
     own = by_class.groupBy("id").agg(F.sum("k").alias("own"), F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("own_classes"))
@@ -229,7 +229,7 @@ def near_duplicates(
     alive = cut(sized.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "near-alive")
 
     read = named.join(broadcast_if_small(alive.select("id"), broadcast_rows), "id", "left_semi")
-    sets = read.mapInArrow(_sets(size, bands, band_size, True), "id long, hashes array<long>, regs binary, classes array<int>")
+    sets = read.mapInArrow(tidy(_sets(size, bands, band_size, True)), "id long, hashes array<long>, regs binary, classes array<int>")
     others = F.transform("classes", lambda v, c: v - F.coalesce(F.try_element_at("own_classes", c), F.lit(0)))
     sets = sets.dropDuplicates(["id"]).join(alive, "id").withColumn("others", others).drop("own_classes", "classes")
     sets = cut(sets, "near-sets")

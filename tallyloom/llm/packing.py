@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import tidy
 from tallyloom.scratch import cut
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -81,7 +82,7 @@ class Encoder:
     settings that this takes for granted are read from the file; under any
     other the tokenizer is given every text whole."""
 
-    def __init__(self, path: str, held: int = 200_000) -> None:
+    def __init__(self, path: str, held: int = 60_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -272,7 +273,7 @@ def pack_documents(
     gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECE), "pack-pieces")
+    pieces = cut(texts.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id)), PIECE), "pack-pieces")
 
     count = pieces.count()
     if not count:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if_small, smallest_hashes, within
+from tallyloom.llm.common import broadcast_if_small, smallest_hashes, tidy, within
 from tallyloom.llm.shingles import chunks, mix, word_hashes
 from tallyloom.scratch import cut
 
@@ -103,7 +103,7 @@ def _counts(probe: Model | None, held: int = 1 << 20):
 
 
 def _counted(texts: DataFrame, probe: Model | None = None) -> DataFrame:
-    return texts.select("text").mapInArrow(_counts(probe), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(_counts(probe)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def choose_features(positives: DataFrame, rows: DataFrame, prior: float, n_features: int, least: int, probe_features: int) -> np.ndarray:
@@ -198,4 +198,4 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int")
