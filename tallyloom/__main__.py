@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.config import LANGUAGES, ConfigError, ocr_languages
 from tallyloom.plans.contract import check_folders, report_texts
 from tallyloom.plans.folders import audit_folders, pick_statements
 from tallyloom.plans.reports import html_rows, write_html
@@ -59,11 +61,17 @@ def main(argv: list[str] | None = None) -> int:
     command = parser.add_subparsers(dest="command", required=True).add_parser("check-folder")
     command.add_argument("folder")
     command.add_argument("--glyphs", help="Parquet table (font, glyph_id, ch) of the characters of statements' fonts")
+    command.add_argument("--languages", default="eng+lav", help="codes of the languages of images, joined by +")
     args = parser.parse_args(argv)
+    try:
+        extract = partial(read_pages, languages=ocr_languages({"language": args.languages, "supported_languages": LANGUAGES}))
+    except ConfigError as e:
+        print(e, file=sys.stderr)
+        return 1
     spark = SparkSession.builder.appName("tallyloom").getOrCreate()
     try:
-        print(check_folder(spark, args.folder))
-        report = statement_report(spark, args.folder, PdfStatements(spark.read.parquet(args.glyphs) if args.glyphs else None))
+        print(check_folder(spark, args.folder, extract))
+        report = statement_report(spark, args.folder, PdfStatements(spark.read.parquet(args.glyphs) if args.glyphs else None), extract)
         if report is not None:
             print(f"\nStatement report: {report}")
     except (FileNotFoundError, NotADirectoryError, StatementError) as e:

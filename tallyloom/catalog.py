@@ -319,6 +319,29 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.coverage(_result(spark, sf_dir)).select("scope_id", *[F.col(c).cast("decimal(9,4)").alias(c) for c in ("by_count", "by_amount")])
 
 
+def summary_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary_sheet(_result(spark, sf_dir)).select("scope_id", "place", "section", "metric", "value")
+
+
+def summary_without_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.summary_sheet(_result(spark, sf_dir), supplied=False).where("section = 'General'")
+    return rows.select("scope_id", "metric", "value")
+
+
+def supplied_list_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of transactions with every 9th left out, the amounts of
+    those with remainder 2 changed, and those with remainder 5 listed twice."""
+    result = _result(spark, sf_dir)
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 9
+    kept = result.transactions.where(k != 0).withColumn("amount", F.when(k == 2, F.col("amount") + 1).otherwise(F.col("amount")).cast(domain.MONEY))
+    given = kept.unionByName(kept.where(k == 5))
+    return reports.supplied_gaps(result, given)
+
+
+def document_counts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.count_gaps(_result(spark, sf_dir)).agg(F.count("*").alias("scopes"))
+
+
 def _sheet(rows: DataFrame) -> DataFrame:
     names = ("scope_id", "transaction_id", "direction", "posted_date", "amount", "currency", "merchant_raw", "status", "document_ids", "filenames", "combination")
     return rows.select(*names)
@@ -429,6 +452,14 @@ def statement_balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.select("scope_id", *[F.col(c).cast("decimal(28,8)").alias(c) for c in ("opening", "closing", "paid", "received")], "problem")
 
 
+def statement_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    glyphs, names = _glyphs(spark, sf_dir)
+    rows, check = statement.read_statements(glyphs, names)
+    found = statement.statement_profile(cut(rows, "statement-rows"), check, glyphs.select(*statement.FILE, "page"))
+    balances = [F.col(c).cast("decimal(28,8)").alias(c) for c in ("opening", "closing")]
+    return found.select("scope_id", "pages", "transaction_pages", "n", "n_outgoing", "n_incoming", *balances, "currency", "samples")
+
+
 def statement_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, check = statement.read_statements(*_glyphs(spark, sf_dir, broken=True))
     return check.select("scope_id", "problem")
@@ -479,7 +510,8 @@ QUERIES = (
     combination_subsets, score_combinations, proposal_rank, greedy_assignment, match_transactions, match_reasons, document_references,
     unmatched_documents, population_check, status_summary, currency_totals, coverage, report_transactions, report_missing, report_probable,
     report_documents, report_duplicates, html_status, statement_lines, statement_rows, statement_balance_check, statement_problems,
-    statement_pick, document_build, input_problems, page_ranges,
+    statement_pick, document_build, input_problems, page_ranges, statement_profile, summary_sheet, summary_without_list,
+    supplied_list_check, document_counts_check,
 )
 
 

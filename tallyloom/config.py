@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields
 from decimal import Decimal
 from pathlib import Path
 
 MICRO = 1_000_000
+#: Languages of images that are supported unless the settings name others.
+LANGUAGES = ("eng", "lav")
 
 
 class ConfigError(ValueError):
@@ -101,6 +104,21 @@ def settings_from(tree: dict) -> Settings:
         raise ConfigError(str(e)) from e
 
 
+def ocr_languages(section: dict) -> str:
+    """The languages of text recognition, codes joined by ``+``, from the
+    settings ``language`` and ``supported_languages``: codes have three letters,
+    in any case, and each must be supported."""
+    language, supported = (section.get("language"), section.get("supported_languages")) if isinstance(section, dict) else (None, None)
+    if not isinstance(language, str) or not isinstance(supported, list | tuple) or not supported:
+        raise ConfigError("text recognition needs language and supported_languages")
+    codes, known = ([c.strip().lower() if isinstance(c, str) else "" for c in part] for part in (language.split("+"), supported))
+    if not all(re.fullmatch("[a-z]{3}", c) for c in (*codes, *known)):
+        raise ConfigError("language codes have three letters")
+    if lacking := [c for c in codes if c not in known]:
+        raise ConfigError(f"languages that are not supported: {', '.join(lacking)}")
+    return "+".join(codes)
+
+
 def load_settings(path: str | Path | None = None, name: str = "tallyloom.yaml") -> Settings:
     """Read YAML from ``path``, or from the nearest ``name`` in the working
     folder and those above it; without such a file the defaults hold."""

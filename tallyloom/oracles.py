@@ -7,6 +7,7 @@ in place of pruned ones, and a recursive walk in place of parallel rounds.
 from __future__ import annotations
 
 from tallyloom import domain
+from tallyloom.plans.reports import LEGEND
 
 _L = f"lines AS MATERIALIZED ({domain.LINES_SQL})"
 _D = f"d AS MATERIALIZED ({domain.DOCUMENTS_SQL})"
@@ -293,6 +294,34 @@ def oracle_sql() -> dict[str, str]:
           coalesce(sum(amount) FILTER (status = 'CONFIRMED'), 0)::DOUBLE AS w FROM m GROUP BY 1)
       SELECT t.scope_id, round(any_value(a.c) / any_value(a.n), 4)::DECIMAL(9,4) AS by_count, round(any_value(a.w) / any_value(a.v), 4)::DECIMAL(9,4) AS by_amount
       FROM t LEFT JOIN a USING (scope_id) GROUP BY 1"""
+    totals = {"Outgoing": "total", "Confirmed": "confirmed", "Probable": "probable", "Missing": "missing"}
+    period = "CASE WHEN min(posted_date) = max(posted_date) THEN min(posted_date)::VARCHAR ELSE min(posted_date)::VARCHAR || ' to ' || max(posted_date)::VARCHAR END"
+    pick = lambda at, section, metric, value, source: f"SELECT scope_id, {at} AS spot, '{section}' AS section, {metric} AS metric, ({value})::VARCHAR AS value FROM {source}"
+    one = lambda at, section, metric, value, source="ss": pick(f"({at}, '', 0)", section, f"'{metric}'", value, source)
+    lines = [
+        one(1, "General", "Reporting period", "period", "g"), one(2, "General", "Bank statements", "files", "g"), one(3, "General", "Total transactions", "total", "g"),
+        one(4, "General", "Outgoing transactions", "outgoing"), one(5, "General", "Incoming transactions", "incoming"),
+        one(6, "General", "Unclassified transactions", "unclear", "g WHERE unclear > 0"),
+        *[one(7 + i, "Reconciliation", f"{s.capitalize()} transactions", s) for i, s in enumerate(("confirmed", "probable", "missing"))],
+        one(10, "Reconciliation", "Supporting documents", "documents"), one(11, "Reconciliation", "Matched documents", "used_documents"),
+        one(12, "Reconciliation", "Unmatched documents", "unmatched_documents"),
+        *[pick(f"(13, currency, {i})", "Reconciliation", f"'{label} amount (' || currency || ')'", f"format('{{:,.2f}}', {c}::DOUBLE)", "ct") for i, (label, c) in enumerate(totals.items())],
+        one(14, "Coverage", "Coverage by count", "CASE WHEN outgoing > 0 THEN round(confirmed / outgoing, 4)::DECIMAL(9,4) END"),
+        pick("(15, currency, 0)", "Coverage", "'Coverage by amount (' || currency || ')'", "round(confirmed::DOUBLE / total::DOUBLE, 4)::DECIMAL(9,4)", "ct"),
+        *[one(16 + i, "Status", s, f"'{text}'") for i, (s, text) in enumerate(LEGEND.items())],
+    ]
+    general = f"""SELECT scope_id, {period} AS period, string_agg(DISTINCT source_file, '; ') AS files, count(*) AS total,
+        count_if(direction = 'unknown') AS unclear FROM {{}} GROUP BY 1"""
+    q["summary_sheet"] = f"""WITH ss AS ({q["status_summary"]}), ct AS ({q["currency_totals"]}), g AS ({BASE} {general.format("t")}),
+      u AS ({" UNION ALL ".join(lines)})
+      SELECT scope_id, (row_number() OVER (PARTITION BY scope_id ORDER BY spot) - 1)::INTEGER AS place, section, metric, value FROM u"""
+    short = [("Reporting period", "period"), ("Bank statements", "files"), ("Total transactions", "coalesce(total, 0)"), ("Outgoing transactions", "coalesce(total, 0)"), ("Incoming transactions", "NULL")]
+    q["summary_without_list"] = f"""{BASE}, g AS ({general.format("o")}), s AS (SELECT DISTINCT t.scope_id, g.* EXCLUDE (scope_id) FROM t LEFT JOIN g USING (scope_id))
+      {" UNION ALL ".join(f"SELECT scope_id, '{m}' AS metric, ({v})::VARCHAR AS value FROM s" for m, v in short)}"""
+    q["supplied_list_check"] = f"""{BASE}, k AS (SELECT *, regexp_extract(id, '([0-9]+)$', 1)::BIGINT % 9 AS k FROM t)
+      SELECT scope_id, id, 'listed twice' AS gap FROM k WHERE k = 5
+      UNION ALL SELECT scope_id, id, CASE k WHEN 0 THEN 'extra in result' ELSE 'differs from result' END FROM k WHERE k IN (0, 2) AND direction = 'outgoing'"""
+    q["document_counts_check"] = "SELECT 0::BIGINT AS scopes"
     q["report_transactions"] = f"{_SHEET} SELECT {_SHEET_COLUMNS} FROM sheet"
     q["report_missing"] = f"{_SHEET} SELECT {_SHEET_COLUMNS} FROM sheet WHERE status = 'MISSING'"
     q["report_probable"] = f"{_SHEET} SELECT {_SHEET_COLUMNS} FROM sheet WHERE status = 'PROBABLE'"
@@ -313,6 +342,11 @@ def oracle_sql() -> dict[str, str]:
         coalesce(sum(amount) FILTER (direction = 'incoming'), 0) AS received FROM st GROUP BY 1)
       SELECT scope_id, 10::DECIMAL(28,8) AS opening, (10 + received - paid)::DECIMAL(28,8) AS closing, paid::DECIMAL(28,8) AS paid,
         received::DECIMAL(28,8) AS received, NULL::VARCHAR AS problem FROM s"""
+    q["statement_profile"] = f"""{BASE}, {_ROWS} SELECT scope_id, 1 + max(n) // 20 AS pages, CASE WHEN max(n) < 20 THEN '1' ELSE '1-' || (1 + max(n) // 20) END AS transaction_pages,
+        count(*) AS n, count_if(direction = 'outgoing')::BIGINT AS n_outgoing, count_if(direction = 'incoming')::BIGINT AS n_incoming, 10::DECIMAL(28,8) AS opening,
+        (10 + sum(CASE direction WHEN 'incoming' THEN amount ELSE -amount END))::DECIMAL(28,8) AS closing, max(currency) AS currency,
+        string_agg((n + 1) || '. ' || strftime(posted_date, '%Y-%m-%d') || ' ' || merchant_raw || ' ' || {money} || ' ' || currency, chr(10) ORDER BY n) FILTER (n < 3) AS samples
+      FROM st GROUP BY 1"""
     q["statement_problems"] = f"""{BASE}, {_ROWS} SELECT DISTINCT scope_id, CASE scope_id % 4 WHEN 1 THEN 'a word stands outside the columns'
       WHEN 2 THEN 'a sum is repeated' WHEN 3 THEN 'a row stands before the balances' END AS problem FROM st"""
     q["statement_pick"] = """SELECT s_suppkey AS scope_id, CASE WHEN s_suppkey % 4 IN (1, 3) THEN '2024/Statement_01.PDF' END AS statement,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import quote
@@ -15,6 +16,12 @@ from tallyloom.operators.scoring import outgoing
 from tallyloom.plans.reconcile import Reconciliation
 
 STATUSES = ("CONFIRMED", "PROBABLE", "MISSING")
+# What the summary says of each status.
+LEGEND = {
+    "CONFIRMED": "Strong supporting evidence: exact amount and currency, plus a strong merchant or an exact reference.",
+    "PROBABLE": "Plausible match requiring review. Credible evidence is present, and the confirmed rule is not met.",
+    "MISSING": "No sufficiently credible supporting document found.",
+}
 
 
 def population_gaps(result: Reconciliation) -> DataFrame:
@@ -27,6 +34,30 @@ def population_gaps(result: Reconciliation) -> DataFrame:
     return lost.unionByName(extra)
 
 
+def supplied_gaps(result: Reconciliation, supplied: DataFrame) -> DataFrame:
+    """What keeps a list of transactions from being the one that was matched:
+    ids listed twice, outgoing ids on one side only, and rows that differ in a
+    column that both sides have.  None for the list itself."""
+    twice = supplied.groupBy("scope_id", "id").agg(F.count("*").alias("c")).where("c > 1").select("scope_id", "id", F.lit("listed twice").alias("gap"))
+    ours, given = outgoing(result.transactions), outgoing(supplied)
+    keys = ["scope_id", "id"]
+    lost = given.join(ours, keys, "left_anti").select(*keys, F.lit("missing from result").alias("gap"))
+    extra = ours.join(given, keys, "left_anti").select(*keys, F.lit("extra in result").alias("gap"))
+    both = sorted(set(ours.columns) & set(given.columns) - set(keys))
+    one = ours.select(*keys, F.struct(*both).alias("ours"))
+    two = given.select(*keys, F.struct(*both).alias("given"))
+    other = one.join(two, keys).where(~F.col("ours").eqNullSafe(F.col("given"))).select(*keys, F.lit("differs from result").alias("gap"))
+    return twice.unionByName(lost).unionByName(extra).unionByName(other.distinct())
+
+
+def count_gaps(result: Reconciliation) -> DataFrame:
+    """Scopes whose documents, counted as used and as unmatched, are not all."""
+    used = result.references().groupBy("scope_id").agg(F.count_if(F.size("transaction_ids") > 0).alias("matched"), F.count("*").alias("documents"))
+    rest = result.unmatched_documents().groupBy("scope_id").agg(F.count("*").alias("unmatched"))
+    both = used.join(rest, "scope_id", "full").na.fill(0, ["matched", "documents", "unmatched"])
+    return both.where("matched + unmatched <> documents")
+
+
 def sheet(result: Reconciliation) -> DataFrame:
     """Every transaction with its match, if it has one, and the names of its
     documents: the table behind the sheets."""
@@ -103,6 +134,51 @@ def coverage(result: Reconciliation) -> DataFrame:
     return counts.select("scope_id", ratio("confirmed", "outgoing").alias("by_count"), by_amount.alias("by_amount"))
 
 
+def summary_sheet(result: Reconciliation, supplied: bool = True) -> DataFrame:
+    """The summary as rows scope_id, place, section, metric and value, all text.
+
+    Without a ``supplied`` list of all transactions the population is the
+    outgoing ones, and the number of incoming ones is unknown.  A row of
+    unclassified transactions stands only where there are some; amounts have a
+    row for each currency of the scope."""
+    people = result.transactions if supplied else outgoing(result.transactions)
+    general = people.groupBy("scope_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("direction") == "unknown").alias("unknown"),
+        F.min("posted_date").alias("a"), F.max("posted_date").alias("b"), F.array_join(F.array_sort(F.collect_set("source_file")), "; ").alias("files"),
+    )
+    sums = currency_totals(result).groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("currency", "total", *map(str.lower, STATUSES)))).alias("sums"))
+    counts = status_summary(result).drop("first_date", "last_date")
+    rows = counts.join(general, "scope_id", "left").join(sums, "scope_id", "left")
+
+    def row(section, metric, value):
+        metric = F.lit(metric) if isinstance(metric, str) else metric
+        return F.struct(F.lit(section).alias("section"), metric.alias("metric"), value.cast("string").alias("value"))
+
+    def ratio(a, b):
+        return F.round(F.try_divide(a.cast("double"), b.cast("double")), 4).cast("decimal(9,4)")
+
+    named = lambda text, s: F.concat(F.lit(f"{text} ("), s["currency"], F.lit(")"))
+    of = {"Outgoing": "total"} | {s.capitalize(): s.lower() for s in STATUSES}
+    amounts = F.flatten(F.transform(F.coalesce("sums", F.array()), lambda s: F.array(
+        *[row("Reconciliation", named(f"{label} amount", s), two_places(s[name])) for label, name in of.items()]
+    )))
+    shares = F.transform(F.coalesce("sums", F.array()), lambda s: row("Coverage", named("Coverage by amount", s), ratio(s["confirmed"], s["total"])))
+    period = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws(" to ", F.col("a").cast("string"), F.col("b").cast("string")))
+    first = F.array(
+        row("General", "Reporting period", F.when(F.col("a").isNotNull(), period)), row("General", "Bank statements", F.col("files")),
+        row("General", "Total transactions", F.coalesce("total", F.lit(0))), row("General", "Outgoing transactions", F.col("outgoing")),
+        row("General", "Incoming transactions", F.col("incoming") if supplied else F.lit(None)),
+        F.when(F.col("unknown") > 0, row("General", "Unclassified transactions", F.col("unknown"))),
+        *[row("Reconciliation", f"{s.capitalize()} transactions", F.col(s.lower())) for s in STATUSES],
+        row("Reconciliation", "Supporting documents", F.col("documents")), row("Reconciliation", "Matched documents", F.col("used_documents")),
+        row("Reconciliation", "Unmatched documents", F.col("unmatched_documents")),
+    )
+    by_count = F.array(row("Coverage", "Coverage by count", ratio(F.col("confirmed"), F.col("outgoing"))))
+    legend = F.array(*[row("Status", s, F.lit(LEGEND[s])) for s in STATUSES])
+    listed = F.array_compact(F.concat(first, amounts, by_count, shares, legend))
+    return rows.select("scope_id", F.posexplode(listed).alias("place", "m")).select("scope_id", "place", "m.*")
+
+
 def html_rows(result: Reconciliation) -> DataFrame:
     """What the page shows of each transaction, in input order if the
     transactions carry ``ord``."""
@@ -154,11 +230,24 @@ def write_html(rows: DataFrame, path: str | Path) -> None:
 
 
 def write_workbook(result: Reconciliation, folder: str) -> None:
-    """Write every sheet as a Parquet table below ``folder``."""
+    """Write every sheet as a Parquet table below ``folder``.
+
+    All sheets are written beside it first and moved there when they are whole,
+    so that a failure leaves an older workbook as it was."""
+    if bad := count_gaps(result).limit(1).collect():
+        raise ValueError(f"{bad[0]['scope_id']}: used and unmatched documents are not all documents")
     sheets = {
-        "summary": status_summary(result), "currency_totals": currency_totals(result), "transactions": transactions_sheet(result),
+        "summary": summary_sheet(result).orderBy("scope_id", "place"), "counts": status_summary(result), "currency_totals": currency_totals(result), "transactions": transactions_sheet(result),
         "missing": missing_sheet(result), "probable": probable_sheet(result), "unmatched_documents": result.unmatched_documents(),
         "documents": documents_sheet(result), "duplicates": duplicates_sheet(result),
     }
+    part = f"{folder.rstrip('/')}.part-{uuid.uuid4().hex}"
     for name, rows in sheets.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows.write.parquet(f"{part}/{name}")
+    spark = result.matches.sparkSession
+    at = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, part, f"{part}-old")]
+    files = at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(at[0]):
+        files.rename(at[0], at[2])
+    files.rename(at[1], at[0])
+    files.delete(at[2], True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,18 +86,54 @@ def pdf_pages(content: bytes, kind: str) -> list[str]:
         return [page.get_text() for page in pdf]
 
 
+class OcrError(ValueError):
+    """The settings or the image do not allow text recognition."""
+
+
+def threshold(gray: np.ndarray, block: int = 31, offset: float = 11) -> np.ndarray:
+    """A grey image in black and white: against the Gaussian mean of each pixel's
+    surroundings, or, if a side is no longer than ``block``, against the one
+    level that parts dark and light best."""
+    if gray.ndim != 2:
+        raise OcrError("the image is not grey")
+    if min(gray.shape) <= block:
+        share = np.bincount(gray.ravel(), minlength=256) / max(1, gray.size)
+        below, mean = np.cumsum(share), np.cumsum(share * np.arange(256))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            between = (mean[-1] * below - mean) ** 2 / (below * (1 - below))
+        return np.where(gray > int(np.nan_to_num(between, posinf=0.0).argmax()), 255, 0).astype(np.uint8)
+    sigma, half = 0.3 * ((block - 1) * 0.5 - 1) + 0.8, block // 2
+    weights = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * sigma**2))
+    weights /= weights.sum()
+    mean = np.pad(gray.astype(np.float64), half, mode="edge")
+    for axis in (0, 1):
+        mean = np.apply_along_axis(np.convolve, axis, mean, weights, "valid")
+    return np.where(gray > np.rint(mean) - offset, 255, 0).astype(np.uint8)
+
+
 def image_pages(content: bytes, kind: str, languages: str = "eng+lav", seconds: int = 30) -> list[str]:
-    """The text of an image, by the OCR library of the installation."""
+    """The text of an image, by the OCR library of the installation.
+
+    ``languages`` are codes as :func:`tallyloom.config.ocr_languages` gives them;
+    each must be among the packs that the worker's installation has."""
     import io
 
     import pytesseract
     from PIL import Image, ImageFilter, ImageOps
 
-    image = ImageOps.grayscale(Image.open(io.BytesIO(content)))
+    if lacking := set(languages.split("+")) - set(pytesseract.get_languages(config="")):
+        raise OcrError(f"no language pack for {', '.join(sorted(lacking))}")
+    try:
+        image = ImageOps.grayscale(Image.open(io.BytesIO(content)))
+    except (OSError, Image.DecompressionBombError) as e:
+        raise OcrError("the image could not be opened") from e
     if max(image.size) < 1600:
         image = image.resize((2 * image.width, 2 * image.height), Image.Resampling.BICUBIC)
-    return [pytesseract.image_to_string(image.filter(ImageFilter.MedianFilter(3)), lang=languages, timeout=seconds)]
+    if min(image.size) >= 3:
+        image = image.filter(ImageFilter.MedianFilter(3))
+    image = Image.fromarray(threshold(np.asarray(image)))
+    return [pytesseract.image_to_string(image, lang=languages, timeout=seconds)]
 
 
-def read_pages(content: bytes, kind: str) -> list[str]:
-    return pdf_pages(content, kind) if kind == "pdf" else image_pages(content, kind)
+def read_pages(content: bytes, kind: str, languages: str = "eng+lav") -> list[str]:
+    return pdf_pages(content, kind) if kind == "pdf" else image_pages(content, kind, languages)

@@ -3,15 +3,17 @@
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import catalog
 from tallyloom.__main__ import check_folder, main, statement_report
+from tallyloom.config import ConfigError, ocr_languages
 from tallyloom.functions import checks
 from tallyloom.plans import contract, extraction, statement
 from tallyloom.plans.statement import StatementError
-from tallyloom.sources.files import joined_pages, scan_documents, with_text
+from tallyloom.sources.files import OcrError, joined_pages, scan_documents, threshold, with_text
 from tallyloom.sources.statements import CsvStatements, PdfStatements
 from tallyloom.streaming.intake import stream_invoices
 
@@ -94,6 +96,34 @@ def test_statement_round_trip_and_broken_balance(spark):
         statement.require_balanced(broken)
 
 
+def test_statement_profile_and_page_sizes(spark):
+    schema = "scope_id string, file string, source_page int, source_row int, posted_date date, direction string, amount decimal(28,8), currency string, description string, merchant_raw string"
+    rows = [("s", "f", p, i, date(2026, 9, i), "outgoing" if i % 2 else "incoming", Decimal("1.50"), "EUR", "first\nsecond", None if i == 2 else "Shop") for i, p in ((1, 1), (2, 2), (3, 4), (4, 4))]
+    check = spark.createDataFrame([("s", "f", Decimal(1), Decimal(1)), ("s", "empty", Decimal(2), Decimal(2))], "scope_id string, file string, opening decimal(28,8), closing decimal(28,8)")
+    pages = spark.createDataFrame([("s", "f", p) for p in (1, 1, 2, 3, 4)], "scope_id string, file string, page int")
+    found = {r.file: r for r in statement.statement_profile(spark.createDataFrame(rows, schema), check, pages).collect()}
+    assert (found["f"].pages, found["f"].transaction_pages, found["f"].n_outgoing, found["f"].n_incoming) == (4, "1-2, 4", 2, 2)
+    assert found["f"].samples.split("\n") == ["1. 2026-09-01 Shop -1.50 EUR", "2. 2026-09-02 first +1.50 EUR", "3. 2026-09-03 Shop -1.50 EUR"]
+    assert (found["empty"].transaction_pages, found["empty"].n, found["empty"].samples) == ("none", 0, "")
+    sizes = spark.createDataFrame([(595.3, 841.9), (612.0, 842.0), (595.0, 792.0), (None, 842.0)], "w double, h double")
+    assert [r.p is None for r in sizes.select(statement.page_problem(F.col("w"), F.col("h")).alias("p")).collect()] == [True, False, False, False]
+
+
+def test_threshold_and_languages():
+    dark = np.full((40, 60), 200, np.uint8)
+    dark[10:14, 5:50] = 20
+    assert (threshold(dark) == np.where(dark > 100, 255, 0)).all()
+    small = np.tile(np.array([30, 32, 220, 222], np.uint8), (4, 1))
+    assert (threshold(small) == np.where(small > 100, 255, 0)).all()
+    assert threshold(np.zeros((5, 5), np.uint8)).max() == 0
+    with pytest.raises(OcrError):
+        threshold(np.zeros((2, 2, 3), np.uint8))
+    assert ocr_languages({"language": " ENG + lav", "supported_languages": ["eng", "Lav"]}) == "eng+lav"
+    for bad in ({"language": "eng+deu", "supported_languages": ["eng"]}, {"language": "english", "supported_languages": ["eng"]}, {"language": "eng", "supported_languages": []}, None):
+        with pytest.raises(ConfigError):
+            ocr_languages(bad)
+
+
 def test_page_ranges(spark):
     rows = spark.createDataFrame([("a", p) for p in (1, 2, 3, 5, 5, 9, 10)], "k string, page int")
     assert statement.page_ranges(rows, ["k"]).first().page_ranges == "1-3, 5, 9-10"
@@ -199,6 +229,10 @@ def test_csv_statement_and_stream(spark, tmp_path):
     assert spark.read.parquet(target).first().period == "2026-01"
 
 
+def test_command_refuses_languages(capsys):
+    assert main(["check-folder", ".", "--languages", "eng+deu"]) == 1 and "deu" in capsys.readouterr().err
+
+
 def test_entry_point_imports():
     import __spark_entry__ as entry
 

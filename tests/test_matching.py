@@ -97,6 +97,33 @@ def test_reports(result, tmp_path):
     assert 'href="d.pdf"' in page and "IDENTIFIED" in page and "UNKNOWN" in page
 
 
+def test_summary_rows_and_workbook(spark, result, tmp_path):
+    rows = [(r.metric, r.value) for r in reports.summary_sheet(result).where("scope_id = 'reuse'").orderBy("place").collect()]
+    of = dict(rows)
+    assert rows[0][0] == "Reporting period" and [m for m, _ in rows[-3:]] == list(reports.STATUSES)
+    assert (of["Outgoing transactions"], of["Matched documents"], of["Outgoing amount (EUR)"], of["Missing amount (EUR)"]) == ("2", "1", "200.00", "100.00")
+    assert of["Coverage by count"] == of["Coverage by amount (EUR)"] == "0.5000" and "Unclassified transactions" not in of
+    alone = {r.metric: r.value for r in reports.summary_sheet(result, supplied=False).where("scope_id = 'exact'").collect()}
+    assert alone["Incoming transactions"] is None and alone["Total transactions"] == "1"
+    folder = str(tmp_path / "book")
+    for _ in range(2):
+        reports.write_workbook(result, folder)
+    assert spark.read.parquet(f"{folder}/summary").count() == reports.summary_sheet(result).count()
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["book"]
+
+
+def test_supplied_lists(result):
+    given = result.transactions
+    gaps = lambda rows: {(r.scope_id, r.gap) for r in reports.supplied_gaps(result, rows).collect()}
+    assert gaps(given) == set() and reports.count_gaps(result).count() == 0
+    assert gaps(given.where("scope_id <> 'exact'")) == {("exact", "extra in result")}
+    other = given.withColumn("description", F.when(F.col("scope_id") == "reuse", "other").otherwise(F.col("description")))
+    assert gaps(other) == {("reuse", "differs from result")}
+    more = given.unionByName(given.where("scope_id = 'exact' and direction = 'outgoing'").withColumn("id", F.lit("new")))
+    assert gaps(more) == {("exact", "missing from result")}
+    assert gaps(given.unionByName(given.where("scope_id = 'exact'"))) == {("exact", "listed twice")}
+
+
 def test_duplicate_ids_are_refused(scenes):
     t, d = scenes
     with pytest.raises(reconcile.MatchError):
