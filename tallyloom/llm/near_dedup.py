@@ -13,8 +13,12 @@ A document is its set of distinct five-word shingles, hashed to 64 bits.
    Links that hold join sets into components.
 5. Only sets that share a bucket and are not yet in one component meet
    pairwise, where sizes, own shingles and counts by classes of shingles leave
-   a link possible; these bounds lose nothing.  So a group of
-   thousands of copies makes thousands of pairs, not their square.
+   a link possible; these bounds lose nothing.  Within the largest component of
+   a bucket no pair is looked at, so a group of thousands of copies makes
+   thousands of pairs, not their square.  Sets of buckets in which very many
+   pairs are still apart (one template, many texts) meet by the rarest of their
+   shingles instead: of two sets that link, each has one of the other's among
+   its first ``n - ceil(threshold * n) + 1``, in one order for all.
 6. A pair's similarity is first estimated by maximum likelihood from the
    registers and the known set sizes.  Pairs that the likelihood all but rules
    out are left; every other pair is confirmed on the full sets.
@@ -172,6 +176,47 @@ def _sizes_fit(n1: Column, own1: Column, n2: Column, own2: Column, percent: int)
     return 100 * shared >= percent * (n1 + n2 - shared)
 
 
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of the keys that several components share, with the number of pairs
+    that are ``apart`` there and the component with most rows, ``major``."""
+    c = F.col("c").cast("double")
+    counted = rows.groupBy(key, "comp").agg(F.count("*").alias("c")).groupBy(key)
+    counted = counted.agg(F.count("*").alias("comps"), F.sum(c).alias("s"), F.sum(c * c).alias("q"), F.max(F.struct("c", "comp")).alias("most"))
+    counted = counted.where("comps > 1").select(key, ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("apart"), F.col("most.comp").alias("major"))
+    return rows.join(cut(counted, "near-open-keys"), key)
+
+
+def _meet(rows: DataFrame, key: str, percent: int, once: Column) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may link.
+
+    One side leaves out each key's largest component, so its own pairs are never
+    looked at.  ``once`` picks one of the keys that a pair shares."""
+    x, y = rows.where("comp <> major").alias("x"), rows.alias("y")
+    apart = (F.col("x.comp") < F.col("y.comp")) | ((F.col("x.comp") > F.col("y.comp")) & (F.col("y.comp") == F.col("y.major")))
+    fits = _sizes_fit(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), percent)
+    # In each class of shingles two sets share no more than either has there.
+    common = F.aggregate(F.zip_with("x.others", "y.others", lambda p, q: F.least(p, q)), F.lit(0), lambda a, v: a + v).cast("long")
+    enough = 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)
+    meet = (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & fits & once & enough
+    return x.join(y.hint("merge"), meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _prefixes(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``crowded``, one for each shingle ``h`` by which a set can link.
+
+    Shingles are ordered by how many sets have them, then by hash.  A set shares
+    at least ``ceil(percent * n / 100)`` with one that it links to, so one of the
+    others and one more is shared, whichever they are.  Shingles that no other
+    set has come first and join nothing, so they are counted and left out."""
+    held = sets.select("id", "hashes").join(crowded.select("id"), "id", "left_semi").select("id", F.explode("hashes").alias("h"))
+    often = held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    common = held.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("common"))
+    length = (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) - (F.col("n") - F.size("common"))
+    first = F.slice("common", 1, F.greatest(length, F.lit(0)).cast("int"))
+    rows = common.join(crowded, "id").withColumn("one", F.explode(first))
+    return cut(rows.select("id", "n", "own", "others", "comp", F.col("one.h").alias("h")), "near-prefix-rows")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -181,6 +226,7 @@ def near_duplicates(
     bands: int = 32,
     band_size: int = 6,
     broadcast_rows: int = 2_000_000,
+    bucket_pairs: int = 500_000,
 ) -> DataFrame:
     """Return doc_id, n_shingles, component_id, kept, one row per input row.
 
@@ -197,7 +243,9 @@ def near_duplicates(
     A pair of similarity j stays unseen with probability
     ``(1 - j**band_size) ** bands``: choose both to the threshold.
     ``broadcast_rows`` bounds the candidate ids that are broadcast to the second
-    reading of the texts; a longer list is joined by shuffling.
+    reading of the texts; a longer list is joined by shuffling.  Buckets with
+    more than ``bucket_pairs`` pairs that are apart meet by rare shingles; the
+    result is the same.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = cut(
@@ -253,21 +301,17 @@ def near_duplicates(
     joined = rows.join(first, "id", "left").select(
         "key", "id", "n", "own", "others", "keys", F.coalesce("component", "id").alias("comp")
     )
-    joined = cut(joined, "near-apart")
-    open_keys = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    joined = cut(joined.join(cut(open_keys.select("key"), "near-open"), "key"), "near-apart")
-    x, y = joined.alias("x"), joined.alias("y")
+    joined = cut(_open(cut(joined, "near-apart"), "key"), "near-open")
     same = F.zip_with("x.keys", "y.keys", lambda p, q: p == q)
     # Sets that meet in several buckets make one pair, in the first of them.
     earliest = F.element_at("x.keys", F.array_position(same, F.lit(True)).cast("int")) == F.col("x.key")
-    apart = F.col("x.comp") < F.col("y.comp")
-    fits = _sizes_fit(F.col("x.n"), F.col("x.own"), F.col("y.n"), F.col("y.own"), percent)
-    # In each class of shingles two sets share no more than either has there.
-    common = F.aggregate(F.zip_with("x.others", "y.others", lambda p, q: F.least(p, q)), F.lit(0), lambda a, v: a + v).cast("long")
-    enough = 100 * common >= percent * (F.col("x.n") + F.col("y.n") - common)
-    meet = (F.col("x.key") == F.col("y.key")) & apart & fits & earliest & enough
-    pairs = x.join(y.hint("merge"), meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = _confirm(cut(pairs, "near-pairs"), sets, percent)
+    pairs = cut(_meet(joined.where(F.col("apart") <= bucket_pairs), "key", percent, earliest), "near-pairs")
+    crowded = joined.where(F.col("apart") > bucket_pairs).select("id", "n", "own", "others", "comp").dropDuplicates(["id"])
+    crowded = cut(crowded, "near-crowded")
+    if not crowded.isEmpty():
+        prefixes = cut(_open(_prefixes(crowded, sets, percent), "h"), "near-prefixes")
+        pairs = pairs.unionByName(cut(_meet(prefixes, "h", percent, F.lit(True)).distinct(), "near-pairs"))
+    more = _confirm(pairs, sets, percent)
     components = cut(connected_components(links.unionByName(more)), "near-components")
 
     settled = membership.join(components, F.col("rep") == F.col("id"), "left")

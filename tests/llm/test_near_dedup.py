@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tallyloom.llm import near_dedup
 from tallyloom.llm.near_dedup import log_likelihood, near_duplicates, registers
 from tallyloom.llm.shingles import constants, mix
 
@@ -53,6 +54,28 @@ def test_matches_brute_force(docs_of, percent, bands, size):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute(texts, percent)
 
 
+def one_template(seed, n=40):
+    """Texts that share half their words; each has a near copy, some a longer one."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 6)))
+    shared, texts = [word() for _ in range(150)], []
+    for _ in range(n):
+        words = shared + [word() for _ in range(rng.choice([20, 25, 30, 60]))]
+        other = list(words)
+        other[rng.randrange(len(other))] = word()
+        texts += [" ".join(words), " ".join(other), " ".join(words + [word() for _ in range(rng.randint(0, 12))])]
+    return texts
+
+
+def test_crowded_buckets_meet_by_rare_shingles(docs_of, monkeypatch):
+    met, prefixes = [], near_dedup._prefixes
+    monkeypatch.setattr(near_dedup, "_prefixes", lambda *a: met.append(1) or prefixes(*a))
+    texts = one_template(1) + corpus(2)
+    found = near_duplicates(docs_of(texts), bucket_pairs=0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute(texts, 85)
+    assert met
+
+
 def test_empty_table_null_and_repeated_ids(spark, docs_of):
     assert near_duplicates(docs_of(["a"]).limit(0)).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "A b c d e f")]
