@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,15 +11,19 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import crc_bucket
 from tallyloom.llm.decontaminate import find_contaminated
+from tallyloom.llm.embedding_dedup import embedding_duplicates
 from tallyloom.llm.exact_dedup import exact_dedup
 from tallyloom.llm.language_id import fit_languages, identify_languages
 from tallyloom.llm.license_scan import TEMPLATES, scan_licenses
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.periodic_runs import find_runs
 from tallyloom.llm.secret_scan import scan_secrets, written
+from tallyloom.llm.spelling import count_words, spelling_variants
 from tallyloom.llm.token_count import count_tokens
 from tallyloom.llm.toxicity import fit_toxicity, score_toxicity
 from tallyloom.llm.url_filter import RULE_SCHEMA, filter_urls
+from tallyloom.scratch import cut
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -95,10 +100,70 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents as op11's contract has them: every tenth, by the crc32 of its id,
+    goes on with words of its own, repeated."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_words"))
+    a = F.try_mod(g, F.col("_n"))
+    rest = F.col("_n") - a
+    p = 1 + F.floor(rest / (3 + g % 8))
+    unit = F.slice("_words", (a + 1).cast("int"), p.cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / p).cast("int"))), 1, rest.cast("int"))
+    changed = F.array_join(F.concat(F.slice("_words", 1, a.cast("int")), again), " ")
+    return chosen.withColumn("text", F.when(F.col("_n") > 0, changed).otherwise(F.col("text"))).drop("_words", "_n")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row with a null id is not changed."""
+    found = find_runs(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # In order of start and period, so of equal exponents the first stays.
+    more = lambda best, x: F.when(x["length"] * best["period"] > best["length"] * x["period"], x).otherwise(best)
+    found = found.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), more))
+    line = lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def planted_typos(doc_id: int | None) -> Callable[[str], str]:
+    """Of op12's contract: what becomes of a document's words."""
+    begun = zlib.crc32(f"{doc_id}:".encode())
+
+    def change(word: str) -> str:
+        h = zlib.crc32(word.encode(), begun)
+        if h % 199 or doc_id is None:
+            return word
+        place = h % len(word)
+        return word[:place] + word[place + 1 :]
+
+    return change
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a row with a null id are not changed."""
+    words = count_words(table(spark, sf_dir, "documents"), change=planted_typos)
+    return spelling_variants(cut(words, "spelling-words"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_exact_dedup, op2_license_scan, op3_language_id, op4_token_counts, op5_secret_scan,
         op6_decontamination, op7_best_fit_packing, op8_near_dedup, op9_url_filter, op10_toxicity,
+        op11_periodic_runs, op12_spelling_variants, op13_embedding_dedup,
     )
     return {f.__name__: f for f in every}
 
@@ -186,5 +251,26 @@ FROM c JOIN n ON n.id = item_id WHERE 100 * n_shared >= 80 * n_item
 """
 
 
+_OP13 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), reach(id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a
+), comp AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op2_license_scan": _OP2, "op6_decontamination": _OP6, "op9_url_filter": _OP9}
+    return {"op1_exact_dedup": _OP1, "op2_license_scan": _OP2, "op6_decontamination": _OP6, "op9_url_filter": _OP9, "op13_embedding_dedup": _OP13}
