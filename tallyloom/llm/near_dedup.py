@@ -71,7 +71,7 @@ def _sketches(size: int, bands: int, rows: int):
         multipliers, offsets, weights = _parameters(bands, rows)
         band = np.arange(bands, dtype=np.uint64) << np.uint64(17)
         for batch in batches:
-            ids, texts = batch.columns
+            ids, hashes, texts = batch.columns
             n, a, b, keys = [], [], [], []
             for found in shingle_sets(texts, size):
                 n.append(len(found))
@@ -85,8 +85,8 @@ def _sketches(size: int, bands: int, rows: int):
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             cuts = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(cuts, flat)],
-                names=["doc_id", "n", "fa", "fb", "keys"],
+                [ids, hashes, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(cuts, flat)],
+                names=["doc_id", "th", "n", "fa", "fb", "keys"],
             )
 
     return run
@@ -225,7 +225,7 @@ def near_duplicates(
     size: int = 5,
     bands: int = 32,
     band_size: int = 6,
-    broadcast_rows: int = 2_000_000,
+    broadcast_rows: int = 1_000_000,
     bucket_pairs: int = 500_000,
 ) -> DataFrame:
     """Return doc_id, n_shingles, component_id, kept, one row per input row.
@@ -237,8 +237,10 @@ def near_duplicates(
     Null text counts as empty; empty texts and texts without words have no
     shingles and are alone.  A text with fewer than ``size`` words has its whole
     sequence as its one shingle.  Rows with a null id are alone too: their
-    component is null and they are kept.  Rows that repeat an id are one
-    document.  An empty table gives an empty result; other columns are ignored.
+    component is null and they are kept.  Rows that repeat an id are one document
+    whatever their texts: each row has the size of its own set, and the texts'
+    sets are linked (a row without shingles is alone all the same).  An empty
+    table gives an empty result; other columns are ignored.
 
     A pair of similarity j stays unseen with probability
     ``(1 - j**band_size) ** bands``: choose both to the threshold.
@@ -248,38 +250,43 @@ def near_duplicates(
     result is the same.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
     sketched = cut(
-        texts.mapInArrow(tidy(_sketches(size, bands, band_size)), "doc_id long, n long, fa long, fb long, keys array<long>"), "near-sketches"
+        texts.mapInArrow(tidy(_sketches(size, bands, band_size)), "doc_id long, th long, n long, fa long, fb long, keys array<long>"), "near-sketches"
     )
     usable = sketched.where("n > 0 and doc_id is not null")
 
-    equal = usable.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep"))
-    equal = cut(equal, "near-equal")
-    mapped = usable.join(equal.hint("merge"), ["n", "fa", "fb"])
-    different = mapped.where("doc_id = rep").select(F.col("rep").alias("id"), "n", "keys")
-    membership = cut(usable.select("doc_id", "n", "fa", "fb").join(equal.hint("merge"), ["n", "fa", "fb"]).select("doc_id", "n", "rep"), "near-members")
+    # Each different set has a number, and the row that it is read from again.
+    equal = usable.groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.any_value("keys").alias("keys"))
+    equal = cut(equal.select("n", "fa", "fb", "at.doc_id", "at.th", "keys", F.monotonically_increasing_id().alias("id")), "near-equal")
+    numbers = equal.select("n", "fa", "fb", "id")
+    membership = cut(usable.select("doc_id", "n", "fa", "fb").join(numbers.hint("merge"), ["n", "fa", "fb"]).select("doc_id", "n", "id"), "near-members")
 
-    spread = cut(different.select("id", "n", "keys"), "near-different")
+    spread = equal.select("id", "n", "keys")
     rows = spread.select("id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     rows = cut(rows.join(cut(shared, "near-keys"), "key"), "near-rows")
 
     # Shingles of a candidate's own, which no other candidate has.
-    candidates = cut(rows.select("id").distinct(), "near-candidates")
-    named = texts.withColumnRenamed("doc_id", "id")
-    read = named.join(broadcast_if_small(candidates, broadcast_rows), "id", "left_semi")
+    candidates = rows.select("id").distinct().join(equal.select("id", "n", "doc_id", "th"), "id")
+    candidates = cut(candidates, "near-candidates")
+
+    def read_again(which: DataFrame) -> DataFrame:
+        few = broadcast_if_small(which.select("id", "doc_id", "th"), broadcast_rows)
+        return texts.join(few, ["doc_id", "th"]).select("id", "text")
+
+    read = read_again(candidates)
     hashed = read.mapInArrow(tidy(_sets(size, bands, band_size, False)), "id long, hashes array<long>").select("id", F.explode("hashes").alias("h"))
     single = hashed.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     by_class = single.groupBy("id", F.col("h").bitwiseAND(CLASSES - 1).cast("int").alias("c")).agg(F.count("*").cast("int").alias("k"))
     own = by_class.groupBy("id").agg(F.sum("k").alias("own"), F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("own_classes"))
-    sized = candidates.join(rows.select("id", "n").distinct(), "id").join(own, "id", "left")
-    sized = sized.select("id", "n", F.coalesce("own", F.lit(0)).alias("own"), "own_classes")
+    sized = candidates.join(own, "id", "left").select("id", "doc_id", "th", "n", F.coalesce("own", F.lit(0)).alias("own"), "own_classes")
     alive = cut(sized.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "near-alive")
 
-    read = named.join(broadcast_if_small(alive.select("id"), broadcast_rows), "id", "left_semi")
-    sets = read.mapInArrow(tidy(_sets(size, bands, band_size, True)), "id long, hashes array<long>, regs binary, classes array<int>")
+    sets = read_again(alive).mapInArrow(tidy(_sets(size, bands, band_size, True)), "id long, hashes array<long>, regs binary, classes array<int>")
     others = F.transform("classes", lambda v, c: v - F.coalesce(F.try_element_at("own_classes", c), F.lit(0)))
-    sets = sets.dropDuplicates(["id"]).join(alive, "id").withColumn("others", others).drop("own_classes", "classes")
+    # Repeated rows give a set again, the same one.
+    sets = sets.dropDuplicates(["id"]).join(alive.drop("doc_id", "th"), "id").withColumn("others", others).drop("own_classes", "classes")
     sets = cut(sets, "near-sets")
 
     rows = rows.select("id", "key").join(sets.select("id", "n", "own", "others"), "id")
@@ -312,10 +319,16 @@ def near_duplicates(
         prefixes = cut(_open(_prefixes(crowded, sets, percent), "h"), "near-prefixes")
         pairs = pairs.unionByName(cut(_meet(prefixes, "h", percent, F.lit(True)).distinct(), "near-pairs"))
     more = _confirm(pairs, sets, percent)
-    components = cut(connected_components(links.unionByName(more)), "near-components")
-
-    settled = membership.join(components, F.col("rep") == F.col("id"), "left")
-    found = settled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    # Different texts under one id are one document.
+    several = cut(membership.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select("doc_id", "b"), "near-repeated")
+    one = membership.join(several, "doc_id").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    components = cut(connected_components(links.unionByName(more).unionByName(one)), "near-components")
+
+    named = equal.select("id", "doc_id").join(components, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    named = cut(named, "near-named")
+    tops = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    settled = membership.join(cut(named.join(tops, "component").select("id", "component_id"), "near-tops").hint("merge"), "id")
+    found = settled.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sketched.where("n = 0 or doc_id is null")
     alone = rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

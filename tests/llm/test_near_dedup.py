@@ -83,6 +83,43 @@ def test_empty_table_null_and_repeated_ids(spark, docs_of):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in found) == [(-1, -1, True), (3, 3, True), (7, 3, False), (7, 3, False)]
 
 
+def brute_rows(rows, percent=85):
+    """By rows, with those of one id as one document; a row without shingles or id is alone."""
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if not a or not sets[j] or rows[i][0] is None or rows[j][0] is None or label[i] == label[j]:
+                    continue
+                both = len(a & sets[j])
+                if rows[i][0] == rows[j][0] or 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+                    changed = True
+    found = []
+    for i, (doc_id, _) in enumerate(rows):
+        top = doc_id if not sets[i] or doc_id is None else min(rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None and sets[j])
+        found.append((doc_id, len(sets[i]), top, doc_id == top))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_an_id_with_different_texts(spark, order):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], word()])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (3, near(a)), (9, near(b)), (9, near(c)), (12, " ".join(c)), (7, ""), (2, None), (None, near(a)), (12, near(c)), (7, " ".join(a))]
+    rows = rows[::order] + [(20 + i, near(b)) for i in range(3)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_rows(rows)
+    many = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bucket_pairs=0, broadcast_rows=0).collect()
+    assert sorted((tuple(r) for r in many), key=str) == brute_rows(rows)
+
+
 def test_registers_merge_and_estimate():
     a, b = constants(256, 1), constants(256, 2)
     hashes = mix(np.arange(1, 3001, dtype=np.uint64))
