@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import ascii_lower, broadcast_if_small
@@ -91,6 +91,7 @@ def scan_licenses(
     text_col: str = "text",
     percent: int = 80,
     texts: list[tuple[str, str]] | None = None,
+    crowded: int = 2_000,
 ) -> DataFrame:
     """Return doc_id, line, license, template, shared, dice: the best template
     of every line whose Dice coefficient reaches ``percent`` hundredths, and of
@@ -106,7 +107,9 @@ def scan_licenses(
     (200 - percent) / percent times its template's bigrams, repeats included.
     Null texts, empty texts and texts of fewer than two words match nothing.  A
     null id stays null; rows that repeat an id and a text give one set of rows.
-    An empty table gives an empty result; other columns are ignored.  The lists
+    An empty table gives an empty result; other columns are ignored.  More than
+    ``crowded`` windows that hang together are settled in rounds over words, with
+    the same result and in time linear in their number.  The lists
     of templates are constants of the program, which bounds what is broadcast.
     """
     spark = docs.sparkSession
@@ -142,13 +145,13 @@ def scan_licenses(
     few = broadcast_if_small(held.select(F.col("doc_id").alias("held_id"), F.col("h").alias("held_h"), "held"), BROADCAST_DOCS)
     found = rows.join(few, (F.col("h") == F.col("held_h")) & F.col("doc_id").eqNullSafe(F.col("held_id")))
     found = found.groupBy("doc_id", "h").agg(F.first("held").alias("held"), F.first("text").alias("text"))
-    found = found.withColumn("raws", F.split("text", "\n")).select("doc_id", "h", "held", F.transform("raws", lambda x: F.split(normalised(x), " ")).alias("lines"))
-    found = cut(found, "license-candidates")
+    found = found.withColumn("raws", F.split("text", "\n")).select("doc_id", "held", F.transform("raws", lambda x: F.split(normalised(x), " ")).alias("lines"))
+    found = cut(found.withColumn("doc", F.monotonically_increasing_id()), "license-candidates")
 
     # Whole lines.
-    key = ["doc_id", "h", "line"]
-    lines = found.select("doc_id", "h", F.posexplode("lines").alias("at", "words")).where(F.size("words") > 1)
-    lines = lines.select("doc_id", "h", (F.col("at") + 1).alias("line"), bigrams(F.col("words")).alias("pairs")).withColumn("m", F.size("pairs"))
+    key = ["doc", "doc_id", "line"]
+    lines = found.select("doc", "doc_id", F.posexplode("lines").alias("at", "words")).where(F.size("words") > 1)
+    lines = lines.select("doc", "doc_id", (F.col("at") + 1).alias("line"), bigrams(F.col("words")).alias("pairs")).withColumn("m", F.size("pairs"))
     listed = known.where(notices).select("template", "license", "t", F.explode("known").alias("pair"))
     counted = (
         lines.select(*key, "m", F.explode("pairs").alias("pair"))
@@ -160,17 +163,14 @@ def scan_licenses(
     dice = (2 * F.col("shared") / (F.col("m") + F.col("t"))).alias("dice")
     best = F.max(F.struct(dice, (-F.col("template")).alias("minus"), "license", "shared"))
     whole = counted.groupBy(*key).agg(best.alias("b"))
-    whole = whole.select(
-        "doc_id", "h", F.lit(0).alias("window"), (-F.col("b.dice")).alias("minus"), (-F.col("b.minus")).alias("template"),
-        F.lit(0).alias("start"), F.lit(0).alias("stop"), F.col("line").cast("int").alias("line"), F.col("line").cast("int").alias("last"),
-        "b.license", "b.shared",
-    )
+    whole = whole.select("doc", "doc_id", F.col("line").cast("int").alias("line"), "b.license", (-F.col("b.minus")).alias("template"), "b.shared", (-F.col("b.dice")).alias("minus"))
+    whole = cut(whole, "license-lines")
 
     # Windows: bigrams start to stop, which are words start to stop + 1.
     placed = F.flatten(F.transform("lines", lambda ws, i: F.transform(F.filter(ws, lambda w: w != ""), lambda w: F.struct((i + 1).cast("int").alias("line"), w.alias("word")))))
-    texts_of = found.select("doc_id", "h", "held", placed.alias("placed"))
-    texts_of = texts_of.select("doc_id", "h", "held", F.col("placed.line").alias("at"), F.col("placed.word").alias("words")).where(F.size("words") > 1)
-    texts_of = texts_of.select("doc_id", "h", "at", pairs.alias("pairs"), F.explode("held").alias("template"))
+    texts_of = found.select("doc", "doc_id", "held", placed.alias("placed"))
+    texts_of = texts_of.select("doc", "doc_id", "held", F.col("placed.line").alias("at"), F.col("placed.word").alias("words")).where(F.size("words") > 1)
+    texts_of = texts_of.select("doc", "doc_id", "at", pairs.alias("pairs"), F.explode("held").alias("template"))
     hits = F.filter(F.transform("pairs", lambda x, i: F.when(F.array_contains(F.col("known"), x), i.cast("int")).otherwise(-1)), lambda i: i >= 0)
     starts = lambda a, i: F.struct(
         a.alias("start"),
@@ -178,29 +178,63 @@ def scan_licenses(
         F.filter(F.slice("hits", i + F.col("needed"), F.col("longest") - F.col("needed") + 1), lambda b: b - a < F.col("longest")).alias("stops"),
     )
     begun = texts_of.join(F.broadcast(known), "template").withColumn("hits", hits)
-    begun = begun.select("doc_id", "h", "at", "template", "license", "known", "t", F.inline(F.transform("hits", starts)))
-    lined = F.struct(F.element_at("at", F.col("start") + 1).alias("line"), F.slice("at", F.col("start") + 2, F.size("local")).alias("ats"))
-    begun = begun.where(F.size("stops") > 0).select("doc_id", "h", "template", "license", "known", "t", "start", "local", "stops", lined.alias("l"))
+    begun = begun.select("doc", "doc_id", "at", "template", "license", "known", "t", F.inline(F.transform("hits", starts)))
+    lined = F.slice("at", F.col("start") + 1, F.size("local") + 1).alias("ats")
+    begun = begun.where(F.size("stops") > 0).select("doc", "doc_id", "template", "license", "known", "t", "start", "local", "stops", lined)
     ended = begun.select("*", F.explode("stops").alias("stop"))
     inside = F.slice("local", 1, F.col("stop") - F.col("start") + 1)
     ended = ended.select(
-        "doc_id", "h", "template", "license", "t", "start", "stop", "l.line", F.element_at("l.ats", F.col("stop") - F.col("start") + 1).alias("last"),
+        "doc", "doc_id", "license", "template", "t", "start", "stop", F.array_distinct(F.slice("ats", 1, F.col("stop") - F.col("start") + 2)).alias("lines"),
         F.size(F.array_distinct(inside)).alias("m"), F.size(F.array_intersect(inside, F.col("known"))).cast("long").alias("shared"),
     ).where(200 * F.col("shared") >= percent * (F.col("m") + F.col("t")))
-    ended = ended.select("doc_id", "h", F.lit(1).alias("window"), (-dice).alias("minus"), "template", "start", "stop", "line", "last", "license", "shared")
-
-    # The better ones first, each against those taken before.
-    order = ["window", "minus", "template", "start", "stop", "line", "last", "license", "shared"]
-    ranked = whole.unionByName(ended).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("ranked"))
-    stronger = lambda x, k: (k["minus"] <= x["minus"]) | (k["license"] == x["license"])
-    meets = lambda x, k: F.when(k["window"] == 0, k["line"].between(x["line"], x["last"]) & stronger(x, k)).otherwise(
-        (x["start"] <= k["stop"] + 1) & (k["start"] <= x["stop"] + 1)
-    )
-    none = F.slice("ranked", 1, 0)
-    take = lambda kept, x: F.when((x["window"] == 1) & F.exists(kept, lambda k: meets(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
-    taken = ranked.select("doc_id", F.inline(F.aggregate("ranked", none, take)))
+    ended = cut(ended.select("doc", "doc_id", (-dice).alias("minus"), "template", "start", "stop", "lines", "license", "shared"), "license-windows")
+
+    # Windows on a matched line of the same licence or of no smaller Dice go.
+    on = ended.select("doc", "template", "start", "stop", "minus", "license", F.explode("lines").alias("line"))
+    lines = whole.select("doc", "line", F.col("minus").alias("line_minus"), F.col("license").alias("line_license"))
+    stronger = (F.col("line_minus") <= F.col("minus")) | (F.col("line_license") == F.col("license"))
+    gone = on.join(lines, ["doc", "line"]).where(stronger).select("doc", "template", "start", "stop").distinct()
+    free = ended.join(gone, ["doc", "template", "start", "stop"], "left_anti").withColumn("line", F.element_at("lines", 1)).drop("lines")
+    taken = _best_windows(cut(free, "license-free"), crowded)
+    taken = taken.unionByName(whole.select("doc_id", "line", "license", "template", "shared", "minus"))
     return taken.select("doc_id", "line", "license", "template", "shared", (-F.col("minus")).alias("dice"))
 
 
+def _best_windows(live: DataFrame, crowded: int) -> DataFrame:
+    """Of windows those that a walk by Dice, template and place takes: each that
+    shares no word with one taken before.
+
+    Windows that hang together over shared words are an island.  A small island
+    is walked in one row.  In a large one every window is taken that is the best
+    on each of its words, as the walk takes it whatever the others are; what it
+    shares words with goes, and the rest is parted into islands again."""
+    rank = ["minus", "template", "start", "stop"]
+    found = None
+    while True:
+        before = Window.partitionBy("doc").orderBy("start", "stop", "template").rowsBetween(Window.unboundedPreceding, -1)
+        begins = F.coalesce(F.col("start") > F.max("stop").over(before) + 1, F.lit(True))
+        running = Window.partitionBy("doc").orderBy("start", "stop", "template").rowsBetween(Window.unboundedPreceding, 0)
+        islands = live.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(running))
+        item = F.struct(*rank, "line", "license", "shared")
+        islands = cut(islands.groupBy("doc", "doc_id", "island").agg(F.array_sort(F.collect_list(item)).alias("ranked")), "license-islands")
+        meets = lambda x, k: (x["start"] <= k["stop"] + 1) & (k["start"] <= x["stop"] + 1)
+        take = lambda kept, x: F.when(F.exists(kept, lambda k: meets(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
+        small = islands.where(F.size("ranked") <= crowded)
+        small = small.select("doc_id", F.inline(F.aggregate("ranked", F.slice("ranked", 1, 0), take)))
+        columns = ["doc_id", "line", "license", "template", "shared", "minus"]
+        found = small.select(columns) if found is None else found.unionByName(small.select(columns))
+        large = cut(islands.where(F.size("ranked") > crowded).select("doc", "doc_id", F.inline("ranked")), "license-large")
+        if large.isEmpty():
+            return found
+        spread = large.select("doc", F.struct(*rank).alias("rank"), F.explode(F.sequence("start", F.col("stop") + 1)).alias("word"))
+        best = cut(spread.groupBy("doc", "word").agg(F.min("rank").alias("best")), "license-best")
+        wins = spread.join(best, ["doc", "word"]).groupBy("doc", "rank").agg(F.bool_and(F.col("best") == F.col("rank")).alias("wins"))
+        winners = cut(wins.where("wins").select("doc", "rank"), "license-winners")
+        used = winners.select("doc", F.explode(F.sequence("rank.start", F.col("rank.stop") + 1)).alias("word"))
+        blocked = spread.join(used, ["doc", "word"], "left_semi").select("doc", "rank.*").distinct()
+        found = found.unionByName(large.join(winners.select("doc", "rank.*"), ["doc", *rank], "left_semi").select(columns))
+        live = cut(large.join(blocked, ["doc", *rank], "left_anti"), "license-live")
+
+
 def _words(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()

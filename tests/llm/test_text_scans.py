@@ -293,6 +293,28 @@ def test_licenses_in_windows(docs_of):
     assert sorted((r.line, r.license, r.dice) for r in both) == [(1, "CC-BY-4.0", 0.8), (1, "CC-BY-SA-4.0", 1.0)]
 
 
+def test_crowded_windows_of_licenses(docs_of):
+    """Rounds over words give what the walk gives, in one line of very many notices too."""
+    rng = random.Random(6)
+    some = [t for _, t in TEMPLATES[:3]] + ["Licensed under CC BY 4.0.", "words between", "under the mit license licensed under"]
+    texts = [rng.choice(["\n", " "]).join(rng.choices(some, k=12)) for _ in range(6)]
+    texts += ["licensed under cc by " * 20, " ".join([TEMPLATES[0][1]] * 30) + " and words that no notice has, one after the other"]
+    want = sorted((i, *w) for i, t in enumerate(texts) for w in windows_by_force(t, TEMPLATES))
+    docs = docs_of(texts)
+    found = [sorted((r.doc_id, r.line, r.license, r.template, r.shared, round(r.dice, 9)) for r in scan_licenses(docs, texts=[], crowded=n).collect()) for n in (0, 3, 2000)]
+    assert found[0] == found[1] == found[2]
+    one_line = {i for i, t in enumerate(texts) if "\n" not in t}
+    assert [f for f in found[0] if f[0] in one_line] == [w for w in want if w[0] in one_line] and len(one_line) > 2
+
+
+def test_licenses_of_null_and_repeated_ids(spark):
+    mit, cc = TEMPLATES[0][1], "Licensed under CC BY 4.0."
+    rows = [(None, mit), (None, "x " + cc + " y"), (5, mit), (5, mit), (5, "a " + mit + " b"), (None, mit), (6, mit + "\n" + cc)]
+    found = [(r.doc_id, r.line, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), texts=[]).collect()]
+    want = [(None, 1, "MIT"), (None, 1, "CC-BY-4.0"), (5, 1, "MIT"), (5, 1, "MIT"), (6, 1, "MIT"), (6, 2, "CC-BY-4.0")]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_full_license_texts(docs_of):
     names = ["MIT", "BSD-3-Clause", "GPL-3.0", "MPL-2.0"]
     texts = [(Path(license_scan.__file__).parent / "licenses" / f"{n}.txt").read_text() for n in names]
