@@ -39,8 +39,8 @@ TILE = (2_048, 16_384)
 SQUARE = 1_024
 #: Candidate pairs whose full vectors are compared at once.
 PAIRS = 16_384
-#: Room for rounding where a bound only selects candidates.
-ROOM = 1e-6
+#: Room for rounding where a bound only selects candidates, in double and single precision.
+ROOM, COARSE = 1e-6, 1e-5
 #: Cells of all blocks that are broadcast; about 300 for each length of vectors.
 BROADCAST_CELLS = 100_000
 
@@ -126,19 +126,21 @@ def linked_pairs(known: Blocks, block: int, units: np.ndarray, home: np.ndarray,
     their first block within budget."""
     turned = known.turned(units)
     lo, hi = known.spans[block]
-    mine = np.ascontiguousarray(turned[:, lo:hi])
-    square = (mine * mine).sum(axis=1)
+    mine = turned[:, lo:hi].astype(np.float32)
+    square, ones = (mine * mine).sum(axis=1, keepdims=True), np.ones((len(mine), 1), np.float32)
+    # Products of these rows are squared distances in the block.
+    rows, columns = np.hstack([-2 * mine, square, ones]), np.hstack([mine, ones, square])
     one = left is right
     for i in range(0, len(left), SQUARE):
         x = left[i : i + SQUARE]
         for j in range(i if one else 0, len(right), SQUARE):
             y = right[j : j + SQUARE]
-            near = square[x][:, None] + square[y] - 2 * (mine[x] @ mine[y].T) <= known.budgets[block] + ROOM
-            near &= home[x][:, None] | home[y]
+            a, b = np.nonzero(rows[x] @ columns[y].T <= known.budgets[block] + COARSE)
             if one and i == j:
-                near &= np.tri(len(x), dtype=bool).T & ~np.eye(len(x), dtype=bool)
-            a, b = np.nonzero(near)
+                a, b = a[a < b], b[a < b]
             a, b = x[a], y[b]
+            near = home[a] | home[b]
+            a, b = a[near], b[near]
             for k in range(0, len(a), PAIRS):
                 p, q = a[k : k + PAIRS], b[k : k + PAIRS]
                 linked = (units[p] * units[q]).sum(axis=1) >= cosine
