@@ -121,6 +121,14 @@ def test_empty_table_null_and_repeated_ids(spark, tmp_path):
     found = [r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()]
     # Rows that repeat an id and a text stay together; rows with a null id stay; texts without a letter go.
     assert sorted(i for i in found if i is not None) == sorted([*range(40), 3]) and found.count(None) == 2
+    # One id with different texts: what is equal, near or contaminated goes, the rest of that id stays.
+    other, item = text(), text()
+    more = [*rows, (3, other, "en", "s", 1), (60, other, "en", "s", 1), (4, text() + " " + item, "en", "s", 1), (61, rows[8][1] + " more", "en", "s", 1), (61, text(), "en", "s", 1)]
+    spark.createDataFrame(more, schema).write.parquet(f"{tmp_path}/more/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/more/benchmark.parquet")
+    found = [r.doc_id for r in pipeline.run(spark, f"{tmp_path}/more").collect()]
+    # 3 keeps its own text but not the one of 60; of 4 the contaminated text goes; 61 is one document, near to 8.
+    assert sorted(i for i in found if i is not None) == sorted([*range(40), 3, 60]) and found.count(None) == 2
     empty = tmp_path / "empty"
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
