@@ -2,9 +2,11 @@
 
 Each stage is given all documents that the one before kept, and its decisions
 take effect: documents leave with all their columns or stay with all of them.
-Stages drop by id; the list of dropped ids is broadcast when it was counted to
-be short and joined by shuffling otherwise.  Rows that repeat an id are treated
-alike, and rows with a null id are kept by the stages that compare documents.
+Stages drop by id and text, so rows with one id and different texts have fates
+of their own; only near-dedup takes them for one document, by id.  The list of
+what is dropped is broadcast when it was counted to be short and joined by
+shuffling otherwise.  Rows with a null id are kept by the stages that compare
+documents.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.scratch import cut
 
-#: More dropped ids than this are joined by shuffling, not broadcast.
-BROADCAST_IDS = 2_000_000
+#: More dropped rows than this are joined by shuffling, not broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
-    ids = cut(dropped.select(F.col("doc_id").alias("dropped_doc_id")).distinct(), label)
-    ids = broadcast_if_small(ids, BROADCAST_IDS)
-    return docs.join(ids, docs["doc_id"] == ids["dropped_doc_id"], "left_anti")
+    """``docs`` without the rows that have a key of ``dropped``."""
+    keys = broadcast_if_small(cut(dropped.distinct(), label), BROADCAST_ROWS)
+    return docs.join(keys, keys.columns, "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,20 +42,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    return _without(docs, exact_dedup(docs).where("not kept"), "dropped-exact")
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    found = exact_dedup(keyed.withColumn("_row", F.struct("doc_id", "_text")), id_col="_row")
+    return _without(keyed, found.where("not kept").select("doc_id.doc_id", "doc_id._text"), "dropped-exact").drop("_text")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, linked at a similarity of 0.8 or more,
     the document with the smallest id."""
     found = near_duplicates(docs, percent=80, bands=40, band_size=5)
-    return _without(docs, found.where("not kept"), "dropped-near")
+    return _without(docs, found.where("not kept").select("doc_id"), "dropped-near")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = find_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found, "dropped-benchmark")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = find_contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return _without(keyed, found.select(F.col("doc_id").alias("_row")), "dropped-benchmark").drop("_row")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
