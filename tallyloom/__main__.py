@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import LANGUAGES, ConfigError, ocr_languages
 from tallyloom.plans.contract import check_folders, report_texts
 from tallyloom.plans.folders import audit_folders, pick_statements
+from tallyloom.plans.glyphs import pdf_reference
 from tallyloom.plans.reports import html_rows, write_html
 from tallyloom.plans.statement import StatementError
 from tallyloom.sources.files import read_pages, scan_documents, with_text
@@ -61,6 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     command = parser.add_subparsers(dest="command", required=True).add_parser("check-folder")
     command.add_argument("folder")
     command.add_argument("--glyphs", help="Parquet table (font, glyph_id, ch) of the characters of statements' fonts")
+    command.add_argument("--faces", nargs=2, metavar=("REGULAR", "BOLD"), help="font files whose characters the statements' fonts are compared with")
     command.add_argument("--languages", default="eng+lav", help="codes of the languages of images, joined by +")
     args = parser.parse_args(argv)
     try:
@@ -71,7 +73,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tallyloom").getOrCreate()
     try:
         print(check_folder(spark, args.folder, extract))
-        report = statement_report(spark, args.folder, PdfStatements(spark.read.parquet(args.glyphs) if args.glyphs else None), extract)
+        known = spark.read.parquet(args.glyphs) if args.glyphs else None
+        faces = pdf_reference(spark, *(Path(f).read_bytes() for f in args.faces)) if args.faces else None
+        report = statement_report(spark, args.folder, PdfStatements(known, reference=faces), extract)
         if report is not None:
             print(f"\nStatement report: {report}")
     except (FileNotFoundError, NotADirectoryError, StatementError) as e:

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import domain
-from tallyloom.config import MICRO, Settings
+from tallyloom.config import MICRO, Combinations, Settings
 from tallyloom.functions import amounts, checks, dates, merchants, references
 from tallyloom.operators import scoring
 from tallyloom.operators.assignment import greedy_assign, numbered, ranked
 from tallyloom.operators.combining import combination_pool, combination_proposals, combination_sets
-from tallyloom.plans import contract, extraction, folders, reconcile, reports, statement
+from tallyloom.plans import contract, extraction, folders, glyphs, reconcile, reports, statement
 from tallyloom.scratch import cut
 
 SETTINGS = Settings()
@@ -367,6 +367,44 @@ def report_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.duplicates_sheet(_result(spark, sf_dir)).select("scope_id", "document_id", "usage")
 
 
+def report_reused_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result that was not made here: every outgoing transaction of a scope and
+    currency cites the scope's first document of that currency, and those of odd
+    orders their own first one too, so documents are cited several times."""
+    result = _result(spark, sf_dir)
+    docs = result.documents.where("currency is not null")
+    first = docs.groupBy("scope_id", "currency").agg(F.min("id").alias("first"))
+    k = F.regexp_extract("id", r"(\d+)$", 1)
+    own = F.concat(F.lit("doc-"), k, F.lit("-1"))
+    paid = scoring.outgoing(result.transactions).join(first, ["scope_id", "currency"])
+    cited = F.when(k.cast("long") % 2 == 1, F.array_distinct(F.array("first", own))).otherwise(F.array("first"))
+    none = lambda kind: F.lit(None).cast(kind)
+    evidence = lambda d: F.struct(
+        d.alias("document_id"), none("boolean").alias("amount_exact"), none("long").alias("merchant_similarity"), none("int").alias("date_delta_days"), none("date").alias("issued_date")
+    )
+    matches = paid.select(
+        "scope_id", F.col("id").alias("transaction_id"), F.lit("PROBABLE").alias("status"), F.lit(700_000).cast("long").alias("score"), F.transform(cited, evidence).alias("documents")
+    )
+    foreign = reconcile.Reconciliation(result.transactions, result.documents, cut(matches, "foreign-matches"))
+    return reports.duplicates_sheet(foreign).select("scope_id", "document_id", "filename", "usage", "transaction_ids")
+
+
+def match_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches written as JSON and read again, with the text of their score."""
+    matches = _result(spark, sf_dir).matches.withColumns({c: unit(c) for c in SCORES})
+    written = matches.select("transaction_id", reports.match_json(matches).alias("json"))
+    back = written.select(reports.match_of_json(F.col("json")).alias("m")).select("m.*")
+    ids = F.array_join(F.transform("documents", lambda c: c["document_id"]), ";")
+    kept = back.select("transaction_id", "status", *SCORES, "group_amount_exact", ids.alias("document_ids"))
+    return kept.join(written.select("transaction_id", F.get_json_object("json", "$.score").alias("score_text")), "transaction_id")
+
+
+def combination_sets_of_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    five = Settings(combinations=Combinations(max_documents=5))
+    pool = cut(combination_pool(_transactions(spark, sf_dir), _documents(spark, sf_dir), five), "pool")
+    return combination_sets(pool, five).select("transaction_id", F.array_join("places", "-").alias("places"))
+
+
 def html_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.html_rows(_result(spark, sf_dir)).select("transaction_id", "date", "text", "amount_text", "status", "files")
 
@@ -422,12 +460,12 @@ def _glyphs(spark: SparkSession, sf_dir: str, broken: bool = False) -> tuple[Dat
         placed = placed.unionByName(sums.select("scope_id", F.inline(faults)))
     # A blank is a gap of two points; letters are four points wide.
     letters = placed.select("scope_id", "page", "y0", "x", F.posexplode(F.split("t", "")).alias("i", "c")).where("c not in ('', ' ')")
-    glyphs = letters.select(
+    placed = letters.select(
         "scope_id", F.lit("statement.pdf").alias("file"), "page", F.lit("f").alias("font"), F.ascii(F.col("c")).cast("int").alias("glyph_id"),
         (F.col("x") + 4.0 * F.col("i")).alias("x0"), (F.col("x") + 4.0 * F.col("i") + 4.0).alias("x1"), "y0",
     )
-    glyphs = cut(glyphs, "glyphs")
-    return glyphs, glyphs.select("font", "glyph_id").distinct().withColumn("ch", _char(F.col("glyph_id")))
+    placed = cut(placed, "glyphs")
+    return placed, placed.select("font", "glyph_id").distinct().withColumn("ch", _char(F.col("glyph_id")))
 
 
 def _char(code: Column) -> Column:
@@ -435,9 +473,52 @@ def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
 
 
+def _shape(k: Column, x: Column, y: Column, tail: Column) -> Column:
+    """The pixels of drawn shape ``k``: a block on the baseline at (x, y), with a
+    tail of 0, 2 or 3 pixels below it, and a light pixel that is no ink."""
+    pixel = lambda a, b, level=0: F.struct(a.cast("int").alias("x"), b.cast("int").alias("y"), F.lit(level).alias("level"))
+    across, up = F.sequence(F.lit(0), 2 + k % 7), F.sequence(F.lit(1), (5 + F.floor(k / 7)).cast("int"))
+    block = F.flatten(F.transform(across, lambda a: F.transform(up, lambda b: pixel(x + a, y - b))))
+    tails = F.when(tail == 1, F.array(pixel(x + 1, y + 2), pixel(x + 1, y + 3))).when(tail == 2, F.array(pixel(x + 1, y + 2), pixel(x + 2, y + 2), pixel(x + 2, y + 3)))
+    return F.concat(block, F.coalesce(tails, F.array().cast("array<struct<x:int,y:int,level:int>>")), F.array(pixel(F.lit(2), F.lit(2), 200)))
+
+
+def glyph_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is an embedded glyph, its size a shape, bold or not; a third has
+    a tail, a third another tail than its character, and some are unknown.  Size 9
+    is drawn like two letters, size 10 like two other characters."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    bold, k, p = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("int"), F.col("p_partkey")
+    x, y = F.when(bold, 9).otherwise(8), F.lit(glyphs.BASELINE)
+    odd = F.when(p % 11 == 0, F.array(F.struct((x + 5 + k % 7).cast("int").alias("x"), (y - 5).cast("int").alias("y"), F.lit(0).alias("level"))))
+    shape = F.concat(_shape(k, x, y, (p % 3).cast("int")), F.coalesce(odd, F.array().cast("array<struct<x:int,y:int,level:int>>")))
+    pixels = part.select("p_partkey", bold.alias("bold"), F.inline(shape))
+    known = part.select(k.alias("k"), F.explode(F.array(F.lit(False), F.lit(True))).alias("bold")).distinct()
+    plain = F.when(F.col("k") == 9, F.array(F.lit("I"), F.lit("l"))).when(F.col("k") == 10, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(_char(F.col("k") + 0x4E00)))
+    forms = F.concat(F.transform(plain, lambda c: F.struct(c.alias("ch"), F.lit(0).alias("tail"))), F.array(F.struct(_char(F.col("k") + 0x5E00).alias("ch"), F.lit(1).alias("tail"))))
+    known = known.select("k", "bold", F.inline(forms))
+    drawn = known.select("bold", "ch", F.inline(_shape(F.col("k"), F.when(F.col("bold"), 9).otherwise(8), F.lit(glyphs.BASELINE), F.col("tail"))))
+    found = glyphs.identify(glyphs.ink(pixels, ["p_partkey", "bold"]), glyphs.ink(drawn, ["bold", "ch"]))
+    return found.select("p_partkey", "bold", "x0", "y0", "x1", "y1", "n", "below", "ch", "twin", "problem")
+
+
+def font_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's statement embeds its nation's two faces, the standard font
+    and an empty one; equal faces are one, and are counted over all files."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.concat(F.lit("face "), F.col("c_nationkey").cast("string"))
+    fonts = F.array(
+        *[F.struct(F.lit(name).alias("font"), F.encode(content, "utf-8").alias("content")) for name, content in (
+            ("ABCDEF+ArialMT", text), ("GHIJKL+Arial-BoldMT", text), (glyphs.STANDARD_FONT, text), ("Empty", F.lit("")),
+        )]
+    )
+    faces = glyphs.font_faces(c.select(F.col("c_custkey").alias("scope_id"), F.inline(fonts)), ["scope_id"])
+    counted = faces.groupBy("face").agg(F.count("*").alias("files"))
+    return faces.join(counted, "face").select("scope_id", "font", "bold", "face", "files")
+
+
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    glyphs, names = _glyphs(spark, sf_dir)
-    words = statement.words_of_lines(statement.lines_of_glyphs(glyphs, names))
+    words = statement.words_of_lines(statement.lines_of_glyphs(*_glyphs(spark, sf_dir)))
     lines = statement.line_kinds(statement.columns_of_words(words)).where("kind = 'start'")
     return lines.select("scope_id", "reference", "date_text", "details", "amount_text")
 
@@ -453,9 +534,9 @@ def statement_balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statement_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    glyphs, names = _glyphs(spark, sf_dir)
-    rows, check = statement.read_statements(glyphs, names)
-    found = statement.statement_profile(cut(rows, "statement-rows"), check, glyphs.select(*statement.FILE, "page"))
+    placed, names = _glyphs(spark, sf_dir)
+    rows, check = statement.read_statements(placed, names)
+    found = statement.statement_profile(rows, check, placed.select(*statement.FILE, "page"))
     balances = [F.col(c).cast("decimal(28,8)").alias(c) for c in ("opening", "closing")]
     return found.select("scope_id", "pages", "transaction_pages", "n", "n_outgoing", "n_incoming", *balances, "currency", "samples")
 
@@ -509,7 +590,8 @@ QUERIES = (
     invoice_period_vote, contract_status, contract_months, contract_explicit_lines, expected_vs_found, score_single_pairs, combination_pool_topk,
     combination_subsets, score_combinations, proposal_rank, greedy_assignment, match_transactions, match_reasons, document_references,
     unmatched_documents, population_check, status_summary, currency_totals, coverage, report_transactions, report_missing, report_probable,
-    report_documents, report_duplicates, html_status, statement_lines, statement_rows, statement_balance_check, statement_problems,
+    report_documents, report_duplicates, report_reused_documents, match_json_round_trip, combination_sets_of_five, glyph_characters,
+    font_dimension, html_status, statement_lines, statement_rows, statement_balance_check, statement_problems,
     statement_pick, document_build, input_problems, page_ranges, statement_profile, summary_sheet, summary_without_list,
     supplied_list_check, document_counts_check,
 )

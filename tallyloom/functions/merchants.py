@@ -81,3 +81,19 @@ def merchant_signal(left: Column, right: Column, settings: Settings) -> Column:
     short = F.least(F.length(left), F.length(right)) < bands.minimum_length
     capped = F.when(short, F.least(lifted, F.lit(micros(bands.short_cap)))).otherwise(lifted)
     return F.when((left != "") & (right != ""), capped.cast("long"))
+
+
+def plain_signal(left: str, right: str, settings: Settings) -> int:
+    """``merchant_signal`` of two names that are not empty, for tasks that walk
+    ranked names and compare few of them."""
+    bands = settings.merchants
+    a, b = (" ".join(sorted(name.split(" "))) for name in (left, right))
+    n = len(a) + len(b)
+    score = (4 * MICRO * _common_subsequence(a, b) + n) // (2 * n)
+    l, r = ([t for t in name.split(" ") if len(t) >= bands.minimum_length] for name in (left, right))  # noqa: E741
+    touches = lambda token, others: any(o.startswith(token) or token.startswith(o) for o in others)
+    if l and r and (touches(l[0], r) or touches(r[0], l)):
+        score = max(score, micros(bands.token_score))
+    if min(len(left), len(right)) < bands.minimum_length:
+        score = min(score, micros(bands.short_cap))
+    return score

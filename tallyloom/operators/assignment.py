@@ -1,13 +1,15 @@
-"""One-to-one assignment in rank order, computed in parallel rounds."""
+"""One-to-one assignment in rank order, computed in parallel."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.components import connected_components
+from tallyloom.operators.numbering import with_running
 from tallyloom.scratch import cut
 
 
@@ -26,51 +28,84 @@ def ranked(proposals: DataFrame) -> DataFrame:
 
 def numbered(proposals: DataFrame) -> DataFrame:
     """Ranks as numbers from 1 in each scope, for reports."""
-    return proposals.withColumn("place", F.row_number().over(Window.partitionBy("scope_id").orderBy("rank")).cast("long"))
+    return with_running(proposals, ["scope_id"], ["rank"], {"place": F.lit(1)})
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a walk takes of rows that come by scope and rank."""
-    scope, used = None, set()
-    for batch in batches:
-        free = []
-        for here, resources in zip(batch.column("scope_id").to_pylist(), batch.column("resources").to_pylist(), strict=True):
-            if here != scope:
-                scope, used = here, set()
-            free.append(used.isdisjoint(resources))
-            if free[-1]:
-                used.update(resources)
-        yield batch.filter(pa.array(free, pa.bool_())).select(["scope_id", "rank"])
+def _walk(group: str):
+    """What a walk takes of rows that come by ``group`` and rank: it keeps the
+    resources that one group has used."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, used = None, set()
+        for batch in batches:
+            free = []
+            for of, resources in zip(batch.column(group).to_pylist(), batch.column("resources").to_pylist(), strict=True):
+                if of != here:
+                    here, used = of, set()
+                free.append(used.isdisjoint(resources))
+                if free[-1]:
+                    used.update(resources)
+            yield batch.filter(pa.array(free, pa.bool_())).select(["scope_id", "rank"])
 
-def greedy_assign(proposals: DataFrame, small: int = 50_000, max_rounds: int = 1000) -> DataFrame:
+    return run
+
+
+def _walked(live: DataFrame, group: str, label: str) -> DataFrame:
+    kind = live.select("scope_id", "rank").schema
+    return cut(live.repartition(group).sortWithinPartitions(group, "rank").mapInArrow(_walk(group), kind), label)
+
+
+def _with_components(live: DataFrame) -> DataFrame:
+    """Proposals with the component of those that share resources, directly or
+    over others, as a number.  Resources go by a hash; two that have the same one
+    only bring components together that need not be."""
+    number = lambda r: F.xxhash64("scope_id", r)
+    first = number(F.element_at("resources", 1))
+    links = live.select(first.alias("a"), F.explode("resources").alias("r"), "scope_id").select("a", number(F.col("r")).alias("b")).where("a <> b")
+    found = connected_components(links).select(F.col("id").alias("first"), "component")
+    return live.withColumn("first", first).join(found, "first", "left").withColumn("component", F.coalesce("component", "first")).drop("first")
+
+
+def greedy_assign(proposals: DataFrame, small: int = 50_000, quick: float = 0.25) -> DataFrame:
     """The scope_id and rank of the proposals that a walk in rank order takes:
     each whose transaction and documents are all still free.
 
     Input columns: scope_id, rank (orderable, unique in a scope), transaction_id and
-    document_ids.  A proposal that is the best of all that touch any of its
-    resources is taken whatever the others are, so each round takes all such
-    proposals at once and drops what they block.  Resources are found by
-    aggregation and equi-joins.  Once at most ``small`` proposals are left, the
-    walk ends within the scopes, in tasks that hold no more than those rows.
+    document_ids.  Three ways share the work, with one result:
+
+    1. Scopes do not touch each other, so scopes of at most ``small`` proposals are
+       walked, each in one task.
+    2. In larger scopes a proposal that is the best of all that touch any of its
+       resources is taken whatever the others are.  Each round takes all such
+       proposals at once and drops what they block.
+    3. Rounds end when at most ``small`` proposals are left, or when one removes
+       less than the share ``quick`` of them, as along a chain in which each blocks
+       the next.  What is left falls into components that share no resource; each
+       is streamed by rank through a task that keeps the resources used.
     """
     t, d = F.concat(F.lit("t:"), "transaction_id"), F.transform("document_ids", lambda x: F.concat(F.lit("d:"), x))
-    live = cut(proposals.select("scope_id", "rank", F.concat(F.array(t), d).alias("resources")), "greedy")
-    taken = None
-    for _ in range(max_rounds):
-        if live.count() <= small:
-            dealt = live.repartition("scope_id").sortWithinPartitions("scope_id", "rank")
-            last = cut(dealt.mapInArrow(_walk, live.select("scope_id", "rank").schema), "greedy-last")
-            return last if taken is None else taken.unionByName(last)
+    every = cut(proposals.select("scope_id", "rank", F.concat(F.array(t), d).alias("resources")), "greedy")
+    giants = cut(every.groupBy("scope_id").agg(F.count("*").alias("c")).where(F.col("c") > small).select("scope_id"), "greedy-giants")
+    if giants.isEmpty():
+        return _walked(every, "scope_id", "greedy-small")
+    taken = _walked(every.join(giants, "scope_id", "left_anti"), "scope_id", "greedy-small")
+    live = cut(every.join(giants, "scope_id", "left_semi"), "greedy-live")
+    left = live.count()
+    while left > small:
         spread = live.select("scope_id", "rank", F.explode("resources").alias("resource"))
         best = cut(spread.groupBy("scope_id", "resource").agg(F.min("rank").alias("best")), "greedy-best")
         wins = spread.join(best, ["scope_id", "resource"]).groupBy("scope_id", "rank").agg(F.bool_and(F.col("best") == F.col("rank")).alias("wins"))
         winners = cut(wins.where("wins").select("scope_id", "rank"), "greedy-winners")
         used = cut(spread.join(winners, ["scope_id", "rank"], "left_semi").select("scope_id", "resource"), "greedy-used")
         blocked = spread.join(used, ["scope_id", "resource"], "left_semi").select("scope_id", "rank").distinct()
-        live = cut(live.join(blocked, ["scope_id", "rank"], "left_anti"), "greedy")
-        taken = winners if taken is None else taken.unionByName(winners)
-    raise RuntimeError(f"the assignment is not settled after {max_rounds} rounds")
+        live = cut(live.join(blocked, ["scope_id", "rank"], "left_anti"), "greedy-live")
+        taken = taken.unionByName(winners)
+        before, left = left, live.count()
+        if left > (1 - quick) * before:
+            break
+    if left:
+        taken = taken.unionByName(_walked(_with_components(live), "component", "greedy-last"))
+    return taken
 
 
 def conflicts(proposals: DataFrame, chosen: DataFrame) -> DataFrame:

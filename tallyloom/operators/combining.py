@@ -2,60 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.config import MICRO, Settings
 from tallyloom.functions.amounts import MONEY
+from tallyloom.operators.ranking import best_documents
 from tallyloom.operators.scoring import (
-    SIGNALS, cited, date_signal, name_signals, outgoing, pair_signals, prepared_documents, prepared_transactions, with_total,
+    SIGNALS, cited, date_signal, outgoing, pair_signals, prepared_documents, prepared_transactions, with_total,
 )
 from tallyloom.scratch import cut
 
-#: Documents of one scope that a block holds, about.
-BLOCK = 20_000
-
 
 def combination_pool(transactions: DataFrame, documents: DataFrame, settings: Settings) -> DataFrame:
     """For each outgoing transaction the ``pool_limit`` best documents of its
     scope and currency with a smaller amount, numbered from 1: by merchant, then
     date gap, then larger amount, then id.
 
-    Names are compared once, from the different names of a scope and currency.
-    Pairs hold what ranks them and nothing else, are never written, and only
-    the best of each task are shuffled; texts come by id to those that stay.
-    Scopes with very many documents are dealt into blocks, so that no task has
-    a whole scope's pairs.
+    They are found by a walk over ranked names; the rows' texts come by id.
     """
     t = cut(prepared_transactions(outgoing(transactions)), "pool-transactions")
     d = cut(prepared_documents(documents), "pool-documents")
-    slim_t = t.select("scope_id", "transaction_id", "currency", "amount", "posted_date", "m1")
-    slim_d = d.select("d_scope", "document_id", "d_currency", "d_amount", "issued_date", "d_m1")
-    names_t = slim_t.select("scope_id", "currency", F.col("m1").alias("name_l")).where("name_l <> ''").distinct()
-    names_d = slim_d.select("d_scope", "d_currency", F.col("d_m1").alias("name_r")).where("name_r <> ''").distinct()
-    met = names_t.join(names_d, (F.col("scope_id") == F.col("d_scope")) & (F.col("currency") == F.col("d_currency")))
-    signals = name_signals(met.select("name_l", "name_r").distinct(), settings).withColumnRenamed("signal", "pool_merchant")
-
-    blocks = slim_d.groupBy(F.col("d_scope").alias("b_scope")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = cut(blocks.where("blocks > 1"), "pool-blocks")
-    many = F.coalesce("blocks", F.lit(1))
-    slim_t = slim_t.join(blocks, F.col("scope_id") == F.col("b_scope"), "left")
-    slim_t = slim_t.withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))).drop("b_scope", "blocks")
-    slim_d = slim_d.join(blocks, F.col("d_scope") == F.col("b_scope"), "left")
-    slim_d = slim_d.withColumn("d_block", F.pmod(F.hash("document_id"), many)).drop("b_scope", "blocks")
-
-    tolerance = F.lit(settings.amount_tolerance).cast(MONEY)
-    fits = (
-        (F.col("scope_id") == F.col("d_scope")) & (F.col("currency") == F.col("d_currency")) & (F.col("block") == F.col("d_block"))
-        & (F.col("d_amount") <= F.col("amount")) & (F.abs(F.col("d_amount") - F.col("amount")) > tolerance)
-    )
-    pairs = slim_t.join(slim_d, fits).join(signals, (F.col("m1") == F.col("name_l")) & (F.col("d_m1") == F.col("name_r")), "left")
-    gap = F.coalesce(F.abs(F.datediff("posted_date", "issued_date")), F.lit(10**9))
-    key = ["scope_id", "transaction_id"]
-    order = Window.partitionBy(*key).orderBy(F.desc(F.coalesce("pool_merchant", F.lit(-MICRO))), "gap", F.desc("d_amount"), "document_id")
-    ranked = pairs.select(*key, "document_id", "d_amount", gap.alias("gap"), "pool_merchant").withColumn("place", F.row_number().over(order))
-    best = ranked.where(F.col("place") <= settings.combinations.pool_limit).select(*key, "document_id", "pool_merchant", "place")
-    found = t.join(best, key)
+    best = best_documents(t, d, settings, settings.combinations.pool_limit)
+    found = t.join(best, ["scope_id", "transaction_id"])
     return found.join(d, (F.col("scope_id") == F.col("d_scope")) & (found["document_id"] == d["document_id"])).drop(found["document_id"])
 
 
@@ -63,25 +34,43 @@ def combination_sets(pool: DataFrame, settings: Settings) -> DataFrame:
     """Sets of 2 to ``max_documents`` pool members whose amounts sum to the
     transaction's within the tolerance: scope_id, transaction_id, places.
 
-    Each size joins one more member of a higher place; running sums past the
-    amount are dropped inside the join, which loses nothing as amounts are
-    positive.  The pool's bound keeps each transaction's sets few.
+    A set is a lower part of one or two members and an upper part of higher
+    places, and the parts meet by an equi-join on what the lower one leaves of
+    the amount: one and one, two and one, two and two, two and three.  With a
+    tolerance, sums meet in buckets of twice its width.  Parts past the amount
+    are dropped, which loses nothing as amounts are positive.
     """
-    tolerance = F.lit(settings.amount_tolerance).cast(MONEY)
+    tolerance = Decimal(settings.amount_tolerance)
+    slack = F.lit(settings.amount_tolerance).cast(MONEY)
     key = ["scope_id", "transaction_id"]
-    slim = pool.select(*key, F.col("amount").alias("target"), F.col("d_amount").alias("a"), F.col("place").alias("p"))
-    grown = slim.select(*key, "target", F.col("a").cast("decimal(38,8)").alias("total"), F.array("p").alias("places"), F.col("p").alias("last"))
-    more = slim.select(*key, "a", "p")
-    found = None
-    for _ in range(2, settings.combinations.max_documents + 1):
-        grown = (
-            grown.join(more, key)
-            .where((F.col("p") > F.col("last")) & (F.col("total") + F.col("a") <= F.col("target") + tolerance))
-            .select(*key, "target", (F.col("total") + F.col("a")).cast("decimal(38,8)").alias("total"),
-                    F.concat("places", F.array("p")).alias("places"), F.col("p").alias("last"))
-        )
-        hits = grown.where(F.abs(F.col("total") - F.col("target")) <= tolerance).select(*key, "places")
-        found = hits if found is None else found.unionByName(hits)
+    total = "decimal(38,8)"
+    slim = pool.select(*key, F.col("amount").alias("target"), F.col("d_amount").cast(total).alias("sum"), F.array("place").alias("places"), F.col("place").alias("first"), F.col("place").alias("last"))
+
+    def longer(part: DataFrame) -> DataFrame:
+        one = slim.select(*key, F.col("sum").alias("one"), F.col("last").alias("p"))
+        grown = part.join(one, key).where((F.col("p") > F.col("last")) & (F.col("sum") + F.col("one") <= F.col("target") + slack))
+        return grown.select(*key, "target", (F.col("sum") + F.col("one")).cast(total).alias("sum"), F.concat("places", F.array("p")).alias("places"), "first", F.col("p").alias("last"))
+
+    def met(lower: DataFrame, upper: DataFrame) -> DataFrame:
+        left = lower.select(*key, (F.col("target") - F.col("sum")).cast(total).alias("rest"), F.col("places").alias("low"), "last")
+        right = upper.select(*key, "sum", F.col("places").alias("high"), "first")
+        if tolerance:
+            width = F.lit(2 * tolerance).cast(MONEY)
+            bucket = lambda x: F.floor(x / width).cast("decimal(38,0)")
+            at = bucket(F.col("rest") - slack)
+            left = left.withColumn("at", F.explode(F.array(at, (at + 1).cast("decimal(38,0)"))))
+            right = right.withColumn("at", bucket(F.col("sum")))
+        else:
+            left, right = left.withColumn("at", F.col("rest")), right.withColumn("at", F.col("sum"))
+        both = left.join(right, [*key, "at"]).where((F.col("first") > F.col("last")) & (F.abs(F.col("rest") - F.col("sum")) <= slack))
+        return both.select(*key, F.concat("low", "high").alias("places"))
+
+    most = settings.combinations.max_documents
+    found = met(slim, slim)
+    pairs = cut(longer(slim), "pool-pairs") if most > 2 else None
+    uppers = [slim, pairs, longer(pairs) if most > 4 else None]
+    for upper in uppers[: most - 2]:
+        found = found.unionByName(met(pairs, upper))
     return found
 
 

@@ -202,6 +202,13 @@ _ROWS = """st AS (
 )"""
 
 
+def _sets_of(n: int) -> str:
+    """Sets of ``n`` members of a pool, by joining it with itself."""
+    names = "abcde"[:n]
+    joins = " ".join(f"JOIN pool {y} ON a.transaction_id = {y}.transaction_id AND {y}.place > {x}.place" for x, y in zip(names, names[1:]))
+    return f"SELECT a.transaction_id, concat_ws('-', {', '.join(f'{x}.place' for x in names)}) AS places FROM pool a {joins} WHERE {' + '.join(f'{x}.amount' for x in names)} = a.t_amount"
+
+
 def oracle_sql() -> dict[str, str]:
     q = {}
     q["outgoing_filter"] = f"{BASE} SELECT scope_id, id, posted_date, amount, currency FROM o"
@@ -330,6 +337,26 @@ def oracle_sql() -> dict[str, str]:
       coalesce(string_agg(l.transaction_id, '; ' ORDER BY l.transaction_id), '') AS transaction_ids
       FROM d LEFT JOIN links l ON l.document_id = d.id GROUP BY ALL"""
     q["report_duplicates"] = f"{_M} SELECT scope_id, document_id, 'USED MULTIPLE TIMES' AS usage FROM links GROUP BY 1, 2 HAVING count(*) > 1"
+    q["report_reused_documents"] = f"""{BASE},
+      f AS (SELECT scope_id, currency, min(id) AS first FROM d WHERE currency IS NOT NULL GROUP BY 1, 2),
+      c AS (SELECT scope_id, id AS transaction_id, unnest(list_distinct(CASE WHEN k % 2 = 1 THEN [first, 'doc-' || k || '-1'] ELSE [first] END)) AS document_id
+        FROM (SELECT *, split_part(id, '-', 2)::BIGINT AS k FROM o) JOIN f USING (scope_id, currency))
+      SELECT c.scope_id, document_id, filename, 'USED MULTIPLE TIMES' AS usage, string_agg(transaction_id, '; ' ORDER BY transaction_id) AS transaction_ids
+      FROM c JOIN d ON d.scope_id = c.scope_id AND d.id = document_id GROUP BY ALL HAVING count(*) > 1"""
+    q["match_json_round_trip"] = f"""{_M} SELECT transaction_id, status, {UNITS}, group_amount_exact, array_to_string(document_ids, ';') AS document_ids,
+      (score / 1000000){U}::VARCHAR AS score_text FROM m"""
+    q["combination_sets_of_five"] = f"{POOLED} " + " UNION ALL ".join(map(_sets_of, (2, 3, 4, 5)))
+    q["glyph_characters"] = """
+      SELECT p_partkey, bold, x AS x0, 110 - h AS y0, (x + w + CASE WHEN odd THEN 3 ELSE 0 END)::INTEGER AS x1, CASE WHEN t = 0 THEN 110 ELSE 114 END AS y1,
+        (w * h + below + odd::INTEGER)::BIGINT AS n, below::BIGINT AS below,
+        CASE WHEN odd OR (t = 0 AND k IN (9, 10)) THEN NULL WHEN t = 0 THEN chr(19968 + k) ELSE chr(24064 + k) END AS ch, NOT odd AND t = 0 AND k = 9 AS twin,
+        CASE WHEN NOT odd AND t = 0 AND k = 10 THEN 'characters drawn alike: x, y' END AS problem
+      FROM (SELECT p_partkey, p_size::INTEGER AS k, 3 + p_size::INTEGER % 7 AS w, 5 + p_size::INTEGER // 7 AS h, p_partkey % 3 AS t, p_partkey % 11 = 0 AS odd,
+              p_partkey % 2 = 0 AS bold, CASE WHEN p_partkey % 2 = 0 THEN 9 ELSE 8 END AS x, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END AS below FROM part)"""
+    q["font_dimension"] = """
+      SELECT c_custkey AS scope_id, font, bold, face, count(*) OVER (PARTITION BY face) AS files FROM (
+        SELECT c_custkey, 'ABCDEF+ArialMT' AS font, false AS bold, 'regular:' || sha256('face ' || c_nationkey) AS face FROM customer UNION ALL
+        SELECT c_custkey, 'GHIJKL+Arial-BoldMT', true, 'bold:' || sha256('face ' || c_nationkey) FROM customer)"""
     q["html_status"] = f"""{_SHEET} SELECT transaction_id, strftime(posted_date, '%Y-%m-%d') AS date, merchant_raw AS text, format('{{:,.2f}}', amount::DOUBLE) AS amount_text,
       CASE WHEN direction <> 'outgoing' OR status = 'PROBABLE' THEN 'UNKNOWN' WHEN status = 'CONFIRMED' THEN 'IDENTIFIED' ELSE 'NOT IDENTIFIED' END AS status,
       CASE WHEN direction = 'outgoing' AND status = 'CONFIRMED' THEN filenames END AS files FROM sheet"""

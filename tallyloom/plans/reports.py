@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.config import MICRO
 from tallyloom.functions.amounts import two_places
-from tallyloom.operators.scoring import outgoing
+from tallyloom.operators.scoring import SIGNALS, outgoing
 from tallyloom.plans.reconcile import Reconciliation
 
 STATUSES = ("CONFIRMED", "PROBABLE", "MISSING")
@@ -179,6 +180,46 @@ def summary_sheet(result: Reconciliation, supplied: bool = True) -> DataFrame:
     return rows.select("scope_id", F.posexplode(listed).alias("place", "m")).select("scope_id", "place", "m.*")
 
 
+#: A match as JSON: whole numbers and flags as they are, decimals as text.
+MATCH_JSON = """
+transaction_id string, status string, score string, amount_score string, currency_score string, merchant_score string, date_score string,
+reference_score string, group_amount_exact boolean,
+documents array<struct<document_id:string,amount_exact:boolean,merchant_similarity:string,date_delta_days:int>>, reason string
+"""
+_DECIMALS = ("score", *SIGNALS)
+_FIELDS = ("transaction_id", "status", *_DECIMALS, "group_amount_exact", "documents", "reason")
+
+
+def match_json(matches: DataFrame, unit: str = "decimal(9,6)") -> Column:
+    """A match with scores of type ``unit`` as JSON text; nulls are written, so
+    that a signal that is missing stays apart from one that is 0.  Similarities of
+    documents are whole millionths in ``matches`` and units in the text."""
+    million = F.lit(MICRO)
+    documents = F.transform("documents", lambda d: F.struct(
+        d["document_id"].alias("document_id"), d["amount_exact"].alias("amount_exact"),
+        (d["merchant_similarity"] / million).cast(unit).cast("string").alias("merchant_similarity"), d["date_delta_days"].cast("int").alias("date_delta_days"),
+    ))
+    scores = [F.col(c).cast("string").alias(c) for c in _DECIMALS]
+    whole = F.struct("transaction_id", "status", *scores, "group_amount_exact", documents.alias("documents"), "reason")
+    return F.to_json(whole, {"ignoreNullFields": "false"})
+
+
+def match_of_json(text: Column, unit: str = "decimal(9,6)") -> Column:
+    """What ``match_json`` wrote, with its types again; null for text that is no
+    JSON object.  A field that a match does not have is an error."""
+    read = F.from_json(text, MATCH_JSON)
+    unknown = F.array_except(F.json_object_keys(text), F.array(*map(F.lit, _FIELDS)))
+    checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown fields of a match: "), F.array_join(unknown, ", "))).cast("string"))
+    scores = [read[c].cast(unit).alias(c) for c in _DECIMALS]
+    documents = F.transform(read["documents"], lambda d: F.struct(
+        d["document_id"].alias("document_id"), d["amount_exact"].alias("amount_exact"),
+        (d["merchant_similarity"].cast(unit) * MICRO).cast("long").alias("merchant_similarity"), d["date_delta_days"].alias("date_delta_days"),
+    ))
+    first = F.coalesce(checked, read["transaction_id"])
+    whole = F.struct(first.alias("transaction_id"), read["status"].alias("status"), *scores, read["group_amount_exact"].alias("group_amount_exact"), documents.alias("documents"), read["reason"].alias("reason"))
+    return F.when(F.json_object_keys(text).isNotNull(), whole)
+
+
 def html_rows(result: Reconciliation) -> DataFrame:
     """What the page shows of each transaction, in input order if the
     transactions carry ``ord``."""
