@@ -23,21 +23,16 @@ from tallyloom.sources.statements import PdfStatements, StatementSource
 
 def read_folder(spark: SparkSession, folder: str, extract=read_pages) -> DataFrame | None:
     """The folder's files with content and text; None if it has none."""
-    files = scan_documents(spark, folder, folder)
-    if files.isEmpty():
-        return None
-    held = spark.read.format("binaryFile").load([r["path"] for r in files.select("path").collect()])
-    content = held.select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
-    empty = F.coalesce("content", F.lit("").cast("binary"))
-    return with_text(files.join(content, "path", "left").withColumn("content", empty), extract)
+    files = scan_documents(spark, folder, folder, content=True)
+    return None if files.isEmpty() else with_text(files, extract)
 
 
 def check_folder(spark: SparkSession, folder: str, extract=read_pages) -> str:
     """The text report of one folder."""
     files = read_folder(spark, folder, extract)
     if files is None:
-        files = spark.createDataFrame([(folder, "-", "")], "scope_id string, filename string, text string")
-    folders, expected = check_folders(files.select("scope_id", "filename", "text"))
+        files = spark.createDataFrame([(folder, "-", "-", "")], "scope_id string, filename string, rel_path string, text string")
+    folders, expected = check_folders(files.select("scope_id", "filename", "rel_path", "text"))
     return report_texts(folders, expected).first()["report"]
 
 

@@ -37,6 +37,18 @@ REASONS = {
     "unread": "The contract period could not be read.",
     "long": "The contract period is too long to list reliably.",
 }
+MONTHLY_FEE, NO_READABLE_TEXT = "Monthly service fee", "The contract file has no readable text."
+REPORT = {
+    "none": 'No contract file was found in the folder.\nA contract filename should contain "contract" or "agreement".',
+    "several": "Several possible contracts were found. The folder was not checked.\n\n",
+    "contract": "Contract: ",
+    "unclear": "\n\nI could not reliably determine the expected invoices from the contract.\n\nReason:\n",
+    "expected": "\n\nInvoices expected: ",
+    "found": "\nInvoices found: ",
+    "missing": "\nInvoices missing: ",
+    "all": "All expected invoices are present.",
+    "list": "Missing invoices:\n\n",
+}
 INVOICES = "array<struct<period:string,amount:decimal(28,8),currency:string,description:string,invoice_number:string>>"
 
 
@@ -100,7 +112,7 @@ def required_invoices(contracts: DataFrame, text_col: str = "text") -> DataFrame
     explicit = F.transform("lines", lambda x: _invoice(x["period"], x["money"], no_text))
     monthly = F.transform(
         F.sequence("first", "last", F.expr("interval 1 month")),
-        lambda m: _invoice(F.date_format(m, "yyyy-MM"), F.col("fee"), F.lit("Monthly service fee")),
+        lambda m: _invoice(F.date_format(m, "yyyy-MM"), F.col("fee"), F.lit(MONTHLY_FEE)),
     )
     invoices = F.when(F.col("why").isNotNull(), F.array().cast(INVOICES)).when(listed, explicit).otherwise(monthly)
     return (
@@ -151,10 +163,16 @@ def match_invoices(expected: DataFrame, found: DataFrame, small: int = 50_000) -
 def check_folders(files: DataFrame, analyze: Callable[[DataFrame], DataFrame] = required_invoices) -> tuple[DataFrame, DataFrame]:
     """Check the folders of files(scope_id, filename, text), many at once.
 
+    Found invoices are taken in the order of the files' rel_path, the one of a
+    scan, if there is such a column, else of their names; of rows with one path
+    the order is that of their texts.
+
     Returns one row per folder (scope_id, status, contract_name, reason,
     ambiguous, n_expected, n_found, n_missing) and the expected invoices with
     the file found for each.  ``analyze`` adds determined, reason and invoices.
     """
+    path = F.col("rel_path") if "rel_path" in files.columns else F.col("filename")
+    files = files.withColumn("place", F.struct(path.alias("path"), F.coalesce("text", F.lit("")).alias("text")))
     named = files.withColumn("is_contract", F.col("filename").rlike(CONTRACT_NAME))
     folders = named.groupBy("scope_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("is_contract"), F.col("filename")))).alias("names"),
@@ -163,7 +181,7 @@ def check_folders(files: DataFrame, analyze: Callable[[DataFrame], DataFrame] =
     single = folders.where(F.size("names") == 1)
     read = cut(analyze(single), "contracts")
     expected = read.where("determined").select("scope_id", F.posexplode("invoices").alias("ord", "i")).select("scope_id", "ord", "i.*")
-    order = Window.partitionBy("scope_id").orderBy("filename")
+    order = Window.partitionBy("scope_id").orderBy("place", "filename")
     others = named.where("not is_contract").join(read.where("determined").select("scope_id"), "scope_id", "left_semi")
     found = found_invoices(others).withColumn("ord", F.row_number().over(order))
     expected = cut(match_invoices(expected, found), "expected")
@@ -178,7 +196,7 @@ def check_folders(files: DataFrame, analyze: Callable[[DataFrame], DataFrame] =
     zero = F.lit(0).cast("long")
     rows = folders.join(read.select("scope_id", "determined", "reason"), "scope_id", "left").join(counts, "scope_id", "left")
     rows = rows.withColumn("status", status)
-    reason = F.when(F.col("status") == "UNREADABLE", "The contract file has no readable text.").otherwise(F.col("reason"))
+    reason = F.when(F.col("status") == "UNREADABLE", NO_READABLE_TEXT).otherwise(F.col("reason"))
     return rows.select(
         "scope_id", "status", F.when(F.size("names") == 1, F.element_at("names", 1)).alias("contract_name"), reason.alias("reason"),
         F.when(F.size("names") > 1, F.col("names")).alias("ambiguous"), F.coalesce("n_expected", zero).alias("n_expected"),
@@ -198,20 +216,20 @@ def report_texts(folders: DataFrame, expected: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), described()).alias("t")))).alias("m")
     )
     unclear = F.concat(
-        F.lit("Contract: "), "contract_name", F.lit("\n\nI could not reliably determine the expected invoices from the contract.\n\nReason:\n"), "reason"
+        F.lit(REPORT["contract"]), "contract_name", F.lit(REPORT["unclear"]), "reason"
     )
     counts = F.concat(
-        F.lit("Contract: "), "contract_name", F.lit("\n\nInvoices expected: "), "n_expected", F.lit("\nInvoices found: "), "n_found",
-        F.lit("\nInvoices missing: "), "n_missing", F.lit("\n\n"),
+        F.lit(REPORT["contract"]), "contract_name", F.lit(REPORT["expected"]), "n_expected", F.lit(REPORT["found"]), "n_found",
+        F.lit(REPORT["missing"]), "n_missing", F.lit("\n\n"),
     )
-    listed = F.concat(F.lit("Missing invoices:\n\n"), F.array_join(F.transform("m", lambda x: x["t"]), "\n"))
+    listed = F.concat(F.lit(REPORT["list"]), F.array_join(F.transform("m", lambda x: x["t"]), "\n"))
     text = (
-        F.when(F.col("status") == "NO_CONTRACT", 'No contract file was found in the folder.\nA contract filename should contain "contract" or "agreement".')
+        F.when(F.col("status") == "NO_CONTRACT", REPORT["none"])
         .when(
             F.col("status") == "AMBIGUOUS",
-            F.concat(F.lit("Several possible contracts were found. The folder was not checked.\n\n"), F.array_join(F.transform("ambiguous", lambda n: F.concat(F.lit("- "), n)), "\n")),
+            F.concat(F.lit(REPORT["several"]), F.array_join(F.transform("ambiguous", lambda n: F.concat(F.lit("- "), n)), "\n")),
         )
         .when(F.col("status").isin("UNREADABLE", "UNABLE"), unclear)
-        .otherwise(F.concat(counts, F.when(F.col("n_missing") == 0, "All expected invoices are present.").otherwise(listed)))
+        .otherwise(F.concat(counts, F.when(F.col("n_missing") == 0, REPORT["all"]).otherwise(listed)))
     )
     return folders.join(missing, "scope_id", "left").select("scope_id", "status", text.alias("report"))

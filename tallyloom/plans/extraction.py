@@ -65,7 +65,8 @@ def extract_fields(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def found_invoices(files: DataFrame) -> DataFrame:
     """From files(scope_id, filename, text): the fields of each as an invoice,
-    with the period that date, text and name agree on."""
+    with the period that date, text and name agree on; a column place stays."""
     fields = extract_fields(files)
     period = vote(F.col("issued_date"), F.coalesce("text", F.lit("")), F.col("filename"))
-    return fields.select("scope_id", "filename", "invoice_number", "issued_date", period.alias("period"), "amount", "currency", F.col("merchant_raw").alias("supplier"))
+    place = ["place"] if "place" in files.columns else []
+    return fields.select("scope_id", "filename", *place, "invoice_number", "issued_date", period.alias("period"), "amount", "currency", F.col("merchant_raw").alias("supplier"))

@@ -13,8 +13,15 @@ from tallyloom.operators.combining import combination_proposals
 from tallyloom.operators.scoring import SIGNALS, outgoing, single_proposals
 from tallyloom.scratch import cut
 
-# Fixed text: the reason of a transaction without any credible candidate.
+# The sentences and phrases of reasons.
 NO_CANDIDATE = "No supporting document found with sufficient evidence."
+TAKEN = ("Document ", " is already used by transaction ", ". The same document is not assigned to a second transaction.")
+GROUP_SUMS = "Documents in the same currency sum to the transaction amount"
+EXACT_MONEY, OTHER_CURRENCY, OTHER_AMOUNT, NO_MONEY = "Exact amount and currency", "Currency differs", "Amount differs", "Amount or currency is missing"
+NO_NAME, STRONG_NAME = "merchant was not available", "strong merchant match"
+MODERATE_NAME, WEAK_NAME = "merchant similarity is moderate", "merchant similarity is weak"
+NO_DATE, SAME_DAY, DATE_IS, TO_TRANSACTION, UP_TO = "document date is missing", "dates are the same day", "document date is ", " the transaction", "dates differ by up to "
+SAME_REFERENCE, CLASSIFIED = "invoice or reference text matches", ". Classified as "
 
 
 class MatchError(ValueError):
@@ -62,32 +69,32 @@ def explanation(settings: Settings) -> Column:
     """The reason of a match, from the signals that were present."""
     exact = (F.col("amount_score") == MICRO) & (F.col("currency_score") == MICRO)
     money = (
-        F.when(exact & F.col("group_amount_exact"), "Documents in the same currency sum to the transaction amount")
-        .when(exact, "Exact amount and currency")
-        .when(F.col("currency_score") == 0, "Currency differs")
-        .when(F.col("amount_score") == 0, "Amount differs")
-        .when(F.col("amount_score").isNull() | F.col("currency_score").isNull(), "Amount or currency is missing")
+        F.when(exact & F.col("group_amount_exact"), GROUP_SUMS)
+        .when(exact, EXACT_MONEY)
+        .when(F.col("currency_score") == 0, OTHER_CURRENCY)
+        .when(F.col("amount_score") == 0, OTHER_AMOUNT)
+        .when(F.col("amount_score").isNull() | F.col("currency_score").isNull(), NO_MONEY)
     )
     bands, merchant = settings.merchants, F.col("merchant_score")
     name = (
-        F.when(merchant.isNull(), "merchant was not available")
-        .when(merchant >= micros(bands.strong), "strong merchant match")
-        .when(merchant >= micros(bands.moderate), "merchant similarity is moderate")
-        .otherwise("merchant similarity is weak")
+        F.when(merchant.isNull(), NO_NAME)
+        .when(merchant >= micros(bands.strong), STRONG_NAME)
+        .when(merchant >= micros(bands.moderate), MODERATE_NAME)
+        .otherwise(WEAK_NAME)
     )
     gaps = F.transform("documents", lambda c: F.when(c["issued_date"].isNotNull(), c["date_delta_days"]))
     gap, issued = F.array_max(gaps), F.element_at("documents", 1)["issued_date"]
     unit = F.when(gap == 1, " day ").otherwise(" days ")
     side = F.when(issued < F.col("posted_date"), "before").otherwise("after")
     day = (
-        F.when(F.exists(gaps, lambda g: g.isNull()), "document date is missing")
-        .when(gap == 0, "dates are the same day")
-        .when(F.size("documents") == 1, F.concat(F.lit("document date is "), gap, unit, side, F.lit(" the transaction")))
-        .otherwise(F.concat(F.lit("dates differ by up to "), gap, F.rtrim(unit)))
+        F.when(F.exists(gaps, lambda g: g.isNull()), NO_DATE)
+        .when(gap == 0, SAME_DAY)
+        .when(F.size("documents") == 1, F.concat(F.lit(DATE_IS), gap, unit, side, F.lit(TO_TRANSACTION)))
+        .otherwise(F.concat(F.lit(UP_TO), gap, F.rtrim(unit)))
     )
-    reference = F.when(F.col("reference_score") == MICRO, "invoice or reference text matches")
+    reference = F.when(F.col("reference_score") == MICRO, SAME_REFERENCE)
     sentence = _upper_first(F.concat_ws("; ", money, name, day, reference))
-    return F.concat(sentence, F.lit(". Classified as "), F.col("status"), F.lit("."))
+    return F.concat(sentence, F.lit(CLASSIFIED), F.col("status"), F.lit("."))
 
 
 def require_unique(table: DataFrame, what: str) -> None:
@@ -117,10 +124,7 @@ def match_transactions(
     found = chosen.withColumn("reason", explanation(settings)).drop("rank", "posted_date", "document_ids")
     rows = paid.withColumnRenamed("id", "transaction_id").join(found, ["scope_id", "transaction_id"], "left")
     rows = rows.join(blocked.withColumnRenamed("document_id", "blocking"), ["scope_id", "transaction_id"], "left")
-    taken_text = F.concat(
-        F.lit("Document "), "blocking", F.lit(" is already used by transaction "), "owner",
-        F.lit(". The same document is not assigned to a second transaction."),
-    )
+    taken_text = F.concat(F.lit(TAKEN[0]), "blocking", F.lit(TAKEN[1]), "owner", F.lit(TAKEN[2]))
     empty = F.array().cast(chosen.schema["documents"].dataType)
     matches = rows.select(
         "scope_id", "transaction_id", F.coalesce("status", F.lit("MISSING")).alias("status"), F.coalesce("score", F.lit(0)).cast("long").alias("score"),

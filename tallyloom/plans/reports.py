@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyloom.config import MICRO
@@ -236,6 +236,7 @@ def html_rows(result: Reconciliation) -> DataFrame:
     )
 
 
+# The page's headings.
 PAGE = """<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>Bank statement</title>
 <style>
@@ -251,14 +252,18 @@ th, td {{ text-align: left; padding: .4em .8em; border-bottom: 1px solid #ccc }}
 """
 
 
+def html_row(r: Row) -> str:
+    """A row of ``html_rows`` as a row of the page."""
+    css = r["status"].lower().replace(" ", "-")
+    links = "<br>".join(f'<a href="{html.escape(quote(f))}">{html.escape(f)}</a>' for f in (r["files"] or "").split("; ") if f) or "—"
+    cells = [f"<td>{html.escape(r[c] or '')}</td>" for c in ("date", "text")]
+    cells += [f'<td class="amount">{html.escape(r["amount_text"])}</td>', f"<td>{html.escape(r['currency'])}</td>"]
+    return f'<tr>{"".join(cells)}<td class="{css}">{html.escape(r["status"])}</td><td>{links}</td></tr>'
+
+
 def render_html(rows: DataFrame) -> Iterator[str]:
     """Table rows of one scope as HTML, a partition at a time on the driver."""
-    for r in rows.toLocalIterator():
-        css = r["status"].lower().replace(" ", "-")
-        links = "<br>".join(f'<a href="{html.escape(quote(f))}">{html.escape(f)}</a>' for f in (r["files"] or "").split("; ") if f) or "—"
-        cells = [f"<td>{html.escape(r[c] or '')}</td>" for c in ("date", "text")]
-        cells += [f'<td class="amount">{html.escape(r["amount_text"])}</td>', f"<td>{html.escape(r['currency'])}</td>"]
-        yield f'<tr>{"".join(cells)}<td class="{css}">{html.escape(r["status"])}</td><td>{links}</td></tr>'
+    return map(html_row, rows.toLocalIterator())
 
 
 def write_html(rows: DataFrame, path: str | Path) -> None:

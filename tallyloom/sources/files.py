@@ -10,27 +10,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUFFIXES = ("pdf", "jpg", "jpeg", "png")
+from tallyloom.sources.scan import SUFFIXES, DocumentFolder
 
 
-def scan_documents(spark: SparkSession, root: str | Path, scope_id: str = "") -> DataFrame:
+def scan_documents(spark: SparkSession, root: str | Path, scope_id: str = "", content: bool = False) -> DataFrame:
     """Supported files below a folder: scope_id, path, rel_path, filename and
-    document_type, in the order of rel_path.
+    document_type, in the order of rel_path, and their content if asked for.
 
     Suffixes count in any case; empty and hidden files are listed and folders
-    are not.  The listing is the driver's, a name for each file; contents are
-    read by executors.
+    are not.  Executors list and read the files (``DocumentFolder``).
     """
     root = Path(root)
     if not root.exists():
         raise FileNotFoundError(root)
     if not root.is_dir():
         raise NotADirectoryError(root)
-    found = sorted(
-        (p.relative_to(root).as_posix(), p) for p in root.rglob("*") if p.is_file() and p.suffix.lower().lstrip(".") in SUFFIXES
-    )
-    rows = [(scope_id, str(p), rel, p.name, p.suffix.lower().lstrip(".")) for rel, p in found]
-    return spark.createDataFrame(rows, "scope_id string, path string, rel_path string, filename string, document_type string")
+    spark.dataSource.register(DocumentFolder)
+    options = {"content": str(content).lower(), "scope_id": scope_id, "pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
+    return spark.read.format("document_folder").options(**options).load(str(root)).orderBy("rel_path")
 
 
 def read_stored(spark: SparkSession, glob: str) -> DataFrame:
