@@ -10,37 +10,49 @@ number of hits, below which a true match falls with probability under 1e-9, and
 a document with too few shingles is out by its size.  Small items keep all
 their shingles, which makes their test exact.
 
-Every candidate is verified by the exact number of the item's shingles in the
-document.  Items are the query set: they are taken in blocks of a bounded
-number of shingles, and each block goes to all executors; documents are read
-once a block and are never shuffled.
+Items with equal sets are one while they are searched.  Sketches are a table: the
+documents' shingles meet them in one equi-join, in one scan, where the sketches are
+broadcast if they were counted to be few and both sides shuffled else.  Documents
+with enough hits are read again, and every candidate is verified by the exact
+number of the item's shingles in the document.
 """
 
 from __future__ import annotations
 
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import tidy
+from tallyloom.llm.common import broadcast_if_small, tidy
 from tallyloom.llm.shingles import shingle_sets
 from tallyloom.scratch import cut
 
-FOUND = "doc_id long, item_id long, n_item long, n_shared long"
+#: Candidate rows that are broadcast to the second reading of the texts.
+BROADCAST_ROWS = 1_000_000
+#: Shingles that a task passes on together, about.
+LOT = 500_000
 
 
-def _item_sets(size: int):
+def _sets(size: int):
+    """Shingle sets, ascending as unsigned numbers, of a batch's last column; the
+    other columns stay.  Empty sets are left out."""
+
     def run(batches):
         for batch in batches:
-            ids, texts = batch.columns
-            sets = [s.view(np.int64) for s in shingle_sets(texts, size)]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                names=["item_id", "n", "hashes"],
-            )
+            at, held, count = [], [], 0
+            for k, found in enumerate(shingle_sets(batch.columns[-1], size)):
+                if len(found):
+                    at.append(k)
+                    held.append(found.view(np.int64))
+                    count += len(found)
+                if held and (count > LOT or k == batch.num_rows - 1):
+                    hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held)))
+                    kept = [c.take(pa.array(at)) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(list(map(len, held)), pa.int64()), hashes], names=[*batch.schema.names[:-1], "n", "hashes"])
+                    at, held, count = [], [], 0
 
     return run
 
@@ -58,39 +70,17 @@ def least_hits(kept: int, n: int, percent: int, miss: float = 1e-9) -> int:
     return 1
 
 
-def _search(items: list[tuple[int, np.ndarray]], percent: int, size: int, sketch: int):
-    """Documents of a batch against one block of items."""
-    sizes = np.array([len(h) for _, h in items])
-    # Partitions double in size; larger items keep more hashes, in proportion to nothing but the bound.
-    kept = np.minimum(sizes, sketch + 4 * np.maximum(0, np.log2(np.maximum(sizes, 1)).astype(int) - 5))
-    needed = np.array([least_hits(int(k), int(n), percent) for k, n in zip(kept, sizes, strict=True)])
-    smallest = -(-percent * sizes // 100)
-    flat = np.concatenate([h[:k] for (_, h), k in zip(items, kept, strict=True)])
-    owner = np.repeat(np.arange(len(items)), kept)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+def _sketched(percent: int, sketch: int):
+    """For each size how many smallest hashes an item keeps, and how many hits and
+    shingles a match has at least."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.columns
-            out: list[tuple] = []
-            for doc, found in zip(ids.to_pylist(), shingle_sets(texts, size), strict=True):
-                if not len(found):
-                    continue
-                left = np.searchsorted(flat, found, "left")
-                hit = flat[np.minimum(left, len(flat) - 1)] == found
-                if not hit.any():
-                    continue
-                right = np.searchsorted(flat, found[hit], "right")
-                hits = np.bincount(np.concatenate([owner[a:b] for a, b in zip(left[hit], right, strict=True)]), minlength=len(items))
-                for k in np.flatnonzero((hits >= needed) & (len(found) >= smallest)):
-                    item, hashes = items[k]
-                    at = np.minimum(np.searchsorted(found, hashes), len(found) - 1)
-                    shared = int((found[at] == hashes).sum())
-                    if 100 * shared >= percent * len(hashes):
-                        out.append((doc, item, len(hashes), shared))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_item", "n_shared"])
+            n = batch.column("n").to_numpy()
+            # Partitions double in size; larger items keep more hashes, in proportion to nothing but the bound.
+            kept = np.minimum(n, sketch + 4 * np.maximum(0, np.log2(n).astype(int) - 5))
+            needed = [least_hits(int(k), int(m), percent) for k, m in zip(kept, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(kept), pa.array(needed, pa.int64()), pa.array(-(-percent * n // 100))], names=["n", "kept", "needed", "smallest"])
 
     return run
 
@@ -113,23 +103,31 @@ def find_contaminated(
 
     Null texts count as empty.  Items without words match nothing, and so do
     documents without words; an item or document of fewer than ``size`` words
-    has its whole sequence as one shingle.  Rows that repeat are searched each.
-    An empty table on either side gives an empty result; other columns are
-    ignored.  ``block_shingles`` bounds what one block of items sends to each
-    executor, about 8 bytes for a shingle.
+    has its whole sequence as one shingle.  Rows that repeat, of documents or of
+    items, are found each; null ids are passed on.  An empty table on either side
+    gives an empty result; other columns are ignored.  ``block_shingles`` bounds
+    the sketch hashes that are broadcast, some 40 bytes each; more are joined by
+    shuffling, with the same result.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    items = items.mapInArrow(_item_sets(size), "item_id long, n long, hashes array<long>").where("n > 0")
-    items = cut(items, "items")
-    total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = ceil(total / block_shingles)
+    items = cut(items.mapInArrow(tidy(_sets(size)), "item_id long, n long, hashes array<long>"), "items")
+    sizes = items.select("n").distinct().mapInArrow(_sketched(percent, sketch), "n long, kept long, needed long, smallest long")
+    classes = cut(items.groupBy("n", "hashes").agg(F.count("*").alias("rows")).join(sizes, "n").withColumn("item", F.monotonically_increasing_id()), "item-classes")
+    smallest = F.slice("hashes", 1, F.col("kept").cast("int"))
+    sketches = cut(classes.select("item", "needed", "smallest", F.explode(smallest).alias("h")), "item-sketches")
+
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = spark.createDataFrame([], FOUND)
-    for block in range(blocks):
-        dealt = F.pmod(F.xxhash64("item_id", F.hash("hashes")), F.lit(blocks)) == block
-        rows = items.where(dealt).orderBy("item_id").collect()
-        held = [(r["item_id"], np.sort(np.array(r["hashes"], np.int64).view(np.uint64))) for r in rows]
-        if held:
-            found = found.unionByName(texts.mapInArrow(tidy(_search(held, percent, size, sketch)), FOUND))
-    return found
+    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    shingles = texts.select("row", "text").mapInArrow(tidy(_sets(size)), "row long, n long, hashes array<long>").select("row", "n", F.explode("hashes").alias("h"))
+    hits = shingles.join(broadcast_if_small(sketches, block_shingles), "h").where("n >= smallest")
+    hits = hits.groupBy("row", "item", "needed").agg(F.count("*").alias("hits")).where("hits >= needed")
+    candidates = cut(hits.select("row", "item"), "item-candidates")
+
+    rows = broadcast_if_small(cut(candidates.select("row").distinct(), "item-rows"), BROADCAST_ROWS)
+    again = texts.join(rows, "row", "left_semi").select("doc_id", "row", "text")
+    again = again.mapInArrow(tidy(_sets(size)), "doc_id long, row long, n long, hashes array<long>").select("doc_id", "row", F.col("hashes").alias("own"))
+    shared = F.size(F.array_intersect("own", "hashes")).cast("long")
+    met = again.join(candidates, "row").join(classes.select("item", F.col("n").alias("n_item"), "hashes"), "item")
+    met = met.select("doc_id", "item", "n_item", shared.alias("n_shared")).where(100 * F.col("n_shared") >= percent * F.col("n_item"))
+    members = items.join(classes.select("n", "hashes", "item").hint("merge"), ["n", "hashes"]).select("item_id", "item")
+    return met.join(members, "item").select("doc_id", "item_id", "n_item", "n_shared")

@@ -35,6 +35,21 @@ def test_matches_brute_force(spark, docs_of, block):
     assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    a, b = (" ".join(word() for _ in range(30)) for _ in range(2))
+    long = " ".join(word() for _ in range(60_000))
+    items = [(1, a), (1, b), (2, a), (None, a), (3, None), (2, a)]
+    rows = [(7, "x " + a), (7, "x " + a), (7, "clean"), (None, a), (None, "clean"), (8, f"{long} {b} {long}"), (9, ""), (10, None)]
+    benchmark = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, n int")
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, hashes string, item int")
+    want = [(d, i, len(shingles(item)), len(shingles(item) & shingles(t))) for d, t in rows for i, item in items if shingles(item) and 100 * len(shingles(item) & shingles(t)) >= 80 * len(shingles(item))]
+    for block in (2_000_000, 0):
+        found = [tuple(r) for r in find_contaminated(docs, benchmark, block_shingles=block).collect()]
+        assert sorted(found, key=str) == sorted(want, key=str) and len(want) == 13
+
+
 def test_empty_sides(spark, docs_of):
     benchmark = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert find_contaminated(docs_of(["a"]).limit(0), benchmark).count() == 0
