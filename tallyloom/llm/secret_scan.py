@@ -2,8 +2,12 @@
 
 Rules give the base spans.  Their matches are labelled credentials; a sample of
 each kind of a stated bound becomes a prefix tree whose statistically compatible
-states are merged (Hoeffding's bound decides), which leaves a probabilistic
-automaton of the kind's format.  Every other candidate token of the corpus is
+states are merged, which leaves a probabilistic automaton of the kind's format.
+States are compared by what follows them, place by place: the classes of
+characters and the ends that so many places on are seen (Hoeffding's bound
+decides), and of several compatible states the likeliest is taken.  So random
+characters, which part a tree into single examples soon, still show how long
+their format is and where its marks stand.  Every other candidate token of the corpus is
 scored by its likelihood under each automaton against a uniform choice of
 characters; those that fit a format become additional spans.
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log, sqrt
@@ -36,6 +41,8 @@ HEX = re.compile(r"[0-9a-f]+")
 DIGIT, TOKEN, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z0-9+/_.=-]+"), re.compile("[A-Za-z]")
 SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 SHORTEST = 8
+#: Places after a state that are compared.
+AHEAD = 64
 #: Classes of characters that the automata read; any other is its own class.
 CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l")}
 CLASSES |= {**dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "L")}
@@ -87,6 +94,45 @@ class State:
         return self.ends + sum(self.seen.values())
 
 
+def follows(suffix: str) -> Iterator[tuple[int, str]]:
+    """What follows a state in one example: place and class of character, and
+    the end as an empty class."""
+    for k, sign in enumerate(suffix[:AHEAD]):
+        yield k, CLASSES.get(sign, sign)
+    if len(suffix) < AHEAD:
+        yield len(suffix), ""
+
+
+class Profile:
+    """Counts of what follows a state, and how many examples reach each place."""
+
+    def __init__(self) -> None:
+        self.seen: Counter[tuple[int, str]] = Counter()
+        self.reach: Counter[int] = Counter()
+
+    def add(self, suffix: str) -> None:
+        for k, c in follows(suffix):
+            self.seen[k, c] += 1
+            self.reach[k] += 1
+
+    def update(self, other: Profile) -> None:
+        self.seen.update(other.seen)
+        self.reach.update(other.reach)
+
+    def differs(self, other: Profile, alpha: float) -> bool:
+        """Whether a share at some place differs beyond Hoeffding's bound."""
+        wide = sqrt(0.5 * log(2 / alpha))
+        for k, c in self.seen.keys() | other.seen.keys():
+            n, m = self.reach[k], other.reach[k]
+            if n and m and abs(self.seen[k, c] / n - other.seen[k, c] / m) > wide * (1 / sqrt(n) + 1 / sqrt(m)):
+                return True
+        return False
+
+    def fit(self, other: Profile) -> float:
+        """Log-likelihood of what follows another state under our shares."""
+        return sum(n * log((self.seen[k, c] + 0.1) / (self.reach[k] + 1)) for (k, c), n in other.seen.items())
+
+
 class Automaton:
     """A probabilistic automaton inferred from whole examples by merging states.
 
@@ -95,38 +141,24 @@ class Automaton:
     def __init__(self, examples: list[str], alpha: float = 0.05) -> None:
         self.alpha = alpha
         self.states = [State()]
+        self.after = [Profile()]
         for text in examples:
             at = 0
-            for sign in text:
+            for i, sign in enumerate(text):
+                self.after[at].add(text[i:])
                 c = CLASSES.get(sign, sign)
                 here = self.states[at]
                 here.signs[sign] = here.signs.get(sign, 0) + 1
                 if c not in here.to:
                     here.to[c] = len(self.states)
                     self.states.append(State())
+                    self.after.append(Profile())
                 here.seen[c] = here.seen.get(c, 0) + 1
                 at = here.to[c]
+            self.after[at].add("")
             self.states[at].ends += 1
         self._merge()
-
-    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        if not n1 or not n2:
-            return False
-        return abs(f1 / n1 - f2 / n2) > sqrt(0.5 * log(2 / self.alpha)) * (1 / sqrt(n1) + 1 / sqrt(n2))
-
-    def _compatible(self, a: int, b: int) -> bool:
-        pairs = [(a, b)]
-        while pairs:
-            a, b = pairs.pop()
-            p, q = self.states[a], self.states[b]
-            if self._differ(p.ends, p.total, q.ends, q.total):
-                return False
-            for c in p.to.keys() | q.to.keys():
-                if self._differ(p.seen.get(c, 0), p.total, q.seen.get(c, 0), q.total):
-                    return False
-                if c in p.to and c in q.to:
-                    pairs.append((p.to[c], q.to[c]))
-        return True
+        del self.after
 
     def _fold(self, into: int, tree: int) -> None:
         """Add a subtree's counts to a state and its successors."""
@@ -134,6 +166,7 @@ class Automaton:
         while pairs:
             a, b = pairs.pop()
             p, q = self.states[a], self.states[b]
+            self.after[a].update(self.after[b])
             p.ends += q.ends
             for c, n in q.signs.items():
                 p.signs[c] = p.signs.get(c, 0) + n
@@ -145,17 +178,18 @@ class Automaton:
                     p.to[c] = q.to[c]
 
     def _merge(self) -> None:
-        """Settled states stay apart; each of their successors joins the first
-        settled state that it is compatible with, or is settled itself."""
+        """Settled states stay apart; each of their successors, the one of most
+        examples first, joins the settled state that it is compatible with and
+        that what follows it is likeliest after, or is settled itself."""
         settled = [0]
         while fringe := [(r, c) for r in settled for c, t in self.states[r].to.items() if t not in settled]:
             parent, c = max(fringe, key=lambda x: self.states[self.states[x[0]].to[x[1]]].total)
             tree = self.states[parent].to[c]
-            for r in settled:
-                if self._compatible(r, tree):
-                    self.states[parent].to[c] = r
-                    self._fold(r, tree)
-                    break
+            fitting = [r for r in settled if not self.after[r].differs(self.after[tree], self.alpha)]
+            if fitting:
+                best = max(fitting, key=lambda r: self.after[r].fit(self.after[tree]))
+                self.states[parent].to[c] = best
+                self._fold(best, tree)
             else:
                 settled.append(tree)
         self.states = {r: self.states[r] for r in settled}
@@ -170,7 +204,7 @@ class Automaton:
         for c in text:
             kind = CLASSES.get(c, c)
             seen, size = here.seen.get(kind, 0), SIZES.get(kind, 1)
-            chance = (seen + 0.01) / (here.total + 0.5) * (here.signs.get(c, 0) + 2 / size) / (seen + 2)
+            chance = (seen + 0.01) / (here.total + 0.5) * (here.signs.get(c, 0) + 2) / (seen + 2 * size)
             total += log(chance * ALPHABET)
             here = self.states[here.to[kind]] if kind in here.to else State()
         return total + log((here.ends + 0.01) / (here.total + 0.5) * ALPHABET)

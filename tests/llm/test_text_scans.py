@@ -5,6 +5,8 @@ import math
 import random
 import re
 import string
+from collections import Counter
+from math import log
 from pathlib import Path
 
 import numpy as np
@@ -107,6 +109,42 @@ def test_learned_formats_find_held_out_credentials(docs_of):
     assert recall >= 0.95 and wrong <= 2
 
 
+def test_random_characters_show_the_length_of_their_format():
+    """Against a slow version: likelihoods by walking states with plain counts, and
+    profiles by listing what follows."""
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:40]
+    examples = [digest(i) for i in range(131)]
+    learned = secret_scan.Automaton(examples)
+    assert len(learned.states) == 41 and sorted(s.ends for s in learned.states.values()) == [0] * 40 + [131]
+    counts = Counter()  # of classes and signs by state, in a plain walk
+    for text in examples:
+        at = 0
+        for c in text:
+            kind = secret_scan.CLASSES.get(c, c)
+            counts[at, "n"] += 1
+            counts[at, kind] += 1
+            counts[at, kind, c] += 1
+            at = learned.states[at].to[kind]
+        counts[at, "n"] += 1
+        counts[at, ""] += 1
+    for text in [digest(500), digest(501)[:39], digest(502) + "0", "zz" + digest(503)[:38], ""]:
+        at, want = 0, 0.0
+        for c in text:
+            kind = secret_scan.CLASSES.get(c, c)
+            size = secret_scan.SIZES.get(kind, 1)
+            want += log((counts[at, kind] + 0.01) / (counts[at, "n"] + 0.5) * (counts[at, kind, c] + 2) / (counts[at, kind] + 2 * size) * 67)
+            at = learned.states[at].to.get(kind) if at is not None and at in learned.states else None
+        want += log((counts[at, ""] + 0.01) / (counts[at, "n"] + 0.5) * 67)
+        assert abs(learned.likelihood(text) - want) < 1e-9
+    a, b = secret_scan.Profile(), secret_scan.Profile()
+    for text in ("ab1", "a", "b12"):
+        a.add(text)
+    for text in ("ab1", "a"):
+        b.add(text)
+    assert dict(a.seen) == {(0, "h"): 3, (1, "h"): 1, (2, "d"): 2, (3, ""): 2, (1, ""): 1, (1, "d"): 1} and dict(a.reach) == {0: 3, 1: 3, 2: 2, 3: 2}
+    assert not a.differs(b, 0.05) and a.fit(b) < 0
+
+
 def test_formats_are_learned_to_their_ends():
     digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:24]
     learned = secret_scan.Automaton([digest(i) + "-ZZZZ-ZZZZ" for i in range(400)])
