@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Tables of each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,5 +38,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove the tables that are cut inside, also after an error, when the scope
+    ends.  What they feed is read or written inside; a frame that still depends on
+    them is of no use afterwards.  A scope inside another removes its own."""
+    tables: list[str] = []
+    _SCOPES.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCOPES.remove(tables)
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in tables:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(settings).delete(path, True)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.ocr_packs import OcrError, find_program, pack_folders, prepared_packs
 from tallyloom.sources.scan import SUFFIXES, DocumentFolder
 
 
@@ -83,10 +84,6 @@ def pdf_pages(content: bytes, kind: str) -> list[str]:
         return [page.get_text() for page in pdf]
 
 
-class OcrError(ValueError):
-    """The settings or the image do not allow text recognition."""
-
-
 def threshold(gray: np.ndarray, block: int = 31, offset: float = 11) -> np.ndarray:
     """A grey image in black and white: against the Gaussian mean of each pixel's
     surroundings, or, if a side is no longer than ``block``, against the one
@@ -112,14 +109,16 @@ def image_pages(content: bytes, kind: str, languages: str = "eng+lav", seconds:
     """The text of an image, by the OCR library of the installation.
 
     ``languages`` are codes as :func:`tallyloom.config.ocr_languages` gives them;
-    each must be among the packs that the worker's installation has."""
+    their packs are looked for on the worker."""
     import io
 
     import pytesseract
     from PIL import Image, ImageFilter, ImageOps
 
-    if lacking := set(languages.split("+")) - set(pytesseract.get_languages(config="")):
-        raise OcrError(f"no language pack for {', '.join(sorted(lacking))}")
+    program = find_program()
+    if program is not None:
+        pytesseract.pytesseract.tesseract_cmd = str(program)
+    packs = prepared_packs(languages, pack_folders(program), program.parent / "tessdata") if program else None
     try:
         image = ImageOps.grayscale(Image.open(io.BytesIO(content)))
     except (OSError, Image.DecompressionBombError) as e:
@@ -129,7 +128,7 @@ def image_pages(content: bytes, kind: str, languages: str = "eng+lav", seconds:
     if min(image.size) >= 3:
         image = image.filter(ImageFilter.MedianFilter(3))
     image = Image.fromarray(threshold(np.asarray(image)))
-    return [pytesseract.image_to_string(image, lang=languages, timeout=seconds)]
+    return [pytesseract.image_to_string(image, lang=languages, config=f'--tessdata-dir "{packs}"' if packs else "", timeout=seconds)]
 
 
 def read_pages(content: bytes, kind: str, languages: str = "eng+lav") -> list[str]:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.plans import contract, glyphs, reports, statement
 from tallyloom.plans.statement import StatementError
+from tallyloom.scratch import cut, scratch_scope
 from tallyloom.sources.files import scan_documents
+from tallyloom.sources.ocr_packs import OcrError, find_program, pack_folders, prepared_packs
 from tallyloom.sources.pages import page_rows, texts_of_pages
 from tallyloom.sources.report_sink import write_reports
 from tallyloom.sources.scan import DocumentFolder, FilteringReader
@@ -111,6 +113,46 @@ def test_found_invoices_go_by_path(spark):
     assert [r.found for r in expected.orderBy("ord").collect()] == ["b.pdf", "i.pdf", "i.pdf"]
 
 
+def test_language_packs_are_found_and_gathered(tmp_path, monkeypatch):
+    own, one, two, target = (tmp_path / n for n in ("own", "one", "two", "target"))
+    for folder, codes in ((own, ["eng"]), (one, ["lav"]), (two, ["lav", "deu"])):
+        folder.mkdir()
+        for c in codes:
+            (folder / f"{c}.traineddata").write_text(f"{folder.name} {c}")
+    assert prepared_packs("eng", [one], own) is None
+    assert prepared_packs("lav+deu", [one, two], own) == two
+    assert prepared_packs("eng+lav+eng", [own, one, two], own, target) == target
+    assert sorted(p.name for p in target.iterdir()) == ["eng.traineddata", "lav.traineddata"] and (target / "lav.traineddata").read_text() == "one lav"
+    (one / "lav.traineddata").write_text("newer")
+    os.utime(one / "lav.traineddata", (2**31, 2**31))
+    assert (prepared_packs("eng+lav", [own, one], own, target) / "lav.traineddata").read_text() == "newer"
+    with pytest.raises(OcrError, match="no language pack for fra, ita"):
+        prepared_packs("eng+fra+ita", [own, one], None, target)
+    program = tmp_path / "tesseract"
+    program.touch()
+    monkeypatch.setenv("TESSERACT_CMD", str(program))
+    monkeypatch.setenv("TESSDATA_PREFIX", str(one))
+    assert find_program() == program and pack_folders(program, [two, one])[:3] == [tmp_path / "tessdata", one, two]
+    monkeypatch.setenv("TESSERACT_CMD", str(tmp_path / "absent"))
+    assert find_program() is None
+    monkeypatch.delenv("TESSERACT_CMD")
+    assert find_program("no-such-program", places=[tmp_path / "absent", program]) == program
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    frame = spark.range(5)
+    with scratch_scope(spark) as outer:
+        kept = cut(frame, "outer")
+        with pytest.raises(RuntimeError), scratch_scope(spark) as inner:
+            cut(frame, "inner")
+            assert os.path.isdir(inner[0])
+            raise RuntimeError
+        assert not os.path.isdir(inner[0]) and kept.count() == 5 and len(outer) == 1
+    assert not os.path.isdir(outer[0])
+    left = cut(frame, "left")
+    assert left.count() == 5
+
+
 def measured(pixels):
     """Box and number of dark pixels, the same above the baseline, and those below."""
     box = lambda ps: (min(x for x, _ in ps), min(y for _, y in ps), max(x for x, _ in ps) + 1, max(y for _, y in ps) + 1, len(ps)) if ps else None
