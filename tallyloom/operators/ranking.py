@@ -5,9 +5,10 @@ transactions into chunks, and each block meets each chunk in one task.  There a
 transaction's name ranks the block's different names, and its documents are taken
 from the best name on until there are enough:
 
-* How alike two names can be is bounded by the characters they have in common and
-  by whether two of their words begin alike.  Names are compared in the order of
-  that bound, and only while it reaches what the best compared name has.
+* How alike two names can be is bounded by the characters they have in common;
+  which names a brand word lifts is looked up by words, and those that it lifts over
+  their bound need no comparison.  The others are compared in the order of the
+  bound, and only while it reaches what the best name so far has.
 * A name's documents lie sorted by day; the walk goes outwards from the
   transaction's day and stops when no later day can bring a better one.
 
@@ -44,7 +45,8 @@ CLASSES = 64
 
 
 class _Bounds:
-    """Upper bounds of the signals of one name with many others."""
+    """Upper bounds of the signals of one name with many others, and whether they
+    are the signals themselves."""
 
     def __init__(self, names: list[str], settings: Settings) -> None:
         self.bands = settings.merchants
@@ -52,27 +54,44 @@ class _Bounds:
         for i, name in enumerate(names):
             np.add.at(self.counts[i], [ord(c) % CLASSES for c in name], 1)
         self.lengths = self.counts.sum(axis=1)
-        self.begins: dict[str, list[int]] = {}
+        # Names by their distinctive words and by the first of these; words by their beginnings.
+        any_of: dict[str, list[int]] = {}
+        first_of: dict[str, list[int]] = {}
         for i, name in enumerate(names):
-            for head in self._heads(name):
-                self.begins.setdefault(head, []).append(i)
-
-    def _heads(self, name: str) -> set[str]:
-        """Of two words one of which begins the other, the heads are equal."""
-        least = self.bands.minimum_length
-        return {t[:least] for t in name.split(" ") if len(t) >= least}
-
-    def of(self, name: str) -> np.ndarray:
-        own = np.bincount([ord(c) % CLASSES for c in name], minlength=CLASSES)
+            for k, word in enumerate(self._words(name)):
+                any_of.setdefault(word, []).append(i)
+                if not k:
+                    first_of.setdefault(word, []).append(i)
+        self.any_of, self.first_of = ({w: np.array(at) for w, at in of.items()} for of in (any_of, first_of))
+        self.heads: dict[str, list[str]] = {}
+        for word in any_of:
+            self.heads.setdefault(word[: self.bands.minimum_length], []).append(word)
+
+    def _words(self, name: str) -> list[str]:
+        return [t for t in name.split(" ") if len(t) >= self.bands.minimum_length]
+
+    def _touching(self, word: str) -> list[str]:
+        """The known words that begin with the word or that it begins with."""
+        return [w for w in self.heads.get(word[: self.bands.minimum_length], ()) if w.startswith(word) or word.startswith(w)]
+
+    def of(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        own = np.bincount([ord(c) % CLASSES for c in name], minlength=CLASSES).astype(np.int32)
         common = np.minimum(self.counts, own).sum(axis=1, dtype=np.int64)
         n = self.lengths + len(name)
         bound = (4 * MICRO * common + n) // (2 * n)
-        for head in self._heads(name):
-            at = self.begins.get(head, [])
-            bound[at] = np.maximum(bound[at], micros(self.bands.token_score))
-        if len(name) < self.bands.minimum_length:
-            return np.minimum(bound, micros(self.bands.short_cap))
-        return np.where(self.lengths < self.bands.minimum_length, np.minimum(bound, micros(self.bands.short_cap)), bound)
+        lifted = np.zeros(len(bound), bool)
+        words = self._words(name)
+        for k, word in enumerate(words):
+            for other in self._touching(word):
+                for of in (self.first_of, self.any_of)[: 1 + (not k)]:
+                    if other in of:
+                        lifted[of[other]] = True
+        token = micros(self.bands.token_score)
+        sure = lifted & (bound <= token)
+        bound = np.where(lifted, np.maximum(bound, token), bound)
+        cap = micros(self.bands.short_cap)
+        short = (self.lengths < self.bands.minimum_length) | (len(name) < self.bands.minimum_length)
+        return np.where(short, np.minimum(bound, cap), bound), sure
 
 
 class Block:
@@ -90,7 +109,7 @@ class Block:
             (self.of_name[number[n]] if n else self.nameless).append(i)
         self.settings, self.signal, self.compared = settings, signal, 0
         self.bounds: _Bounds | None = None
-        self.known: dict[str | None, tuple[list, Iterator]] = {}
+        self.known: tuple[str | None, list, Iterator] = ("\0", [], iter(()))
 
     def _levels(self, name: str | None) -> Iterator[tuple[int | None, list[int]]]:
         """Signals from the best on, each with all documents that have it."""
@@ -98,17 +117,18 @@ class Block:
             yield None, list(range(len(self.ids)))
             return
         if len(self.ids) <= FEW:
-            order, bound = range(len(self.names)), np.full(len(self.names), MICRO)
+            order, bound, sure = range(len(self.names)), np.full(len(self.names), MICRO), np.zeros(len(self.names), bool)
         else:
             self.bounds = self.bounds or _Bounds(self.names, self.settings)
-            bound = self.bounds.of(name)
+            bound, sure = self.bounds.of(name)
             order = np.argsort(-bound, kind="stable").tolist()
         heap: list[tuple[int, int]] = []
         at = 0
         while at < len(order) or heap:
             while at < len(order) and (not heap or bound[order[at]] >= -heap[0][0]):
-                heapq.heappush(heap, (-self.signal(name, self.names[order[at]]), order[at]))
-                self.compared += 1
+                other = order[at]
+                heapq.heappush(heap, (-int(bound[other]) if sure[other] else -self.signal(name, self.names[other]), other))
+                self.compared += not sure[other]
                 at += 1
             best, docs = heap[0][0], []
             while heap and heap[0][0] == best:
@@ -118,11 +138,11 @@ class Block:
             yield None, self.nameless
 
     def _sorted_levels(self, name: str | None) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
-        """Levels kept for the name's next transactions: documents by day, those
-        without a day last, and the days of the others."""
-        if name not in self.known:
-            self.known[name] = [], self._levels(name)
-        done, more = self.known[name]
+        """Levels kept for the name's next transactions, which come one after the
+        other: documents by day, those without a day last, and the days of the others."""
+        if self.known[0] != name:
+            self.known = name, [], self._levels(name)
+        _, done, more = self.known
         at = 0
         while True:
             if at == len(done):
@@ -183,7 +203,7 @@ def _walk(settings: Settings, wanted: int, report: bool) -> Callable[[Iterator[p
                     continue
                 part = slice(start, middle)
                 block = Block(ids[part], names[part], hi[part], lo[part], days[part], dated[part], settings, signal)
-                for t in range(middle, end):
+                for t in sorted(range(middle, end), key=lambda t: names[t] or ""):
                     found = block.best(names[t], int(days[t]) if dated[t] else None, int(hi[t]), int(lo[t]), wanted)
                     if not report:
                         rows += [(t, ids[t], ids[start + d], int(hi[start + d]), int(lo[start + d]), s, g) for d, s, g in found]
