@@ -33,7 +33,7 @@ from tallyloom.scratch import cut
 #: Candidate rows that are broadcast to the second reading of the texts.
 BROADCAST_ROWS = 1_000_000
 #: Shingles that a task passes on together, about.
-LOT = 500_000
+LOT = 200_000
 
 
 def _sets(size: int):

@@ -147,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _lots(texts: pa.Array, limit: int = 1 << 23):
+def _lots(texts: pa.Array, limit: int = 1 << 21):
     """First row and texts of runs of about ``limit`` bytes; one long text may be more."""
     ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while at < len(texts):
