@@ -147,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _lots(texts: pa.Array, limit: int = 1 << 21):
+def _lots(texts: pa.Array, limit: int):
     """First row and texts of runs of about ``limit`` bytes; one long text may be more."""
     ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while at < len(texts):
@@ -156,12 +156,12 @@ def _lots(texts: pa.Array, limit: int = 1 << 21):
         at = end
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, lot_bytes: int):
     def run(batches):
         encode, end = encoder(path).encode, np.array([end_id], "<u4")
         for batch in batches:
             docs, out = batch.column(0).to_pylist(), []
-            for at, texts in _lots(pc.fill_null(batch.column(1), "")):
+            for at, texts in _lots(pc.fill_null(batch.column(1), ""), lot_bytes):
                 for doc, ids in zip(docs[at:], encode(texts), strict=False):
                     ids = np.concatenate([ids, end])
                     for piece, start in enumerate(range(0, len(ids), capacity)):
@@ -259,9 +259,13 @@ def pack_documents(
     end_id: int = 1,
     group_rows: int = 8192,
     rounds: int = 6,
+    lot_bytes: int = 1 << 23,
 ) -> DataFrame:
     """Return doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    ``lot_bytes`` of texts are encoded at once by a task: smaller lots take less
+    memory and more time, with the same result.
+
     A document is its token ids, without special tokens, and ``end_id``.  Only
     longer ones than ``capacity`` are cut, into pieces of that length and a rest.
     A sequence's pieces follow each other without a gap from offset 0.
@@ -273,7 +277,7 @@ def pack_documents(
     gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(texts.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id)), PIECE), "pack-pieces")
+    pieces = cut(texts.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id, lot_bytes)), PIECE), "pack-pieces")
 
     count = pieces.count()
     if not count:
