@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import MICRO, Settings, micros
 from tallyloom.operators.assignment import conflicts, greedy_assign, ranked
-from tallyloom.operators.combining import combination_proposals
-from tallyloom.operators.scoring import SIGNALS, outgoing, single_proposals
+from tallyloom.operators.combining import combination_proposals, summing_sets
+from tallyloom.operators.scoring import SIGNALS, candidate_pairs, needed, outgoing, single_proposals
 from tallyloom.scratch import cut
 
 # The sentences and phrases of reasons.
@@ -54,11 +54,16 @@ class Reconciliation:
 
 
 def proposals(transactions: DataFrame, documents: DataFrame, settings: Settings, pruned: bool = True) -> DataFrame:
-    """All credible proposals, single and combined, with their rank."""
-    found = single_proposals(transactions, documents, settings, pruned)
-    if settings.combinations.enabled:
-        found = found.unionByName(combination_proposals(transactions, documents, settings))
-    return ranked(found)
+    """All credible proposals, single and combined, with their rank.
+
+    Candidates are found by slim rows; of the tables only their rows are scored."""
+    pairs = candidate_pairs(transactions, documents, settings, pruned)
+    if not settings.combinations.enabled:
+        return ranked(single_proposals(*needed(transactions, documents, pairs), settings, pruned, pairs))
+    sets = cut(summing_sets(transactions, documents, settings), "sets")
+    members = sets.select("scope_id", "transaction_id", F.explode("document_ids").alias("document_id"))
+    t, d = needed(transactions, documents, pairs.unionByName(members))
+    return ranked(single_proposals(t, d, settings, pruned, pairs).unionByName(combination_proposals(t, d, settings, sets)))
 
 
 def _upper_first(text: Column) -> Column:
@@ -98,7 +103,11 @@ def explanation(settings: Settings) -> Column:
 
 
 def require_unique(table: DataFrame, what: str) -> None:
-    """Raise when two rows of a scope share an id."""
+    """Raise when two rows of a scope share an id; ids are counted by their hashes,
+    and themselves only where two hashes are equal."""
+    hashed = table.select(F.xxhash64("scope_id", "id").alias("h"))
+    if hashed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return
     twice = table.groupBy("scope_id", "id").agg(F.count("*").alias("c")).where("c > 1").limit(1).collect()
     if twice:
         raise MatchError(f"{what} listed twice: {twice[0]['id']}")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import MICRO, Combinations, Settings
 from tallyloom.functions.merchants import merchant_signal, plain_signal
-from tallyloom.operators import ranking
+from tallyloom.operators import combining, ranking, scoring
 from tallyloom.operators.assignment import greedy_assign
 from tallyloom.operators.combining import combination_sets
 from tallyloom.operators.numbering import with_running
 from tallyloom.operators.ranking import best_documents, names_compared
+from tallyloom.plans import reconcile
+from tallyloom.scratch import cut
 
 SETTINGS = Settings()
 T = "scope_id string, transaction_id string, posted_date date, amount decimal(28,8), currency string, m1 string"
@@ -120,3 +122,39 @@ def test_a_chain_of_proposals(spark):
     other = made.where("rank < 50").withColumn("scope_id", F.lit("x"))
     found = greedy_assign(made.unionByName(other), small=100).collect()
     assert {r.rank for r in found if r.scope_id == "s"} == set(range(0, n, 2)) and {r.rank for r in found if r.scope_id == "x"} == set(range(0, 50, 2))
+
+
+def test_pools_try_their_sets_at_once(spark, monkeypatch):
+    """The walk's sets are those of the written pool, in scopes of one block and of several."""
+    rng = random.Random(5)
+    day = date(2026, 1, 1)
+    t = [(s, f"t{i}", day, "outgoing", Decimal(rng.randrange(20, 60)), "EUR", "Shop", "Shop", "f") for s in (1, 2) for i in range(8)]
+    d = [(s, f"d{i}", f"d{i}.pdf", day, f"Shop {i % 3}", Decimal(rng.randrange(1, 30)), "EUR", None, None) for s, n in ((1, 9), (2, 40)) for i in range(n)]
+    texts = "merchant_raw string, amount decimal(28,8), currency string, invoice_number string, extracted_text string"
+    documents = spark.createDataFrame(d, f"scope_id long, id string, filename string, issued_date date, {texts}")
+    transactions = spark.createDataFrame(t, "scope_id long, id string, posted_date date, direction string, amount decimal(28,8), currency string, description string, merchant_raw string, source_file string")
+    monkeypatch.setattr(ranking, "BLOCK", 12)
+    for settings in (Settings(), Settings(amount_tolerance="1.00", combinations=Combinations(max_documents=5))):
+        pool = {(r.scope_id, r.transaction_id, r.place): r.document_id for r in combining.combination_pool(transactions, documents, settings).collect()}
+        want = sorted((r.scope_id, r.transaction_id, tuple(r.places)) for r in combination_sets(combining.combination_pool(transactions, documents, settings), settings).collect())
+        for tried in (5_000, 1):
+            monkeypatch.setattr(combining, "TRIED", tried)
+            found = combining.summing_sets(transactions, documents, settings).collect()
+            assert want and sorted((r.scope_id, r.transaction_id, tuple(r.places)) for r in found) == want
+            assert all(r.document_ids == [pool[r.scope_id, r.transaction_id, p] for p in r.places] for r in found)
+
+
+def test_matching_moves_texts_of_candidates_only(spark, monkeypatch):
+    """No table that matching writes holds the texts of documents without a candidate."""
+    day = date(2026, 1, 1)
+    t = [(1, "t", day, "outgoing", Decimal(30), "EUR", "Shop", "Shop", "f")]
+    d = [(1, f"d{i}", f"d{i}.pdf", date(2025, 1, 1 + i), "Other", Decimal(100 + i), "EUR", None, "text") for i in range(20)]
+    d += [(1, "a", "a.pdf", day, "Shop", Decimal(10), "EUR", None, "text"), (1, "b", "b.pdf", day, "Shop", Decimal(20), "EUR", None, "text")]
+    texts = "merchant_raw string, amount decimal(28,8), currency string, invoice_number string, extracted_text string"
+    written = []
+    for module in (combining, scoring, reconcile, ranking):
+        monkeypatch.setattr(module, "cut", lambda df, label: written.append(cut(df, label)) or written[-1])
+    transactions = spark.createDataFrame(t, "scope_id long, id string, posted_date date, direction string, amount decimal(28,8), currency string, description string, merchant_raw string, source_file string")
+    result = reconcile.match_transactions(transactions, spark.createDataFrame(d, f"scope_id long, id string, filename string, issued_date date, {texts}"))
+    assert [c.document_id for c in result.matches.first().documents] == ["b", "a"]
+    assert max(w.count() for w in written if "extracted_text" in w.columns) <= 4
