@@ -75,10 +75,14 @@ def required_invoices(contracts: DataFrame, text_col: str = "text") -> DataFrame
     Lines that state a period and an amount win over a monthly fee with a
     contract period.  A contract that states neither clearly is undetermined
     and has a reason instead of invoices.
+
+    Contracts are few bytes and much work, so they are dealt over all tasks, and
+    what is read of a text is written before it is used more than once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     no_text = F.lit(None).cast("string")
-    steps = contracts.withColumn(
+    width = int(contracts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = contracts.repartition(width).withColumn(
         "lines",
         F.transform(
             F.arrays_zip(
@@ -93,6 +97,7 @@ def required_invoices(contracts: DataFrame, text_col: str = "text") -> DataFrame
     steps = steps.withColumn("stated", text.rlike(RANGE))
     steps = steps.withColumn("first", _month_start(period_point(F.regexp_extract(text, RANGE, 1))))
     steps = steps.withColumn("last", _month_start(period_point(F.regexp_extract(text, RANGE, 2))))
+    steps = cut(steps, "contracts-read")
     periods = F.transform("lines", lambda x: x["period"])
     months = F.months_between("last", "first") + 1
     listed = F.size("lines") > 0
@@ -139,8 +144,10 @@ def match_invoices(expected: DataFrame, found: DataFrame, small: int = 50_000) -
 
     In contract order each expected invoice takes the first file, by ``ord``,
     that clearly matches and is not taken.  Periods or numbers are equi-join
-    keys; the assignment is the one of proposals.
+    keys; the assignment is the one of proposals.  Both sides are read several
+    times and so written.
     """
+    expected, found = cut(expected, "invoices-expected"), cut(found, "invoices-found")
     e, f = expected.alias("e"), found.alias("f")
     scope = F.col("e.scope_id") == F.col("f.scope_id")
     pick = lambda pairs: pairs.where(clear_match()).select(

@@ -13,6 +13,7 @@ from tallyloom.config import ConfigError, ocr_languages
 from tallyloom.functions import checks
 from tallyloom.plans import contract, extraction, statement
 from tallyloom.plans.statement import StatementError
+from tallyloom.scratch import cut
 from tallyloom.sources.files import OcrError, joined_pages, scan_documents, threshold, with_text
 from tallyloom.sources.statements import CsvStatements, PdfStatements
 from tallyloom.streaming.intake import stream_invoices
@@ -238,3 +239,12 @@ def test_entry_point_imports():
 
     assert set(catalog.QUERIES and catalog.queries()) <= set(entry.queries())
     assert set(catalog.oracle_sql()) == set(catalog.queries())
+
+
+def test_contracts_are_dealt_over_tasks(spark, monkeypatch):
+    """However few files hold the contracts; and their texts are read once."""
+    seen = []
+    monkeypatch.setattr(contract, "cut", lambda df, label: seen.append((label, df.rdd.getNumPartitions())) or cut(df, label))
+    rows = spark.createDataFrame([(i, "2024-01 EUR 5\n2024-02 EUR 6") for i in range(40)], "scope_id long, text string").coalesce(1)
+    assert contract.required_invoices(rows).where("determined and size(invoices) = 2").count() == 40
+    assert seen == [("contracts-read", int(spark.conf.get("spark.sql.shuffle.partitions")))]
