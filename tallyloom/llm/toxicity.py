@@ -52,6 +52,10 @@ class Model:
         """Which chosen features are among a text's."""
         if not len(found) or not len(self.hashes):
             return np.zeros(0, np.int64)
+        # The shorter side is looked up in the longer one.
+        if len(found) < len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            return at[self.hashes[at] == found]
         at = np.minimum(np.searchsorted(found, self.hashes), len(found) - 1)
         return np.flatnonzero(found[at] == self.hashes)
 

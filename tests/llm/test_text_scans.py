@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, queries, secret_scan
+from tallyloom.llm import license_scan, queries, secret_scan, toxicity
 from tallyloom.llm.language_id import fit_languages, gram_counts, identify_languages, recognised
 from tallyloom.llm.license_scan import TEMPLATES, scan_licenses
 from tallyloom.llm.token_count import count_tokens
@@ -401,3 +401,16 @@ def test_urls(spark):
     assert found[8] == ("a.x.org", "/en/://com/en/", "x.org", "block")
     assert {r.verdict for r in filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
     assert filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_few_features_are_looked_up_among_many(monkeypatch):
+    """Whichever side is longer, the same places; the longer one is never walked."""
+    rng, asked = np.random.default_rng(3), []
+    of = lambda n: np.unique(rng.integers(0, 4_000, n).astype(np.uint64))
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, **more: asked.append((len(a), np.size(v))) or search(a, v, **more))
+    for n_found, n_known in ((0, 5), (5, 0), (1, 900), (40, 3000), (3000, 40), (700, 700)):
+        found, known = of(n_found), of(n_known)
+        places = toxicity.Model(known, np.zeros(len(known)), 0.0).places(found)
+        assert places.tolist() == [i for i, h in enumerate(known.tolist()) if h in set(found.tolist())]
+    assert asked and all(looked_up <= held for held, looked_up in asked)
