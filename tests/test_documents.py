@@ -248,3 +248,18 @@ def test_contracts_are_dealt_over_tasks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "2024-01 EUR 5\n2024-02 EUR 6") for i in range(40)], "scope_id long, text string").coalesce(1)
     assert contract.required_invoices(rows).where("determined and size(invoices) = 2").count() == 40
     assert seen == [("contracts-read", int(spark.conf.get("spark.sql.shuffle.partitions")))]
+
+
+def test_lines_with_words_take_one_shuffle_of_glyphs(spark):
+    # Two pages whose glyphs alternate, a second word, a twin at a line's start and an unknown glyph.
+    text = {(1, 10.0): "ab cI", (1, 10.5): " d", (2, 10.0): "Ix", (2, 30.0): "?b"}
+    glyphs = [("s", "f", p, "f", ord(c), 4.0 * i, 4.0 * i + 4, y) for i in range(5) for (p, y), t in text.items() for c in t[i : i + 1] if c != " "]
+    g = spark.createDataFrame(glyphs, "scope_id string, file string, page int, font string, glyph_id int, x0 double, x1 double, y0 double").repartition(3)
+    m = spark.createDataFrame([("f", ord(c), c) for c in "abcdxI"], "font string, glyph_id int, ch string")
+    lines = statement.worded_lines(g, m)
+    got = {(r.page, r.line): [w.text for w in r.words] for r in lines.collect()}
+    assert got == {(1, 1): ["abd", "cl"], (2, 1): ["Ix"], (2, 2): ["b"]}
+    apart = statement.words_of_lines(statement.lines_of_glyphs(g, m)).collect()
+    assert sorted((r.page, r.line, r.x0, r.y0, r.text) for r in apart) == sorted((r.page, r.line, w.x0, w.y0, w.text) for r in lines.collect() for w in r.words)
+    plan = lines._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
