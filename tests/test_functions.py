@@ -112,3 +112,11 @@ def test_settings(tmp_path, monkeypatch):
     assert load_settings() == Settings()
     (tmp_path / "tallyloom.yaml").write_text("probable: 0.65\n")
     assert load_settings().probable == 0.65
+
+
+def test_parts_of_an_amount_are_found_once(spark):
+    from tallyloom.functions.amounts import parse_amount
+
+    # Blanks are cut off the text, the rest and the digits: no part is computed again where it is used.
+    plan = spark.range(1).select(parse_amount(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"(?U)^\s+|\s+$") == 3
