@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.config import MICRO, Settings, micros
 from tallyloom.operators.assignment import conflicts, greedy_assign, ranked
 from tallyloom.operators.combining import combination_proposals, summing_sets
+from tallyloom.operators.prefilter import anti_joined, left_joined, semi_joined
 from tallyloom.operators.scoring import SIGNALS, candidate_pairs, needed, outgoing, single_proposals
 from tallyloom.scratch import cut
 
@@ -46,11 +47,11 @@ class Reconciliation:
         links = self.links().groupBy("scope_id", "document_id").agg(F.array_sort(F.collect_list("transaction_id")).alias("transaction_ids"))
         docs = self.documents.withColumnRenamed("id", "document_id")
         none = F.array().cast("array<string>")
-        return docs.join(links, ["scope_id", "document_id"], "left").withColumn("transaction_ids", F.coalesce("transaction_ids", none))
+        return left_joined(docs, links, ["scope_id", "document_id"]).withColumn("transaction_ids", F.coalesce("transaction_ids", none))
 
     def unmatched_documents(self) -> DataFrame:
         used = self.links().select("scope_id", F.col("document_id").alias("id"))
-        return self.documents.join(used, ["scope_id", "id"], "left_anti")
+        return anti_joined(self.documents, used, ["scope_id", "id"])
 
 
 def proposals(transactions: DataFrame, documents: DataFrame, settings: Settings, pruned: bool = True) -> DataFrame:
@@ -159,7 +160,8 @@ def broken_rules(result: Reconciliation, settings: Settings | None = None) -> Da
     )
     own = m.select("scope_id", F.col("transaction_id").alias("id"), rule.alias("rule"))
     reused = result.links().groupBy("scope_id", F.col("document_id").alias("id")).agg(F.count("*").alias("c")).where("c > 1")
-    unknown = result.links().select("scope_id", F.col("document_id").alias("id")).join(result.documents, ["scope_id", "id"], "left_anti")
+    cited = result.links().select("scope_id", F.col("document_id").alias("id"))
+    unknown = cited.join(semi_joined(result.documents.select("scope_id", "id"), cited, ["scope_id", "id"]), ["scope_id", "id"], "left_anti")
     return (
         own.where("rule is not null")
         .unionByName(reused.select("scope_id", "id", F.lit("a document is cited twice").alias("rule")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.config import MICRO
 from tallyloom.functions.amounts import two_places
+from tallyloom.operators.prefilter import inner_joined, left_joined
 from tallyloom.operators.scoring import SIGNALS, outgoing
 from tallyloom.plans.reconcile import Reconciliation
 
@@ -63,7 +64,7 @@ def sheet(result: Reconciliation) -> DataFrame:
     """Every transaction with its match, if it has one, and the names of its
     documents: the table behind the sheets."""
     docs = result.documents.select("scope_id", F.col("id").alias("document_id"), "filename")
-    links = result.links().join(docs, ["scope_id", "document_id"])
+    links = inner_joined(docs, result.links(), ["scope_id", "document_id"])
     names = links.groupBy("scope_id", "transaction_id").agg(F.array_sort(F.collect_list(F.struct("pos", "document_id", "filename"))).alias("d"))
     named = names.select(
         "scope_id", "transaction_id", F.array_join(F.transform("d", lambda x: x["document_id"]), "; ").alias("document_ids"),
@@ -109,7 +110,7 @@ def status_summary(result: Reconciliation) -> DataFrame:
     )
     states = result.matches.groupBy("scope_id").agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES])
     used = result.links().select("scope_id", F.col("document_id").alias("id"), F.lit(1).alias("u")).distinct()
-    docs = result.documents.select("scope_id", "id").join(used, ["scope_id", "id"], "left").groupBy("scope_id")
+    docs = left_joined(result.documents.select("scope_id", "id"), used, ["scope_id", "id"]).groupBy("scope_id")
     docs = docs.agg(F.count("*").alias("documents"), F.count("u").alias("used_documents"))
     counts = moves.join(states, "scope_id", "full").join(docs, "scope_id", "full")
     numbers = ["outgoing", "incoming", *map(str.lower, STATUSES), "documents", "used_documents"]
