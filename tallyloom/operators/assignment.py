@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.components import connected_components
 from tallyloom.operators.numbering import with_running
+from tallyloom.operators.prefilter import semi_joined
 from tallyloom.scratch import cut
 
 
@@ -77,7 +78,7 @@ def greedy_assign(proposals: DataFrame, small: int = 50_000, quick: float = 0.25
        walked, each in one task.
     2. In larger scopes a proposal that is the best of all that touch any of its
        resources is taken whatever the others are.  Each round takes all such
-       proposals at once and drops what they block.
+       proposals at once and drops what they block.  Ranks are numbers there.
     3. Rounds end when at most ``small`` proposals are left, or when one removes
        less than the share ``quick`` of them, as along a chain in which each blocks
        the next.  What is left falls into components that share no resource; each
@@ -89,23 +90,28 @@ def greedy_assign(proposals: DataFrame, small: int = 50_000, quick: float = 0.25
     if giants.isEmpty():
         return _walked(every, "scope_id", "greedy-small")
     taken = _walked(every.join(giants, "scope_id", "left_anti"), "scope_id", "greedy-small")
-    live = cut(every.join(giants, "scope_id", "left_semi"), "greedy-live")
+    places = with_running(every.join(giants, "scope_id", "left_semi"), ["scope_id"], ["rank"], {"place": F.lit(1)})
+    places = cut(places, "greedy-places")
+    live = places.select("scope_id", F.col("place").alias("rank"), "resources")
+    won = live.select("scope_id", "rank").where("false")
     left = live.count()
     while left > small:
         spread = live.select("scope_id", "rank", F.explode("resources").alias("resource"))
         best = cut(spread.groupBy("scope_id", "resource").agg(F.min("rank").alias("best")), "greedy-best")
-        wins = spread.join(best, ["scope_id", "resource"]).groupBy("scope_id", "rank").agg(F.bool_and(F.col("best") == F.col("rank")).alias("wins"))
-        winners = cut(wins.where("wins").select("scope_id", "rank"), "greedy-winners")
-        used = cut(spread.join(winners, ["scope_id", "rank"], "left_semi").select("scope_id", "resource"), "greedy-used")
-        blocked = spread.join(used, ["scope_id", "resource"], "left_semi").select("scope_id", "rank").distinct()
-        live = cut(live.join(blocked, ["scope_id", "rank"], "left_anti"), "greedy-live")
-        taken = taken.unionByName(winners)
+        met = cut(spread.join(best, ["scope_id", "resource"]).select("scope_id", "rank", "best"), "greedy-met")
+        winners = cut(met.groupBy("scope_id", "rank").agg(F.bool_and(F.col("best") == F.col("rank")).alias("wins")).where("wins").select("scope_id", "rank"), "greedy-winners")
+        # A winner is the best of all its resources, so what it blocks has met it as a best.
+        beaten = met.where("best <> rank").join(winners.withColumnRenamed("rank", "best"), ["scope_id", "best"], "left_semi")
+        gone = beaten.select("scope_id", "rank").distinct().unionByName(winners)
+        live = cut(live.join(gone, ["scope_id", "rank"], "left_anti"), "greedy-live")
+        won = won.unionByName(winners)
         before, left = left, live.count()
         if left > (1 - quick) * before:
             break
     if left:
-        taken = taken.unionByName(_walked(_with_components(live), "component", "greedy-last"))
-    return taken
+        won = won.unionByName(_walked(_with_components(live), "component", "greedy-last"))
+    found = semi_joined(places.drop("resources"), won.withColumnRenamed("rank", "place"), ["scope_id", "place"])
+    return taken.unionByName(found.select("scope_id", "rank"))
 
 
 def conflicts(proposals: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tallyloom import domain
-from tallyloom.operators import prefilter, ranking
+from tallyloom.operators import assignment, prefilter, ranking
+from tallyloom.scratch import cut
 
 ON = ["scope_id", "id"]
 JOINS = {"semi_joined": "left_semi", "inner_joined": "inner", "anti_joined": "left_anti", "left_joined": "left"}
@@ -68,3 +69,15 @@ def test_sets_are_tried_where_the_package_is_absent(found):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     ran = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(ranking.sets_within), capture_output=True, cwd="/", env=env, timeout=60)
     assert ran.stdout.decode().strip() == str(found), ran.stderr.decode()
+
+
+def test_rounds_of_assignment_move_numbers(spark, monkeypatch):
+    """Rounds compare and move numbers of ranks, and take what a walk takes."""
+    written = {}
+    monkeypatch.setattr(assignment, "cut", lambda df, label: written.setdefault(label, df) and cut(df, label))
+    rows = spark.range(60).select((F.col("id") % 2).alias("scope_id"), F.lit("PROBABLE").alias("status"), (F.col("id") * 7 % 13).alias("score"),
+        F.concat(F.lit("t"), F.col("id") % 20).alias("transaction_id"), F.array(F.concat(F.lit("d"), F.col("id") % 9)).alias("document_ids"))
+    offers = cut(assignment.ranked(rows), "offers")
+    walked = assignment.greedy_assign(offers, small=1_000)
+    assert rows_of(assignment.greedy_assign(offers, small=0)) == rows_of(walked)
+    assert [f.dataType.simpleString() for f in written["greedy-met"].schema] == ["bigint"] * 3
