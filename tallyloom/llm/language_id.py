@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +134,16 @@ def _grams(batches):
         )
 
 
+def _dense(sample: pa.Table, idf: np.ndarray) -> np.ndarray:
+    """The unit vectors of one language's texts, by their n-grams' lists as they
+    come from Arrow: Python's numbers would take the driver several times that."""
+    vectors = np.zeros((sample.num_rows, DIMENSIONS), np.float32)
+    for row, places, counts in zip(vectors, sample.column("places"), sample.column("counts"), strict=True):
+        at, weights = _weighted(places.values.to_numpy(), counts.values.to_numpy(), idf)
+        row[at] = weights
+    return vectors
+
+
 def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of unit vectors by spherical k-means from spread-out starts."""
     chosen = [int((vectors @ vectors.mean(axis=0)).argmax())]
@@ -168,27 +179,20 @@ def fit_languages(
     rows = docs.where(learn & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     totals = rows.select("text").mapInArrow(tidy(_document_frequencies), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    frequency, seen = np.zeros(DIMENSIONS), 0
-    for r in totals.collect():  # one row for each of the dimensions
-        if r["place"] < 0:
-            seen = r["n"]
-        else:
-            frequency[r["place"]] = r["n"]
+    place, n = (c.to_numpy() for c in totals.toArrow().columns)  # one row for each of the dimensions
+    frequency, seen = np.zeros(DIMENSIONS), int(n[place < 0].sum())
+    frequency[place[place >= 0]] = n[place >= 0]
     idf = np.log((1 + seen) / (1 + frequency)) + 1
 
     chosen = smallest_hashes(rows, per_language, "lang", ["id", "text"], "language-texts")
     chosen = chosen.select("lang", "text").mapInArrow(tidy(_grams), "lang string, whole boolean, places array<long>, counts array<long>")
     chosen = cut(chosen, "language-sample")
-    sample: dict[str, list[np.ndarray]] = {}
-    for r in chosen.where("whole").drop("whole").orderBy("lang", F.hash("places", "counts")).collect():
-        if r["places"]:
-            dense = np.zeros(DIMENSIONS, np.float32)
-            places, weights = _weighted(np.array(r["places"]), np.array(r["counts"]), idf)
-            dense[places] = weights
-            sample.setdefault(r["lang"], []).append(dense)
-    languages, parts, owner = sorted(sample), [], []
+    slim = chosen.where("whole and size(places) > 0").orderBy("lang", F.hash("places", "counts"))
+    sample = slim.select("lang", F.col("places").cast("array<int>").alias("places"), F.col("counts").cast("array<int>").alias("counts")).toArrow()
+    names = sample.column("lang")
+    languages, parts, owner = sorted(set(names.to_pylist())), [], []
     for i, lang in enumerate(languages):
-        vectors = np.stack(sample[lang])
+        vectors = _dense(sample.filter(pc.equal(names, lang)), idf)
         centroids = _cluster(vectors, clusters)
         # Spread-out starts find odd texts first: what holds hardly any text does not stand for the language.
         held = np.bincount((vectors @ centroids.T).argmax(axis=1), minlength=len(centroids))
@@ -197,14 +201,15 @@ def fit_languages(
         owner += [i] * len(centroids)
     centroids = np.concatenate(parts).T.astype(np.float32) if parts else np.zeros((DIMENSIONS, 0), np.float32)
     model = Model(languages, idf, centroids, np.array(owner, np.int64), np.zeros((len(languages), SIZES)))
-    measured: dict[tuple[str, int], list[float]] = {}
-    for r in chosen.mapInArrow(model.measure, "lang string, size int, cosine double").collect() if languages else ():
-        measured.setdefault((r["lang"], r["size"]), []).append(r["cosine"])
+    kinds = "lang string, size int, cosine double"
+    measured = chosen.mapInArrow(model.measure, kinds).toArrow() if languages else None
     for i, lang in enumerate(languages):
+        mine = measured.filter(pc.equal(measured.column("lang"), lang))
+        sizes, cosines = mine.column("size").to_numpy(), mine.column("cosine").to_numpy()
         low = 0.0
         for size in range(SIZES):
             # A quantile of few texts is their least; a size without enough keeps the limit of smaller texts.
-            if len(own := measured.get((lang, size), [])) >= 10:
+            if len(own := cosines[sizes == size]) >= 10:
                 low = slack * float(np.quantile(own, quantile, method="lower"))
             model.least[i, size] = low
     return model
