@@ -4,6 +4,7 @@ from datetime import date
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tallyloom import catalog
 from tallyloom.__main__ import check_folder, main, statement_report
 from tallyloom.config import ConfigError, ocr_languages
 from tallyloom.functions import checks
-from tallyloom.plans import contract, extraction, statement
+from tallyloom.plans import contract, extraction, glyphs, statement
 from tallyloom.plans.statement import StatementError
 from tallyloom.scratch import cut
 from tallyloom.sources.files import OcrError, joined_pages, scan_documents, threshold, with_text
@@ -263,3 +264,46 @@ def test_lines_with_words_take_one_shuffle_of_glyphs(spark):
     assert sorted((r.page, r.line, r.x0, r.y0, r.text) for r in apart) == sorted((r.page, r.line, w.x0, w.y0, w.text) for r in lines.collect() for w in r.words)
     plan = lines._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan
+
+
+def _without_broadcasts_by_size(spark, make):
+    """The physical plan when no table is known to be small."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+GLYPHS = "scope_id string, file string, page int, font string, glyph_id int, x0 double, x1 double, y0 double"
+
+
+def test_only_packed_pages_are_shuffled(spark, monkeypatch):
+    """However many glyphs there are, they do not go to a short map, nor one by one to their page."""
+    g = spark.createDataFrame([("s", "f", 1, "f", 97, 4.0, 8.0, 10.0)], GLYPHS)
+    m = spark.createDataFrame([("f", 97, "a")], "font string, glyph_id int, ch string")
+    plan = _without_broadcasts_by_size(spark, lambda: statement.worded_lines(g, m))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 2 and "SortMergeJoin" not in plan
+    unread = _without_broadcasts_by_size(spark, lambda: glyphs.unread_fonts(g, m, statement.FILE))
+    assert "SortMergeJoin" not in unread
+    monkeypatch.setattr(glyphs, "is_short", lambda names: False)
+    assert "SortMergeJoin" in _without_broadcasts_by_size(spark, lambda: glyphs.unread_fonts(g, m, statement.FILE))
+    assert glyphs.unread_fonts(g.union(g.withColumn("glyph_id", F.lit(98))), m, statement.FILE).first().unread == "unknown glyph 98 of font f"
+
+
+def test_packed_pages_hold_all_glyphs():
+    chars = ["a", None, "ffi", "a", "", "ž", None]
+    table = pa.table({
+        "scope_id": ["s", "s", None, "s", "s", "s", "s"], "file": ["f"] * 7, "page": [2, 1, 1, 2, 2, 1, 2], "y0": [1.5, -2.0, 3.0, 0.1, 1e300, 5.0, 6.0],
+        "x0": [0.1, None, 3.0, 1 / 3, 5.0, 6.0, 7.0], "x1": [1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0], "ch": pa.array(chars), "mark": pa.array([1, 0, 2, 3, 0, 1, 0], pa.int32()),
+    })
+    parts = pa.Table.from_batches([statement._pack(table.slice(0, 4)), statement._pack(table.slice(4))])
+    assert sorted(parts["n"].to_pylist()) == [1, 1, 1, 2, 2]
+    back = statement._unpack(parts.append_column("of", pa.array(range(parts.num_rows), pa.int64()))).drop_columns("of")
+    rows = lambda t: sorted(((*(("nan" if v != v else v) for v in r.values()),) for r in t.to_pylist()), key=repr)
+    filled = table.set_column(4, "x0", table["x0"].fill_null(float("nan"))).set_column(5, "x1", table["x1"].fill_null(float("nan")))
+    assert rows(back) == rows(filled.select(back.column_names))
+    none = statement._pack(table.set_column(6, "ch", pa.nulls(7, pa.string())))
+    assert none.column("chars").flatten().field("ch").null_count == len(none.column("chars").flatten())
+    assert statement._unpack(pa.Table.from_batches([none]).append_column("of", pa.array([0] * none.num_rows)))["ch"].null_count == 7
