@@ -12,6 +12,7 @@ from tallyloom import catalog
 from tallyloom.__main__ import check_folder, main, statement_report
 from tallyloom.config import ConfigError, ocr_languages
 from tallyloom.functions import checks
+from tallyloom.operators import numbering
 from tallyloom.plans import contract, extraction, glyphs, statement
 from tallyloom.plans.statement import StatementError
 from tallyloom.scratch import cut
@@ -307,3 +308,25 @@ def test_packed_pages_hold_all_glyphs():
     none = statement._pack(table.set_column(6, "ch", pa.nulls(7, pa.string())))
     assert none.column("chars").flatten().field("ch").null_count == len(none.column("chars").flatten())
     assert statement._unpack(pa.Table.from_batches([none]).append_column("of", pa.array([0] * none.num_rows)))["ch"].null_count == 7
+
+
+def test_lines_are_numbered_once(spark, monkeypatch):
+    """Rows and islands in one pass over written lines; one number of lines a file takes as well as ranges."""
+    seen = []
+    monkeypatch.setattr(numbering, "cut", lambda df, label: seen.append(label) or cut(df, label))
+    kinds = ["more", "opening", "start", "more", "header", "start", "closing", "more", "start"]
+    rows = [("s", f, 1 + i // 4, float(i), i, k, f"r{i}" if k != "more" else "", "01.02.2024" if k == "start" else "", f"d{i}", "-1.00" if k == "start" else "") for f in "ab" for i, k in enumerate(kinds)]
+    lines = spark.createDataFrame(rows, "scope_id string, file string, page int, y0 double, line int, kind string, reference string, date_text string, details string, amount_text string")
+    want = {(f, n, page, text) for f in "ab" for n, page, text in ((1, 1, "r2\nd2\nd3"), (2, 2, "r5\nd5"), (3, 3, "r8\nd8"))}
+    for most, labels in ((10**6, ["running-giants"]), (3, ["running-giants", "running-ranges", "running-offsets"])):
+        seen.clear()
+        found = statement.statement_rows(lines, file_rows=most, written=True)
+        assert seen == labels and {(r.file, r.source_row, r.source_page, r.description) for r in found.collect()} == want
+
+
+def test_letters_at_one_place(spark):
+    # In two of three words a twin, which is named I and shown as l, stands where another letter stands.
+    placed = [("aIk", (10.0, 14.0, 14.0)), ("bcd", (60.0, 64.0, 68.0)), ("eIm", (90.0, 94.0, 94.0))]
+    g = spark.createDataFrame([("s", "f", 1, "f", ord(c), x, x + 4, 50.0) for t, at in placed for c, x in zip(t, at, strict=True)], GLYPHS)
+    m = spark.createDataFrame([("f", ord(c), c) for c in "aIkbcdem"], "font string, glyph_id int, ch string")
+    assert [w.text for w in statement.worded_lines(g, m).first().words] == ["akl", "bcd", "elm"]
